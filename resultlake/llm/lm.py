@@ -27,7 +27,7 @@ from . import shared
 DEPTH = 5
 END = 0xFF  # no byte of UTF-8 text; also what precedes a text
 #: Most grams and words whose values are broadcast (16 bytes each).
-HOT_GRAMS, HOT_WORDS = 1 << 20, 1 << 18
+HOT_GRAMS, HOT_WORDS = 1 << 19, 1 << 18
 #: A task hands on its counts when it holds this many.
 FLUSH = 1 << 21
 _TWO = np.log(2.0)
@@ -163,17 +163,16 @@ def _log_probabilities(key, count, top) -> np.ndarray:
 
 
 class Lookup:
-    """Open-addressing table from 64-bit keys to floats; load one half at most."""
+    """Open-addressing table from non-negative 63-bit keys to floats; load one half at most."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.bits = max(4, int(len(key) * 2).bit_length())
-        self.key, self.value, self.used = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, bool)
+        self.bits = max(4, (2 * len(key) - 1).bit_length())
+        self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
         slot, left = self._slot(key), np.arange(len(key))
         while len(left):
-            free = ~self.used[slot]
+            free = self.key[slot] < 0
             _, first = np.unique(slot[free], return_index=True)
             put = np.flatnonzero(free)[first]
-            self.used[slot[put]] = True
             self.key[slot[put]], self.value[slot[put]] = key[left[put]], value[left[put]]
             stay = np.ones(len(left), bool)
             stay[put] = False
@@ -187,10 +186,9 @@ class Lookup:
         value, known = np.zeros(len(key), np.float32), np.zeros(len(key), bool)
         left, slot = np.arange(len(key)), self._slot(key)
         while len(left):
-            there = self.used[slot]
-            hit = there & (self.key[slot] == key[left])
+            hit = self.key[slot] == key[left]
             value[left[hit]], known[left[hit]] = self.value[slot[hit]], True
-            on = there & ~hit
+            on = ~hit & (self.key[slot] >= 0)
             left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return value, known
 
