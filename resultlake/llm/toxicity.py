@@ -5,7 +5,7 @@ embedding and the mean of trained embeddings of its character trigrams.  Two gat
 layers read every window of ``WINDOW`` words, one from either side, attention pools their states,
 and a logistic unit gives the window's probability.  Windows start every ``STRIDE`` words, so all
 words but the outermost lie in two; a text's score is its most toxic window's.  Trained in numpy
-on the driver on ``SAMPLE`` labelled texts at most (a stated bound: those with the least hash of
+on ``SAMPLE`` labelled texts at most (a stated bound: those with the least hash of
 the id); everything else reads whole texts.
 """
 
@@ -87,11 +87,11 @@ def _forward(p, gates, mask, keep=False):
     return logit, (states, saved, w, pooled)
 
 
-def _gradient(p, x, mask, label, weight):
-    """Gradients of the weighted log loss; x: (w, WINDOW, dim) inputs."""
+def _gradient(p, x, mask, label):
+    """Gradients of the mean log loss; x: (w, WINDOW, dim) inputs."""
     g_in = {s: x @ p[f"W{s}"] + p[f"b{s}"] for s in "fb"}
     logit, (states, saved, w, pooled) = _forward(p, lambda s, t: g_in[s][:, t], mask, keep=True)
-    d = (_sigmoid(logit) - label) * weight / len(label)
+    d = (_sigmoid(logit) - label) / len(label)
     out = {"c": np.array([d.sum()], np.float32)}
     dx = np.zeros_like(x)
     value = states["f"] @ p["of"] + states["b"] @ p["ob"]  # (t, n)
@@ -134,7 +134,7 @@ class Model:
         n = len(w.start)
         x = np.zeros((n + 1, 1 + WORD_DIM + CHAR_DIM), np.float32)
         if n:
-            x[:n, 0] = (self.evidence[(w.hash >> _U(40)).astype(np.int64) & (EVIDENCE_BUCKETS - 1)] if evidence is None else evidence) * 0.5
+            x[:n, 0] = (self.evidence[_bucket(w)] if evidence is None else evidence) * 0.5
             x[:n, 1 : 1 + WORD_DIM] = self.p["E"][(w.hash & _U(WORD_BUCKETS - 1)).astype(np.int64)]
             sums = np.zeros((len(w.low) + 1, CHAR_DIM))
             np.cumsum(self.p["C"][_trigrams(w.low)], axis=0, dtype=np.float64, out=sums[1:])
@@ -163,65 +163,63 @@ class Model:
         return res
 
 
-def train(texts: list[str | None], labels: list[int]) -> Model:
-    """Fits the network; a label missing or of one kind only gives the base rate everywhere."""
-    y = np.array(labels, np.float32)
-    rate = float(y.mean()) if len(y) else 0.0
-    if not len(y) or rate in (0.0, 1.0):
-        return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
-    data, off = shared.buffers(pa.array(texts, pa.large_string()))
-    parts = [shared.Words(data, off, i, j) for i, j in shared.chunks(off)]
-    base, a, b = 0, np.zeros(EVIDENCE_BUCKETS), np.zeros(EVIDENCE_BUCKETS)
-    for w in parts:
-        n = len(w.counts)
-        pair = np.unique(w.doc * EVIDENCE_BUCKETS + ((w.hash >> _U(40)).astype(np.int64) & (EVIDENCE_BUCKETS - 1)))
-        yes = y[base + pair // EVIDENCE_BUCKETS] == 1
-        a += np.bincount(pair[yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
-        b += np.bincount(pair[~yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
-        base += n
-    odds = np.log(rate / (1 - rate))
-    log_odds = lambda a, b: (np.log((a + PRIOR * rate) / (b + PRIOR * (1 - rate))) - odds).astype(np.float32)
-    rng = np.random.Generator(np.random.PCG64(9))
-    model = Model(log_odds(a, b), _start(rng), rate)
-    base, bucket, ev, tri, mask, label = 0, [], [], [], [], []
-    for w in parts:
-        n = len(w.counts)
-        if len(w.start):
-            own = y[base : base + n][w.doc]
-            at_bucket = (w.hash >> _U(40)).astype(np.int64) & (EVIDENCE_BUCKETS - 1)
-            # without the text itself: a word of one text only then says nothing
-            e = log_odds(a[at_bucket] - own, b[at_bucket] - (1 - own))
-            at, doc = windows(w.counts)
-            top = np.where(at >= 0, e[at], -9).max(1) + rng.random(len(at)) * 1e-3
-            order = np.lexsort((-top, doc))
-            rank = np.arange(len(at)) - np.searchsorted(doc[order], doc[order])
-            # a toxic text's most suspicious window; as many of a clean text's as WINDOWS_EACH
-            take = order[(rank < WINDOWS_EACH) & ((rank < 1) | (y[base + doc[order]] == 0))]
-            at, doc = at[take], doc[take]
-            t = _trigrams(w.low)
-            m = at >= 0
-            bucket.append(np.where(m, (w.hash & _U(WORD_BUCKETS - 1)).astype(np.int64)[at], 0))
-            ev.append(np.where(m, e[at], 0) * 0.5)
-            spots = np.minimum(w.start[at][..., None] + np.arange(12), np.maximum(w.end[at] - 1, 0)[..., None])
-            tri.append(t[spots].astype(np.int16))
-            mask.append(m)
-            label.append(y[base + doc])
-        base += n
-    bucket, ev, tri, mask, label = (np.concatenate(v) for v in (bucket, ev, tri, mask, label))
-    weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-3), 0.5 / max(1 - label.mean(), 1e-3)).astype(np.float32)
-    weight = np.sqrt(weight)
-    p, m1, m2, step = model.p, {}, {}, 0
+def _bucket(w: shared.Words) -> np.ndarray:
+    return (w.hash >> _U(40)).astype(np.int64) & (EVIDENCE_BUCKETS - 1)
+
+
+def _log_odds(a, b, rate):
+    """Evidence of a word that a toxic and b other texts have, against the base rate."""
+    return (np.log((a + PRIOR * rate) / (b + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))).astype(np.float32)
+
+
+def _seen(batches):
+    """Rows (bucket, a, b): texts of either label that have a word of the bucket."""
+    a, b = np.zeros(EVIDENCE_BUCKETS, np.int64), np.zeros(EVIDENCE_BUCKETS, np.int64)
+    for batch in batches:
+        data, off = shared.buffers(batch.column(1))
+        y = batch.column(2).to_numpy() == 1
+        for i, j in shared.chunks(off):
+            w = shared.Words(data, off, i, j)
+            pair = np.unique(w.doc * EVIDENCE_BUCKETS + _bucket(w))
+            yes = y[i:j][pair // EVIDENCE_BUCKETS]
+            a += np.bincount(pair[yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
+            b += np.bincount(pair[~yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
+    used = np.flatnonzero(a + b)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(a[used]), pa.array(b[used])], ["bucket", "a", "b"])
+
+
+def _windows_of(w: shared.Words, y: np.ndarray, a, b, rate, ids):
+    """Training windows of some texts: a toxic text's most suspicious one, more of a clean one's."""
+    own = y[w.doc].astype(np.int64)
+    at_bucket = _bucket(w)
+    # without the text itself: a word of one text only then says nothing
+    e = _log_odds(a[at_bucket] - own, b[at_bucket] - (1 - own), rate)
+    at, doc = windows(w.counts)
+    top = np.where(at >= 0, e[at], -9).max(1)
+    order = np.lexsort((np.arange(len(at)), -top, doc))
+    rank = np.arange(len(at)) - np.searchsorted(doc[order], doc[order])
+    take = order[(rank < 1) | ((rank < WINDOWS_EACH) & (y[doc[order]] == 0))]
+    at, doc = at[take], doc[take]
+    m = at >= 0
+    spots = np.minimum(w.start[at][..., None] + np.arange(12), np.maximum(w.end[at] - 1, 0)[..., None])
+    return ids[doc], y[doc].astype(np.int32), m, np.where(m, (w.hash & _U(WORD_BUCKETS - 1)).astype(np.int16)[at], 0), np.where(m, e[at], 0).astype(np.float32) * 0.5, _trigrams(w.low)[spots].astype(np.int16)
+
+
+def _learned(p, label, mask, bucket, ev, tri):
+    """Adam on the mean log loss; changes and returns the parameters ``p``."""
+    label = label.astype(np.float32)
+    rng = np.random.Generator(np.random.PCG64(10))
+    m1, m2, step = {}, {}, 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(label))
         for k in range(0, len(order), BATCH):
             s = order[k : k + BATCH]
             x = np.concatenate([ev[s][..., None], p["E"][bucket[s]], p["C"][tri[s]].mean(2)], 2).astype(np.float32)
             x[~mask[s]] = 0
-            g, dx = _gradient(p, x, mask[s], label[s], weight[s])
+            g, dx = _gradient(p, x, mask[s], label[s])
             dx[~mask[s]] = 0
-            g["E"] = np.zeros_like(p["E"])
+            g["E"], g["C"] = np.zeros_like(p["E"]), np.zeros_like(p["C"])
             np.add.at(g["E"], bucket[s].ravel(), dx[..., 1 : 1 + WORD_DIM].reshape(-1, WORD_DIM))
-            g["C"] = np.zeros_like(p["C"])
             for q in range(0, 12, 4):
                 np.add.at(g["C"], tri[s][..., q].ravel(), dx[..., 1 + WORD_DIM :].reshape(-1, CHAR_DIM) / 3)
             step += 1
@@ -230,18 +228,48 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
                 m1[name] = 0.9 * m1.get(name, 0) + 0.1 * d
                 m2[name] = 0.999 * m2.get(name, 0) + 0.001 * d * d
                 p[name] = (p[name] - RATE * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-    return model
+    return p
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Trains on ``sample`` labelled texts at most (least hash of the id, ties by text).
+    """Trains on ``sample`` labelled texts at most (least hash of the id).
 
-    Rows without a label, id or match are left out; null texts count as empty.
+    Rows without a label, id or match are left out; null texts count as empty.  Without texts of
+    both labels every text gets the base rate.  Executors count words and pick the windows; the
+    driver gets evidence by bucket and ``WINDOWS_EACH`` windows of each sampled text at most.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col), id_col, "text").limit(sample).toPandas()
-    return train(rows["text"].tolist(), rows["label"].astype(int).tolist())
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
+    rows = rows.select(F.xxhash64(id_col, "text").alias("rid"), "text", "label")
+    y = rows.groupBy("label").count().toPandas()
+    n, yes = int(y["count"].sum()), int(y["count"][y["label"] == 1].sum())
+    rate = yes / n if n else 0.0
+    if rate in (0.0, 1.0):
+        return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
+    seen = rows.mapInArrow(_seen, "bucket bigint, a bigint, b bigint").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    a, b = np.zeros(EVIDENCE_BUCKETS, np.int64), np.zeros(EVIDENCE_BUCKETS, np.int64)
+    a[seen["bucket"]], b[seen["bucket"]] = seen["a"], seen["b"]
+    counts = docs.sparkSession.sparkContext.broadcast((a.astype(np.int32), b.astype(np.int32)))
+
+    def pick(batches):
+        a, b = (c.astype(np.int64) for c in counts.value)
+        for batch in batches:
+            data, off = shared.buffers(batch.column(1))
+            ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for i, j in shared.chunks(off):
+                w = shared.Words(data, off, i, j)
+                if len(w.start):
+                    id_, label, *parts = _windows_of(w, y[i:j], a, b, rate, ids[i:j])
+                    yield pa.RecordBatch.from_arrays([pa.array(id_), pa.array(label), *(pa.array([r.tobytes() for r in part], pa.binary()) for part in parts)], ["rid", "label", "mask", "word", "ev", "tri"])
+
+    got = rows.mapInArrow(pick, "rid bigint, label int, mask binary, word binary, ev binary, tri binary").toPandas()
+    if not len(got):
+        return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
+    got = got.sort_values(["rid", "mask", "word", "tri"], ignore_index=True)
+    of = lambda name, kind, *shape: np.frombuffer(b"".join(got[name]), kind).reshape(len(got), WINDOW, *shape)
+    p = _learned(_start(np.random.Generator(np.random.PCG64(9))), got["label"].to_numpy(), of("mask", bool), of("word", np.int16), of("ev", np.float32), of("tri", np.int16, 12))
+    return Model(_log_odds(a, b, rate), p, rate)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
