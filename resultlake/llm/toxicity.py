@@ -24,6 +24,8 @@ EVIDENCE_BUCKETS, WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 14, 1 << 12
 #: Bound of the labelled sample, and the windows of each text that training looks at.
 SAMPLE, WINDOWS_EACH = 12_000, 4
 EPOCHS, BATCH, RATE = 8, 512, 0.01
+#: Least number of steps, for samples of few windows.
+STEPS = 300
 #: Weight of the base rate against what is seen of a word.
 PRIOR = 4.0
 _U = np.uint64
@@ -210,7 +212,7 @@ def _learned(p, label, mask, bucket, ev, tri):
     label = label.astype(np.float32)
     rng = np.random.Generator(np.random.PCG64(10))
     m1, m2, step = {}, {}, 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(label)))):
         order = rng.permutation(len(label))
         for k in range(0, len(order), BATCH):
             s = order[k : k + BATCH]
