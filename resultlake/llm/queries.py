@@ -7,17 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, lines, lm, simhash, suffix, toxicity
+from . import bpe, decontaminate, fingerprint, lines, lm, quality, shared, simhash, suffix, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good; kept are texts that are good more likely than not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(5) == 0
+    ratings = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.expr("quality * (2 - toxic)").alias("grade"))
+    scored = quality.score(docs, quality.fit(docs, ratings))
+    return scored.select("doc_id", held_out.alias("held_out"), "expected_grade", F.col("tails")[0].alias("p_ge_1"), F.element_at("tails", -1).alias("p_ge_2"), "grade", (F.col("tails")[0] >= 0.5).alias("keep"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = bpe.vocabulary_file(spark)
+    order = tokenfiles.write(table(spark, sf_dir, "documents"), f"{shared.shared_folder(spark)}/tokens", ranks, pattern)
+    counted = tokenfiles.count(tokenfiles.sizes(spark, order))
+    return order.join(counted, ["file", "nth"]).select("doc_id", "n_tokens")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.vocabulary_file(spark)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern))
@@ -38,10 +58,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _remainder(n: int):
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
-
-
 def op8_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.fit(docs, _remainder(7) != 2)
@@ -61,5 +77,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op4_bpe, op5_line_dedup, op6_suffix_dedup, op7_simhash, op8_ctw_scores, op9_toxicity, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_token_counts, op4_bpe, op5_line_dedup, op6_suffix_dedup, op7_simhash, op8_ctw_scores, op9_toxicity, op10_decontaminate)}
 ORACLE: dict[str, str] = {"op10_decontaminate": decontaminate.LEAKS_SQL}

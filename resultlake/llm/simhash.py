@@ -188,3 +188,16 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = shared.stage(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-of")
     return fp.join(of, "fp").select(id_col, "fp", "component_id")
+
+
+def distinct(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3) -> DataFrame:
+    """The rows of ``docs`` with the least id (null last, then hash) of each component; columns stay.
+
+    Rows that repeat id and text give one.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    of = near_duplicates(keyed.select("__key", text_col), text_col, "__key", width).select("__key", "component_id").distinct()
+    ranked = keyed.select("__key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__key").alias("at")).distinct()
+    least = ranked.join(of, "__key").groupBy("component_id").agg(F.min("at").alias("at"))
+    keys = shared.stage(least.select(F.col("at.__key").alias("__key")), "simhash-kept")
+    return keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
