@@ -4,7 +4,7 @@
    pre-token makes them globally distinct, and each is encoded once.
 2. Pre-tokens explode with their positions and the ids join back.  The join treats its skew by
    splitting it: the ``HOT`` most frequent short pre-tokens, a table of bounded size, are
-   broadcast and joined where the text lies; all others shuffle as (pre-token, text, positions).
+   broadcast and joined where the text lies; all others shuffle as (pre-token, text, positions), a pre-token by its 63-bit hash.
 3. Texts (as hot ranks) and joined ids meet by text and are reassembled by position.
 Decoding joins the ids with the token-byte table, which the vocabulary bounds, and concatenates.
 """
@@ -25,7 +25,7 @@ from . import shared
 #: Pre-tokens that are broadcast: so many at most, and so many bytes each at most.
 HOT, HOT_BYTES = 400_000, 32
 #: A task hands on its pre-token counts when it holds this many.
-FLUSH = 400_000
+FLUSH = 800_000
 
 
 @cache
@@ -63,20 +63,120 @@ def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
     return data[place].tobytes()
 
 
+#: Pattern that ``pretokens`` finds by array operations; others run as regular expressions.
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_WHITE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Class of every code point, as the pattern's own engine sees it."""
+    table = np.full(0x110000, _OTHER, np.uint8)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, points))
+    for kind, of in ((_WHITE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in pattern(of).finditer(text):
+            a, b = (i if i < 0xD800 else i + 0x800 for i in (m.start(), m.end() - 1))
+            table[a : b + 1] = kind
+    return table
+
+
+def pretokens(text: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places in ``text`` where the matches of KNOWN_PATTERN begin; matches leave no gaps.
+
+    ``text``: UTF-8 bytes of documents that end at ``off``; no match crosses documents.
+    """
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    table = _classes()
+    kind = table[:128][np.minimum(text, 127)]
+    lead = np.flatnonzero(text >= 0xC0)
+    if len(lead):
+        b = np.zeros((4, len(lead)), np.int64)
+        for k in range(4):
+            b[k] = text[np.minimum(lead + k, n - 1)]
+        size = np.where(b[0] >= 0xF0, 4, np.where(b[0] >= 0xE0, 3, 2))
+        point = np.select([size == 2, size == 3], [(b[0] & 31) << 6 | b[1] & 63, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63], (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63)
+        of = table[point]
+        for k in range(4):
+            kind[(lead + k)[size > k]] = of[size > k]
+    head = np.zeros(n + 1, bool)
+    head[off] = True
+    run = np.ones(n + 1, bool)
+    run[1:n] = (kind[1:] != kind[:-1]) | head[1:n]
+    begin = run[:n].copy()
+    # a run after white space: the last white character stands alone, or leads the run if it is a blank
+    after = np.flatnonzero(run[1:n] & ~head[1:n] & (kind[:-1] == _WHITE)) + 1
+    last = after - 1
+    wide = text[last] >= 0x80
+    while wide.any():
+        wide &= text[last] & 0xC0 == 0x80
+        last = last - wide
+    begin[last] = True
+    begin[after[text[after - 1] == 0x20]] = False
+    # contractions: a lone apostrophe at the start of a match, before these letters
+    quote = np.flatnonzero((text[:-1] == 0x27) & begin[:-1] & run[1:n] & ~head[1:n] & (kind[1:] == _LETTER)) if n > 1 else np.zeros(0, np.int64)
+    if len(quote):
+        one = text[quote + 1]
+        third = np.minimum(quote + 2, n - 1)
+        two = np.where((quote + 2 < n) & ~run[third], text[third], 0)
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+        begin[quote[short | long] + 1] = False
+        stop = np.where(short, quote + 2, quote + 3)[short | long]
+        stop = stop[stop < n]
+        begin[stop[~run[stop]]] = True
+    return np.flatnonzero(begin)
+
+
+def _split(pattern_text: str, data: np.ndarray, off: np.ndarray, i: int, j: int):
+    """(bytes, begins, ends, document, hash) of the pre-tokens of documents i to j."""
+    text, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+    if pattern_text == KNOWN_PATTERN:
+        begin = pretokens(text, o)
+        end = np.r_[begin[1:], len(text)] if len(begin) else begin
+    else:
+        spans = [(m.start(), m.end(), k) for k in range(j - i) for m in pattern(pattern_text).finditer(text[o[k] : o[k + 1]].tobytes().decode())]
+        char = [np.r_[np.flatnonzero(text[o[k] : o[k + 1]] & 0xC0 != 0x80), o[k + 1] - o[k]] + o[k] for k in range(j - i)]
+        begin, end = (np.array([char[s[2]][s[e]] for s in spans], np.int64) for e in (0, 1))
+    return text, begin, end, np.searchsorted(o, begin, side="right") - 1, _hashes(text, begin, end)
+
+
+def _hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """63-bit hashes of stretches of bytes."""
+    p, inverse = shared.powers(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * p[: len(text)], out=sums[1:], dtype=np.uint64)
+        return (shared.mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)) >> np.uint64(1)).view(np.int64)
+
+
 def _distinct(pattern_text):
     def run(batches):
-        from collections import Counter
+        counts: dict[int, int] = {}
+        words: dict[int, str] = {}
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(words.values(), pa.string()), pa.array([counts[h] for h in words], pa.int64())], ["word", "n"])
 
-        split, counts = pattern(pattern_text).findall, Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    counts.update(split(text))
+            data, off = shared.buffers(b.column(0))
+            for i, j in shared.chunks(off, 2 * shared.CHUNK_BYTES):
+                text, begin, end, _, h = _split(pattern_text, data, off, i, j)
+                key, first, n = np.unique(h, return_index=True, return_counts=True)
+                raw = text.tobytes()
+                for k, at, c in zip(key.tolist(), first.tolist(), n.tolist(), strict=True):
+                    if k in counts:
+                        counts[k] += c
+                    else:
+                        counts[k] = c
+                        words[k] = raw[begin[at] : end[at]].decode()
                 if len(counts) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-                    counts = Counter()
+                    yield made()
+                    counts, words = {}, {}
         if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            yield made()
 
     return run
 
@@ -86,16 +186,18 @@ def _encoded(path, pattern_text):
         encode = encoding(path, pattern_text).encode_ordinary
         for b in batches:
             ids = [np.array(encode(w), np.uint32).tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            data, off = shared.buffers(b.column(0))
+            h = _hashes(data[off[0] : off[-1]], off[:-1] - off[0], off[1:] - off[0])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
 
     return run
 
 
 def vocabulary(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str = "text") -> DataFrame:
-    """(word, n, ids binary of little-endian uint32) of every distinct pre-token, written once."""
+    """(word, n, hash, ids binary of little-endian uint32) of every distinct pre-token, written once."""
     words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct(pattern_text), "word string, n bigint")
     words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    return shared.stage(words.mapInArrow(_encoded(ranks_path, pattern_text), "word string, n bigint, ids binary"), "bpe-words")
+    return shared.stage(words.mapInArrow(_encoded(ranks_path, pattern_text), "word string, n bigint, hash bigint, ids binary"), "bpe-words")
 
 
 def _hot(words: DataFrame):
@@ -111,6 +213,17 @@ def _hot(words: DataFrame):
     return short & (step >= least)
 
 
+def _pack(ranks: np.ndarray, compress) -> bytes:
+    """Ranks below 2^24 as three planes of bytes; frequent ones are small, so two are nearly empty."""
+    planes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return compress(np.ascontiguousarray(planes[:, :3].T).tobytes())
+
+
+def _unpack(packed: bytes, decompress) -> np.ndarray:
+    planes = np.frombuffer(decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, ids binary, decoded binary): token ids (little-endian uint32) of each whole text.
 
@@ -122,37 +235,43 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
     kind = dict(docs.dtypes)[id_col]
     words = vocabulary(docs, ranks_path, pattern_text, text_col)
     hot = _hot(words)
-    chosen = words.where(hot).select("word", "ids").toPandas()  # HOT rows at most
-    table = sc.broadcast((chosen["word"].tolist(), [bytes(x) for x in chosen["ids"]]))
+    chosen = words.where(hot).select("hash", "n", "ids").toPandas().sort_values(["n", "hash"], ascending=False)  # HOT rows at most
+    hot_size = np.array([len(x) // 4 for x in chosen["ids"]] + [0], np.int64)
+    table = sc.broadcast((shared.Lookup(chosen["hash"].to_numpy(np.int64), np.arange(len(chosen))), hot_size, b"".join(chosen["ids"])))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
 
-    def ranks():
-        return {w: k for k, w in enumerate(table.value[0])}
-
     def rare(batches):
-        """(key, word, at): positions of pre-tokens that aren't hot."""
-        rank, split = ranks(), pattern(pattern_text).findall
+        """(key, hash, at): positions of pre-tokens that aren't hot."""
+        ranks = table.value[0]
         for b in batches:
-            keys, out_words, out_at = [], [], []
-            for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found: dict[str, list[int]] = {}
-                for at, word in enumerate(split(text)):
-                    if word not in rank:
-                        found.setdefault(word, []).append(at)
-                keys += [key] * len(found)
-                out_words += found
-                out_at += [np.array(v, np.uint32).tobytes() for v in found.values()]
-                if len(keys) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out_words, pa.string()), pa.array(out_at, pa.binary())], ["key", "word", "at"])
-                    keys, out_words, out_at = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out_words, pa.string()), pa.array(out_at, pa.binary())], ["key", "word", "at"])
+            data, off = shared.buffers(b.column(0))
+            keys = b.column(1).to_numpy()
+            for i, j in shared.chunks(off, 2 * shared.CHUNK_BYTES):
+                _, _, _, doc, h = _split(pattern_text, data, off, i, j)
+                at = np.flatnonzero(~ranks.get(h)[1])
+                if not len(at):
+                    continue
+                first = np.searchsorted(doc, np.arange(j - i))
+                d, h = doc[at], h[at]
+                order = np.lexsort((at, h, d))
+                d, h, place = d[order], h[order], (at[order] - first[d[order]]).astype(np.uint32)
+                edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
+                cut = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer((np.r_[edge, len(d)] * 4).astype(np.int32)), pa.py_buffer(place)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][d[edge]]), pa.array(h[edge]), cut], ["key", "hash", "at"])
 
     def ranked(batches):
-        """(key, id, packed): the hot rank of every pre-token, HOT where it isn't hot."""
-        rank, split, pack = ranks(), pattern(pattern_text).findall, zstandard.ZstdCompressor(level=1).compress
+        """(key, id, packed): the hot rank of every pre-token, one more than the last where it isn't hot."""
+        ranks, size, _ = table.value
+        compress = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            get = rank.get
-            packed = [pack(np.array([get(w, HOT) for w in split(t)], np.uint32).tobytes()) for t in b.column(1).to_pylist()]
+            data, off = shared.buffers(b.column(1))
+            packed = []
+            for i, j in shared.chunks(off, 2 * shared.CHUNK_BYTES):
+                _, _, _, doc, h = _split(pattern_text, data, off, i, j)
+                rank, known = ranks.get(h)
+                rank = np.where(known, rank, len(size) - 1).astype(np.int64)
+                edge = np.searchsorted(doc, np.arange(j - i + 1))
+                packed += [_pack(rank[s:t], compress) for s, t in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(packed, pa.binary())], ["key", "id", "packed"])
 
     def made(ids, type_, texts, back):
@@ -160,10 +279,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
 
     def reassembled(batches):
         """Texts' rows follow the joined rows of the same key."""
-        unpack, hot_ids, tokens = zstandard.ZstdDecompressor().decompress, table.value[1], token_bytes(ranks_path)
-        size = np.array([len(x) // 4 for x in hot_ids] + [0], np.int64)
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(hot_ids), np.uint32)
+        decompress, tokens = zstandard.ZstdDecompressor().decompress, token_bytes(ranks_path)
+        _, size, flat = table.value
+        begin, flat, cold = np.cumsum(size) - size, np.frombuffer(flat, np.uint32), len(size) - 1
         now, joined = None, []
         for b in batches:
             ids, texts, back, held = [], [], [], 0
@@ -173,23 +291,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
                 if packed is None:
                     joined.append((at, word_ids))
                     continue
-                rank = np.frombuffer(unpack(packed), np.uint32).astype(np.int64)
-                rank[rank == HOT] = len(hot_ids)
+                rank = _unpack(packed, decompress)
                 n = size[rank]
-                where = []
-                for at, w in joined:
-                    at = np.frombuffer(at, np.uint32)
-                    n[at] = len(w) // 4
-                    where.append(at)
+                if joined:
+                    at = np.frombuffer(b"".join(a for a, _ in joined), np.uint32)
+                    times, length = (np.array([len(p[k]) // 4 for p in joined]) for k in (0, 1))
+                    n[at] = np.repeat(length, times)
                 first = np.cumsum(n) - n
-                res = np.empty(int(n.sum()), np.uint32)
-                is_hot = rank < len(hot_ids)
-                m, f = n[is_hot], first[is_hot]
-                within = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                res[np.repeat(f, m) + within] = flat[np.repeat(begin[rank[is_hot]], m) + within]
-                for at, (_, w) in zip(where, joined, strict=True):
-                    w = np.frombuffer(w, np.uint32)
-                    res[(first[at][:, None] + np.arange(len(w))).ravel()] = np.tile(w, len(at))
+                # where each id comes from: the hot table, or the joined ids after it
+                source = begin[rank]
+                pool = flat
+                if joined:
+                    pool = np.frombuffer(b"".join(w for _, w in joined), np.uint32)
+                    source[at] = np.repeat(np.cumsum(length) - length, times)
+                take = np.repeat(source - first, n) + np.arange(int(n.sum()))
+                if joined:
+                    is_cold = np.repeat(rank == cold, n)
+                    res = np.empty(len(take), np.uint32)
+                    res[is_cold], res[~is_cold] = pool[take[is_cold]], flat[take[~is_cold]]
+                else:
+                    res = flat[take]
                 ids.append(id_)
                 texts.append(res.tobytes())
                 back.append(decode(res, tokens))
@@ -200,7 +321,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
             if ids:
                 yield made(ids, b.column(3).type, texts, back)
 
-    joined = rows.select("text", "key").mapInArrow(rare, "key bigint, word string, at binary").join(words.where(~hot).select("word", "ids"), "word")
+    joined = rows.select("text", "key").mapInArrow(rare, "key bigint, hash bigint, at binary").join(words.where(~hot).select("hash", "ids"), "hash")
     joined = joined.select("key", "at", "ids", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("packed"))
     texts = rows.mapInArrow(ranked, f"key bigint, id {kind}, packed binary").select("key", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("ids"), "id", "packed")
     both = joined.unionByName(texts).repartition("key").sortWithinPartitions("key", F.col("packed").asc_nulls_first())

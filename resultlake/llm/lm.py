@@ -162,37 +162,6 @@ def _log_probabilities(key, count, top) -> np.ndarray:
 # --- tables of bounded size ------------------------------------------------------------------
 
 
-class Lookup:
-    """Open-addressing table from non-negative 63-bit keys to floats; load one half at most."""
-
-    def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.bits = max(4, (2 * len(key) - 1).bit_length())
-        self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        slot, left = self._slot(key), np.arange(len(key))
-        while len(left):
-            free = self.key[slot] < 0
-            _, first = np.unique(slot[free], return_index=True)
-            put = np.flatnonzero(free)[first]
-            self.key[slot[put]], self.value[slot[put]] = key[left[put]], value[left[put]]
-            stay = np.ones(len(left), bool)
-            stay[put] = False
-            left, slot = left[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, key):
-        return (shared.mix(key.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, known); the value of an unknown key is 0."""
-        value, known = np.zeros(len(key), np.float32), np.zeros(len(key), bool)
-        left, slot = np.arange(len(key)), self._slot(key)
-        while len(left):
-            hit = self.key[slot] == key[left]
-            value[left[hit]], known[left[hit]] = self.value[slot[hit]], True
-            on = ~hit & (self.key[slot] >= 0)
-            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return value, known
-
-
 def _hot(table: DataFrame, by: str, most: int):
     """Condition that holds for the rows of largest ``by``, ``most`` at most, from a histogram."""
     step = F.floor(F.log2(F.col(by).cast("double")) * 8)
@@ -323,7 +292,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     """
     sc = docs.sparkSession.sparkContext
     hot_word = np.argsort(model.hot_words[0])
-    tables = sc.broadcast((Lookup(*model.hot_grams), model.hot_words[0][hot_word], model.hot_words[1][hot_word]))
+    tables = sc.broadcast((shared.Lookup(*model.hot_grams), model.hot_words[0][hot_word], model.hot_words[1][hot_word]))
     names = ["rid", "kind", "key", "tf", "id", "words", "known", "logs", "score", "bytes"]
 
     def run(batches):
