@@ -10,8 +10,9 @@ successor isn't there), the others are induced by one scan over the buckets of f
 Adjacent common prefixes of ``LENGTH`` or more mark the repeats.
 
 Anchors with more than ``GROUP`` differing runs are cut into blocks.  Each block's suffix array
-passes on one string of every repeat it found and all strings it found once, by hash, and these
-meet in one more aggregation.
+passes on one string of every repeat it found and all strings it found once.  They go in pieces of
+``PIECE`` neighbouring starts at fixed places from the anchor, by the hash of what all strings of
+a piece share; pieces met once hold no repeat, and the strings of the others meet by their hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-LENGTH, GRAM, GROUP = 400, 64, 1000
+LENGTH, GRAM, GROUP, PIECE = 400, 64, 1000, 8
 #: Bytes of runs that one suffix array holds, about.
 ARRAY_BYTES = 1 << 21
 _U = np.uint64
@@ -177,13 +178,13 @@ def prefixes_shared(word: np.ndarray, order: np.ndarray) -> np.ndarray:
     return res
 
 
-_FOUND = ["kind", "hash", "key", "begin", "stop"]
+_FOUND = ["kind", "hash", "key", "begin", "stop", "starts", "strings"]
 SPAN, ONCE, TWICE = 0, 1, 2
 
 
 def _searched(rows: list[tuple]):
     """Record batches of spans, and of strings to meet other blocks', from runs of whole blocks."""
-    blocks, keys, begins, lasts, texts = zip(*rows, strict=True)
+    blocks, keys, begins, lasts, places, texts = zip(*rows, strict=True)
     text = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     base = np.cumsum(size) - size
@@ -204,15 +205,25 @@ def _searched(rows: list[tuple]):
     head = np.flatnonzero(hit & (edge | ~np.r_[False, hit[:-1]]))
     tail = np.flatnonzero(hit & (np.r_[edge[1:], True] | ~np.r_[hit[1:], False]))
     ints = lambda x: pa.array(np.asarray(x, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), SPAN, np.int32)), ints(np.zeros(len(head))), ints(key[run[head]]), ints(spot[head] + first[run[head]]), ints(spot[tail] + first[run[tail]] + LENGTH)], _FOUND)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), SPAN, np.int32)), ints(np.zeros(len(head))), ints(key[run[head]]), ints(spot[head] + first[run[head]]), ints(spot[tail] + first[run[tail]] + LENGTH), pa.nulls(len(head), pa.list_(pa.int64())), pa.nulls(len(head), pa.list_(pa.int64()))], _FOUND)
     cut = np.zeros(len(text), bool)
     cut[spot] = (np.array(blocks) > 1)[run]
     if cut.any():
         owner = np.zeros(len(text), np.int64)
         owner[spot] = run
+        sums, anchor = _sums(text), base + np.array(places)
         for kind, at in ((ONCE, order[~repeated[order] & cut[order]]), (TWICE, order[repeated[order] & ~same & cut[order]])):
-            at_key, at_begin = key[owner[at]], at + first[owner[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(_hashes(_sums(text), at, at + LENGTH).view(np.int64)), ints(at_key), ints(at_begin), ints(at_begin + LENGTH)], _FOUND)
+            at = np.sort(at)
+            if not len(at):
+                continue
+            of = owner[at]
+            piece = (anchor[of] - at) // PIECE
+            edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (piece[1:] != piece[:-1])])
+            begin = anchor[of[edge]] - PIECE * piece[edge]
+            shared_part = shared.mix(_hashes(sums, begin, begin + LENGTH - PIECE + 1) + piece[edge].astype(_U))
+            lists = lambda x, edge=edge: pa.ListArray.from_arrays(pa.array(np.r_[edge, len(x)], pa.int32()), pa.array(x, pa.int64()))
+            none = pa.nulls(len(edge), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), kind, np.int32)), pa.array(shared_part.view(np.int64)), ints(key[of[edge]]), none, none, lists(at + first[of]), lists(_hashes(sums, at, at + LENGTH).view(np.int64))], _FOUND)
 
 
 def _search(batches):
@@ -248,7 +259,7 @@ def _fetched(batches):
         out, held = [], 0
         for k, (key, wanted) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
             for w in wanted:
-                out.append((w["anchor"], w["block"], w["blocks"], key, w["begin"], w["last"], data[off[k] + w["begin"] : off[k] + w["last"] + LENGTH].tobytes()))
+                out.append((w["anchor"], w["block"], w["blocks"], key, w["begin"], w["last"], w["place"], data[off[k] + w["begin"] : off[k] + w["last"] + LENGTH].tobytes()))
                 held += len(out[-1][-1])
             if held > 4 * shared.CHUNK_BYTES:
                 yield _run_batch(out)
@@ -258,8 +269,8 @@ def _fetched(batches):
 
 
 def _run_batch(rows):
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "block", "blocks", "key", "begin", "last", "bytes"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "block", "blocks", "key", "begin", "last", "place", "bytes"])
 
 
 def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -283,13 +294,15 @@ def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", group
     differing = rows.where("kinds > 1").dropDuplicates(["anchor", "content"])
     blocks = F.ceil(F.col("kinds") / group).cast("int")
     asked = differing.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("key", "begin"), F.col("blocks")))
-    asked = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "block", "blocks", "begin", "last")).alias("wanted"))
-    fetched = keyed.select("key", "text").join(asked, "key").mapInArrow(_fetched, "anchor bigint, block int, blocks int, key bigint, begin bigint, last bigint, bytes binary")
+    asked = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "block", "blocks", "begin", "last", "place")).alias("wanted"))
+    fetched = keyed.select("key", "text").join(asked, "key").mapInArrow(_fetched, "anchor bigint, block int, blocks int, key bigint, begin bigint, last bigint, place bigint, bytes binary")
     dealt = fetched.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-    found = shared.stage(dealt.mapInArrow(_search, "kind int, hash bigint, key bigint, begin bigint, stop bigint"), "suffix-found")
-    met = found.where(F.col("kind") != SPAN)
-    twice = met.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    late = met.where(F.col("kind") == ONCE).join(twice, "hash").select("key", "begin", "stop")
+    found = shared.stage(dealt.mapInArrow(_search, "kind int, hash bigint, key bigint, begin bigint, stop bigint, starts array<bigint>, strings array<bigint>"), "suffix-found")
+    pieces = found.where(F.col("kind") != SPAN).select("kind", "hash", "key", "starts", "strings")
+    met = pieces.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    live = pieces.join(met, "hash").select("kind", "key", F.explode(F.arrays_zip("starts", "strings")).alias("s")).select("kind", "key", F.col("s.starts").alias("begin"), F.col("s.strings").alias("string"))
+    twice = live.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    late = live.where(F.col("kind") == ONCE).join(twice, "string").select("key", "begin", (F.col("begin") + LENGTH).alias("stop"))
     return equal.unionByName(found.where(F.col("kind") == SPAN).select("key", "begin", "stop")).unionByName(late)
 
 
