@@ -92,8 +92,10 @@ def in_order(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     n = rows.count()
     parts = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
     cuts = sorted({*(rows.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or [])} - {math.inf}) if parts > 1 else []
-    cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="at", handleInvalid="keep")
-    dealt = cut.transform(rows.withColumn("place", order)).select(F.col("at").cast("int").alias("bucket"), "id", "text")
+    placed = rows.withColumn("place", order).withColumn("at", F.lit(0))
+    if cuts:
+        placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="at", handleInvalid="keep").transform(placed.drop("at"))
+    dealt = placed.select(F.col("at").cast("int").alias("bucket"), "id", "text")
     heads = sorted((r["bucket"], r["id"]) for r in dealt.groupBy("bucket").agg(F.min("id").alias("id")).collect())
     if not heads:
         return dealt.select("bucket", F.lit(False).alias("extra"), "id", "text")
