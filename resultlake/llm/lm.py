@@ -288,7 +288,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
 
     ``score``: log10 of the model's probability of the text.  ``base_score``: the add-one word
     model's over words and one end.  ``n_bytes``: coded bytes, the end included.  Null text counts
-    as empty, an empty text has its end alone; repeated rows are scored each.
+    as empty, an empty text has its end alone; repeated rows are scored each.  A gram that ``fit``
+    never met counts as eight even bits.
     """
     sc = docs.sparkSession.sparkContext
     hot_word = np.argsort(model.hot_words[0])
@@ -338,7 +339,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
         F.sum("words").alias("words"),
         (F.sum("known") + F.sum(F.when((F.col("kind") == WORD) & F.col("value").isNotNull(), F.col("tf")).otherwise(0))).alias("known"),
         (F.sum("logs") + F.sum(F.when(F.col("kind") == WORD, value).otherwise(0.0))).alias("logs"),
-        (F.sum("score") + F.sum(F.when(F.col("kind") == GRAM, value).otherwise(0.0))).alias("score"),
+        (F.sum("score") + F.sum(F.when(F.col("kind") == GRAM, F.col("tf") * F.coalesce("value", F.lit(float(-8 * np.log10(2))))).otherwise(0.0))).alias("score"),
     )
     end, each = float(np.log10(model.texts + 1.0)), float(np.log10(model.tokens + model.distinct + 1.0))
     return summed.select(

@@ -135,9 +135,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with expected_grade (double), tails (array<double>, grade 1 on) and grade (int).
 
     ``grade``: the highest one whose tail is one half or more.  Rows stay as they were; null texts
-    count as empty.
+    count as empty; columns of these names are replaced.
     """
     shared_model = docs.sparkSession.sparkContext.broadcast(vars(model))
+    docs = shared.without(docs, "expected_grade", "tails", "grade")
     at = docs.columns.index(text_col)
 
     def run(batches):

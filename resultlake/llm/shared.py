@@ -38,6 +38,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that clash with results (in any case)."""
+    return df.drop(*(c for c in df.columns if c.lower() in names))
+
+
 # --- connected components --------------------------------------------------------------------
 
 

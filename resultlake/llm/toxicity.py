@@ -302,8 +302,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1); all else, nulls and repeats too, as it was."""
+    """``docs`` with a column ``toxicity`` (0 to 1); all else, nulls and repeats too, as it was.
+
+    A column of that name is replaced.
+    """
     shared_model = docs.sparkSession.sparkContext.broadcast((model.evidence, model.p, model.rate))
+    docs = shared.without(docs, "toxicity")
     at = docs.columns.index(text_col)
 
     def run(batches):
