@@ -200,15 +200,6 @@ def vocabulary(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: st
     return shared.stage(words.mapInArrow(_encoded(ranks_path, pattern_text), "word string, n bigint, hash bigint, ids binary"), "bpe-words")
 
 
-def _joined(column: pa.ChunkedArray) -> bytes:
-    """The values of a binary column one after the other."""
-    parts = []
-    for c in column.chunks:
-        off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else [0, 0]
-        parts.append(c.buffers()[2].to_pybytes()[off[0] : off[-1]] if off[-1] > off[0] else b"")
-    return b"".join(parts)
-
-
 def _hot(words: DataFrame):
     """Condition for the most frequent short pre-tokens, ``HOT`` at most, from a histogram."""
     short = (F.octet_length("word") <= HOT_BYTES) & (F.length("ids") <= 4 * HOT_BYTES)
@@ -248,7 +239,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
     chosen = words.where(hot).select("hash", "n", F.octet_length("ids").alias("size"), "ids").toArrow()
     hashes, count, size = (chosen.column(c).to_numpy().astype(np.int64) for c in ("hash", "n", "size"))
     order = np.lexsort((hashes, -count))
-    ids = np.frombuffer(_joined(chosen.column("ids").take(pa.array(order))), np.uint32)
+    ids = np.frombuffer(shared.joined(chosen.column("ids").take(pa.array(order))), np.uint32)
     hot_size = np.r_[size[order] // 4, 0]
     table = sc.broadcast((shared.Lookup(hashes[order], np.arange(len(order))), hot_size, ids.tobytes()))
     del chosen, hashes, count, size, order, ids

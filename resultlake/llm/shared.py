@@ -123,6 +123,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
+def joined(column: pa.ChunkedArray) -> bytes:
+    """The values of a binary column one after the other."""
+    parts = []
+    for c in column.chunks:
+        off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else [0, 0]
+        parts.append(c.buffers()[2].to_pybytes()[off[0] : off[-1]] if off[-1] > off[0] else b"")
+    return b"".join(parts)
+
+
 def chunks(off: np.ndarray, most: int = CHUNK_BYTES):
     """Ranges (i, j) of documents whose bytes together stay within ``most`` (one at least)."""
     i, n = 0, len(off) - 1

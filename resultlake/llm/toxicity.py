@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ WINDOW, STRIDE = 24, 12
 UNITS, WORD_DIM, CHAR_DIM = 6, 3, 4
 EVIDENCE_BUCKETS, WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 14, 1 << 12
 #: Bound of the labelled sample, and the windows of each text that training looks at.
-SAMPLE, WINDOWS_EACH = 12_000, 6
+SAMPLE, WINDOWS_EACH = 12_000, 4
 EPOCHS, BATCH, RATE = 8, 512, 0.01
 #: Least number of steps, for samples of few windows.
 STEPS = 300
@@ -292,12 +293,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
                     id_, label, *parts = _windows_of(w, y[i:j], a, b, rate, ids[i:j])
                     yield pa.RecordBatch.from_arrays([pa.array(id_), pa.array(label), *(pa.array([r.tobytes() for r in part], pa.binary()) for part in parts)], ["rid", "label", "mask", "word", "ev", "tri"])
 
-    got = rows.mapInArrow(pick, "rid bigint, label int, mask binary, word binary, ev binary, tri binary").toPandas()
-    if not len(got):
+    got = rows.mapInArrow(pick, "rid bigint, label int, mask binary, word binary, ev binary, tri binary").toArrow()
+    n = got.num_rows
+    if not n:
         return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
-    got = got.sort_values(["rid", "mask", "word", "tri"], ignore_index=True)
-    of = lambda name, kind, *shape: np.frombuffer(b"".join(got[name]), kind).reshape(len(got), WINDOW, *shape)
-    p = _learned(_start(np.random.Generator(np.random.PCG64(9))), got["rid"].to_numpy(np.int64), got["label"].to_numpy(), of("mask", bool), of("word", np.int16), of("ev", np.float32), of("tri", np.int16, 12))
+    order = pc.sort_indices(got, [(c, "ascending") for c in ("rid", "word", "ev", "tri")])
+    columns = {c: got.column(c).take(order) for c in got.column_names}
+    del got
+    of = lambda name, kind, *shape: np.frombuffer(shared.joined(columns.pop(name)), kind).reshape(n, WINDOW, *shape)
+    p = _learned(_start(np.random.Generator(np.random.PCG64(9))), columns["rid"].to_numpy().astype(np.int64), columns["label"].to_numpy(), of("mask", bool), of("word", np.int16), of("ev", np.float32), of("tri", np.int16, 12))
     return Model(_log_odds(a, b, rate), p, rate)
 
 
