@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Pre-tokens that are broadcast: so many at most, and so many bytes each at most.
-HOT, HOT_BYTES = 400_000, 32
+HOT, HOT_BYTES = 1 << 19, 32
 #: A task hands on its pre-token counts when it holds this many.
 FLUSH = 800_000
 
@@ -194,15 +194,19 @@ def _encoded(path, pattern_text):
 
 
 def vocabulary(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str = "text") -> DataFrame:
-    """(word, n, hash, ids binary of little-endian uint32) of every distinct pre-token, written once."""
+    """(hash, n, short, ids binary of little-endian uint32) of every distinct pre-token, written once.
+
+    ``short``: whether it has HOT_BYTES bytes at most.
+    """
     words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct(pattern_text), "word string, n bigint")
     words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    return shared.stage(words.mapInArrow(_encoded(ranks_path, pattern_text), "word string, n bigint, hash bigint, ids binary"), "bpe-words")
+    encoded = words.mapInArrow(_encoded(ranks_path, pattern_text), "word string, n bigint, hash bigint, ids binary")
+    return shared.stage(encoded.select("hash", "n", (F.octet_length("word") <= HOT_BYTES).alias("short"), "ids"), "bpe-words")
 
 
 def _hot(words: DataFrame):
     """Condition for the most frequent short pre-tokens, ``HOT`` at most, from a histogram."""
-    short = (F.octet_length("word") <= HOT_BYTES) & (F.length("ids") <= 4 * HOT_BYTES)
+    short = F.col("short") & (F.octet_length("ids") <= 4 * HOT_BYTES)
     step = F.floor(F.log2("n") * 8)
     total, least = 0, 1 << 30
     for s in words.where(short).groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at once (a longer document is one step).
 CHUNK_BYTES = 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # --- staging ---------------------------------------------------------------------------------
@@ -31,10 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it: lineage ends there."""
+    """Writes ``df`` as a table in the shared folder and reads it: lineage ends there.
+
+    The shuffle files that the write needed are no longer of use, so Spark drops them at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
