@@ -35,7 +35,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.vocabulary_file(spark)
     order = tokenfiles.write(table(spark, sf_dir, "documents"), f"{shared.shared_folder(spark)}/tokens", ranks, pattern)
     counted = tokenfiles.count(tokenfiles.sizes(spark, order))
-    return order.join(counted, ["file", "nth"]).select("doc_id", "n_tokens")
+    return order.join(counted.hint("merge"), ["file", "nth"]).select("doc_id", "n_tokens")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
