@@ -331,6 +331,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
                 yield made(ids, b.column(3).type, texts, back)
 
     joined = rows.select("text", "key").mapInArrow(rare, "key bigint, hash bigint, at binary").join(words.where(~hot).select("hash", "ids"), "hash")
+    joined = shared.stage(joined.select("key", "at", "ids"), "bpe-joined")
     joined = joined.select("key", "at", "ids", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("packed"))
     texts = rows.mapInArrow(ranked, f"key bigint, id {kind}, packed binary").select("key", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("ids"), "id", "packed")
     both = joined.unionByName(texts).repartition("key").sortWithinPartitions("key", F.col("packed").asc_nulls_first())
