@@ -47,7 +47,7 @@ class Fixture:
         names, kinds = zip(*(c.split() for c in self.columns.split(", ")), strict=True)
         kinds = [{"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER", "array<double>": "DOUBLE[]"}[k] for k in kinds]
         values = ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in self.rows)
-        return f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in zip(names, kinds, strict=True))} FROM (VALUES {values}) AS t({', '.join(names)})"
+        return f"SELECT {', '.join(f'CAST("{n}" AS {k}) AS "{n}"' for n, k in zip(names, kinds, strict=True))} FROM (VALUES {values}) AS t({', '.join(f'"{n}"' for n in names)})"
 
 
 class Table:
@@ -626,3 +626,72 @@ def _(spark, folder):
     none = spark.createDataFrame([], "url string, markdown string, published string")
     out = search.timeline(rows, none, AS_OF)
     return out.join(rows.select("query_id", "url", "page_id"), ["query_id", "url"]).select("query_id", "page_id", F.coalesce("month", F.lit("")).alias("month"), "title", "summary")
+
+
+# --- judgements, retention, news, display ----------------------------------------------------
+
+from ..operators import judge, news, retention  # noqa: E402
+from ..sources import article  # noqa: E402
+
+SCORES = Fixture("url string, score double, at string", [("https://a.com/1", 0.9, "2026-08-01"), ("https://a.com/1", 0.2, "2026-08-05"), ("https://b.com/1", 0.4, "2026-01-01")])
+JUDGED = Fixture("query_id bigint, idx bigint, url string", [(1, 0, "https://a.com/1"), (1, 1, "https://b.com/1"), (2, 0, "https://c.com/1")])
+NEWS = Fixture("query_id bigint, query string, pos bigint, title string, url string", [(1, "经济 增长", 1, "经济运行总体平稳向好发展", "https://n.cn/2026/0801/a.html"), (1, "经济 增长", 2, "经济运行总体平稳,向好发展", "https://n.cn/2026/0802/b.html"), (1, "经济 增长", 3, "体育新闻今日要点汇总", "https://n.cn/2026/0803/c.html"), (1, "经济 增长", 4, "增长动能持续增强的背后", "https://n.cn/x.html"), (1, "经济 增长", 5, "经济去年全年数据回顾", "https://n.cn/2025/0101/d.html"), (1, "经济 增长", 6, "短经济", "https://n.cn/2026/0804/e.html")])
+
+
+@query("judge_shards", LISTS_SQL + "SELECT query_id, idx, CAST(floor(idx / 12) AS BIGINT) AS shard FROM merged")
+def _(spark, folder):
+    return judge.shards(merge.merged(_lists(spark, folder))).select("query_id", "idx", "shard")
+
+
+@query("judge_scores", f"SELECT query_id, idx, coalesce(s, 0.5) AS judge_score, s IS NOT NULL AS judged FROM ({JUDGED.sql}) LEFT JOIN (SELECT url, arg_max(score, \"at\") AS s FROM ({SCORES.sql}) WHERE date_diff('day', CAST(\"at\" AS DATE), DATE '{AS_OF}') BETWEEN 0 AND 30 GROUP BY url) USING (url)")
+def _(spark, folder):
+    return judge.judged(JUDGED.df(spark, folder), SCORES.df(spark, folder), AS_OF).select("query_id", "idx", "judge_score", "judged")
+
+
+@query("judge_refreshes", LISTS_SQL + "SELECT query_id, idx FROM merged WHERE idx < 3 OR CAST('0x' || substr(sha256(url), 1, 2) AS INTEGER) < 13")
+def _(spark, folder):
+    rows = merge.merged(_lists(spark, folder)).withColumn("samples", F.when(F.col("idx") < 3, 0).otherwise(9))
+    return judge.refreshes(rows).select("query_id", "idx")
+
+
+@query("retain_events", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS nth FROM events) WHERE nth <= 20")
+def _(spark, folder):
+    return retention.newest(tables.table(spark, folder, "events"), [F.desc("ts"), F.col("event_id")], 20, ["user_id"]).select("event_id")
+
+
+@query("retain_halved", "SELECT event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) WHERE n <= 60 OR nth > 30")
+def _(spark, folder):
+    return retention.halved(tables.table(spark, folder, "events"), [F.col("ts"), F.col("event_id")], 60, ["user_id"]).select("event_id")
+
+
+@query("news_list", Fixture("query_id bigint, place int, title string, url string, date string", [(1, 1, "经济运行总体平稳,向好发展", "https://n.cn/2026/0802/b.html", "2026-08-02"), (1, 2, "增长动能持续增强的背后", "https://n.cn/x.html", None)]).sql)
+def _(spark, folder):
+    return news.news(NEWS.df(spark, folder), AS_OF)
+
+
+@query("query_prefixes", f"SELECT id AS query_id, k AS words, array_to_string(ws[1:k], ' ') AS prefix FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT id, list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '') AS ws FROM ({ASKED.sql})))")
+def _(spark, folder):
+    return news.prefixes(ASKED.df(spark, folder).selectExpr("id AS query_id", "q AS query"))
+
+
+@query("query_relaxation", f"SELECT id AS query_id, max(k) AS words FROM (SELECT id, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT id, list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '') AS ws FROM ({ASKED.sql}))) WHERE k <= 2 GROUP BY id")
+def _(spark, folder):
+    asked = news.prefixes(ASKED.df(spark, folder).selectExpr("id AS query_id", "q AS query"))
+    return news.relaxed(asked.withColumn("n", F.when(F.col("words") <= 2, 1).otherwise(0)))
+
+
+@query("result_display", LISTS_SQL + """SELECT query_id, idx, NOT (idx % 7 = 0 OR len(list_filter(flags, lambda f: f LIKE 'low:spam%')) > 0) AS show_url,
+  CASE WHEN idx % 7 = 0 OR len(list_filter(flags, lambda f: f LIKE 'low:%' AND f <> 'low:stale')) > 0 THEN '' WHEN idx % 2 = 0 THEN substr(text, 1, 120) ELSE text END AS show_desc FROM noted""")
+def _(spark, folder):
+    rows = filters.annotate(merge.merged(_lists(spark, folder))).withColumn("low_relevance", F.col("idx") % 7 == 0).withColumn("tier", F.when(F.col("idx") % 2 == 0, "edge").otherwise("shown"))
+    return news.shown(rows).select("query_id", "idx", "show_url", "show_desc")
+
+
+@query("list_body", Fixture("page_id bigint, body string, newest string, dated bigint", [(1, "\n".join(f"2026-08-0{i} Story number {i}" for i in range(5, 0, -1)) + "\nUndated story", "2026-08-05", 5)]).sql)
+def _(spark, folder):
+    return news.list_body(links.link_list(serp.anchors(LIST_HTML.df(spark, folder))))
+
+
+@query("readable_body")
+def _(spark, folder):
+    return article.articles(tables.table(spark, folder, "pages"))

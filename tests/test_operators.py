@@ -188,3 +188,13 @@ def test_settings(tmp_path):
     for bad in ({"limit": 151}, {"unknown": 1}, {"rel_mode": "x"}):
         with pytest.raises(ValueError):
             settings(None, {}, **bad)
+
+
+def test_article():
+    from resultlake.sources import article
+
+    page = "<title>T - Site</title><body><nav><a href=/>home</a></nav><div class='sidebar'>" + "<a href=x>link</a>" * 30 + "</div><div class=content><h1>Real title</h1>" + "<p>A sentence of the article, long enough to count for something. And one more.</p>" * 4 + "<ul><li>point</ul></div><footer>foot</footer>"
+    title, body, md = article.article(page)
+    assert title == "Real title" and body.startswith("Real title") and "foot" not in body and "link" not in body
+    assert md.startswith("# Real title") and "- point" in md
+    assert article.article(None) == ("", "", "")
