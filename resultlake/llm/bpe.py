@@ -72,12 +72,14 @@ _WHITE, _LETTER, _NUMBER, _OTHER = range(4)
 def _classes() -> np.ndarray:
     """Class of every code point, as the pattern's own engine sees it."""
     table = np.full(0x110000, _OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    for kind, of in ((_WHITE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
-        for m in pattern(of).finditer(text):
-            a, b = (i if i < 0xD800 else i + 0x800 for i in (m.start(), m.end() - 1))
-            table[a : b + 1] = kind
+    kinds = [(kind, pattern(of)) for kind, of in ((_WHITE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"))]
+    for base in range(0, 0x110000, 0x1000):  # in blocks, as a string of all code points is large
+        if 0xD800 <= base < 0xE000:
+            continue
+        text = "".join(map(chr, range(base, base + 0x1000)))
+        for kind, of in kinds:
+            for m in of.finditer(text):
+                table[base + m.start() : base + m.end()] = kind
     return table
 
 
@@ -162,7 +164,7 @@ def _distinct(pattern_text):
 
         for b in batches:
             data, off = shared.buffers(b.column(0))
-            for i, j in shared.chunks(off, 2 * shared.CHUNK_BYTES):
+            for i, j in shared.chunks(off):
                 text, begin, end, _, h = _split(pattern_text, data, off, i, j)
                 key, first, n = np.unique(h, return_index=True, return_counts=True)
                 raw = text.tobytes()
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
         for b in batches:
             data, off = shared.buffers(b.column(0))
             keys = b.column(1).to_numpy()
-            for i, j in shared.chunks(off, 2 * shared.CHUNK_BYTES):
+            for i, j in shared.chunks(off):
                 _, _, _, doc, h = _split(pattern_text, data, off, i, j)
                 at = np.flatnonzero(~ranks.get(h)[1])
                 if not len(at):
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
         for b in batches:
             data, off = shared.buffers(b.column(1))
             packed = []
-            for i, j in shared.chunks(off, 2 * shared.CHUNK_BYTES):
+            for i, j in shared.chunks(off):
                 _, _, _, doc, h = _split(pattern_text, data, off, i, j)
                 rank, known = ranks.get(h)
                 rank = np.where(known, rank, len(size) - 1).astype(np.int64)
