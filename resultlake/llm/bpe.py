@@ -326,7 +326,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
                 texts.append(res.tobytes())
                 back.append(decode(res, tokens))
                 held += len(texts[-1]) + len(back[-1])
-                if held > 4 * shared.CHUNK_BYTES:
+                if held > 8 * shared.CHUNK_BYTES:
                     yield made(ids, b.column(3).type, texts, back)
                     ids, texts, back, held = [], [], [], 0
             if ids:

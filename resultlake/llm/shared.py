@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at once (a longer document is one step).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -261,7 +261,7 @@ def _fetched(batches):
             for w in wanted:
                 out.append((w["anchor"], w["block"], w["blocks"], key, w["begin"], w["last"], w["place"], data[off[k] + w["begin"] : off[k] + w["last"] + LENGTH].tobytes()))
                 held += len(out[-1][-1])
-            if held > 4 * shared.CHUNK_BYTES:
+            if held > 8 * shared.CHUNK_BYTES:
                 yield _run_batch(out)
                 out, held = [], 0
         if out:
@@ -323,7 +323,7 @@ def _removed(batches):
             count.append(int((covered & ~np.r_[False, covered[:-1]]).sum()) if len(text) else 0)
             kept.append(text[~covered].tobytes())
             held += len(kept[-1])
-            if held > 4 * shared.CHUNK_BYTES:
+            if held > 8 * shared.CHUNK_BYTES:
                 yield _kept_batch(b, ids, sizes, gone, count, kept)
                 sizes, gone, count, kept, held, ids = [], [], [], [], 0, []
         if ids:
