@@ -261,6 +261,26 @@ def test_line_dedup(docs, none):
     assert lines.dedup(none).count() == 0
 
 
+def test_line_dedup_of_a_large_family(spark, monkeypatch):
+    """Variants like the original, but not like each other, and unlike lines with the same start."""
+    monkeypatch.setattr(lines, "BLOCK_GRAMS", 4_000)
+    base = [f"{w}{k}" for k in range(3) for w in PROSE.split()[:14]]
+    rng = np.random.default_rng(5)
+
+    def edited(words, n):
+        words = list(words)
+        for k in rng.choice(len(words), n, replace=False):
+            words[k] = "".join(rng.choice(list("bcdfgh"), len(words[k])))
+        return " ".join(words)
+
+    family = [" ".join(base)] + [edited(base, 2) for _ in range(300)]
+    others = [" ".join(base[:25]) + " " + edited(base[25:], 17) for _ in range(60)]
+    texts = list(enumerate(family + others))
+    root = brute_lines(texts)
+    assert 1 < len(set(root.values())) < len(texts) / 2
+    got = lines.dedup(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert Counter(root[r.text] for r in got.collect() if r.text) == Counter(set(root.values()))
+
 ITEMS = [(1, " ".join(PROSE.split()[3:20])), (2, "seven wizards! MIX, very potent brews (in) old"), (3, None), (4, ""), (5, "one"), (6, "words that occur in no document of all these here"), (1, " ".join(PROSE.split()[3:20]))]
 
 
