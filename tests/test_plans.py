@@ -33,3 +33,10 @@ def test_scalar_queries_stay_in_the_jvm(spark):
 def test_merging_shuffles_once_for_ranks_and_once_for_keys(spark):
     text = plan(spark, "merge_dedupe")
     assert len(re.findall(r"Exchange hashpartitioning", text)) <= 4 and "CartesianProduct" not in text
+
+
+def test_singleton_buckets_read_every_vector(spark):
+    got = catalog.QUERIES["singleton_buckets"](spark, FOLDER).toPandas()
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id").toPandas()
+    assert sorted(got["idx"]) == sorted(vectors["vec_id"]) and len(vectors) > 200
+    assert got.groupby("query_id")["idx"].nunique().max() <= 150
