@@ -261,6 +261,16 @@ def test_line_dedup(docs, none):
     assert lines.dedup(none).count() == 0
 
 
+def test_line_candidates_of_few_words(spark):
+    a = "counterrevolutionaries internationalization misunderstanding"
+    for b in (a.replace("inter", "intar"), a[:-2] + "xy", a.replace("counter", "counxer")):
+        assert brute_lines([(0, a), (1, b)])[a] == brute_lines([(0, a), (1, b)])[b]
+        rows = spark.createDataFrame([(a,), (b,)], "line string").select(F.xxhash64("line").alias("lid"), lines._signature("line").alias("sig"))
+        assert lines._candidates(rows)[0].count() == 1, b
+    rows = spark.createDataFrame([("one two three four five six seven-eight nine",), ("one two three four five six seven eight nine",)], "line string")
+    assert lines._candidates(rows.select(F.xxhash64("line").alias("lid"), lines._signature("line").alias("sig")))[0].count() == 1
+
+
 def test_line_dedup_of_a_large_family(spark, monkeypatch):
     """Variants like the original, but not like each other, and unlike lines with the same start."""
     monkeypatch.setattr(lines, "BLOCK_GRAMS", 4_000)
