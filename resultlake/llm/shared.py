@@ -52,6 +52,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.lower() in names))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a passing column that ``df`` doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 # --- connected components --------------------------------------------------------------------
 
 

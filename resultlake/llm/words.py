@@ -29,6 +29,11 @@ def shingles(words: str, width: int = 5) -> Column:
     )
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """``df`` marked for broadcast if it has ``most`` rows at most; else as it is, for a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int, values: int = 0, array: str = "") -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows at most; else as it is, for a shuffle.
+
+    With ``array``, a column of arrays, they may hold ``values`` values in all besides.
+    """
+    held = F.sum(F.size(array)) if array else F.lit(0)
+    rows, size = df.limit(most + 1).agg(F.count("*"), held).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= values else df

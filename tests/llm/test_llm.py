@@ -261,14 +261,64 @@ def test_line_dedup(docs, none):
     assert lines.dedup(none).count() == 0
 
 
+def found_pairs(spark, texts):
+    """Pairs of lines that are candidates, in small buckets, and lines of large ones."""
+    rows = spark.createDataFrame([(t,) for t in texts], "line string").select(F.xxhash64("line").alias("lid"), lines._signed("line").alias("signed"))
+    return lines._candidates(rows.select("lid", "signed.sig", "signed.sketch"))
+
+
 def test_line_candidates_of_few_words(spark):
     a = "counterrevolutionaries internationalization misunderstanding"
     for b in (a.replace("inter", "intar"), a[:-2] + "xy", a.replace("counter", "counxer")):
         assert brute_lines([(0, a), (1, b)])[a] == brute_lines([(0, a), (1, b)])[b]
-        rows = spark.createDataFrame([(a,), (b,)], "line string").select(F.xxhash64("line").alias("lid"), lines._signature("line").alias("sig"))
-        assert lines._candidates(rows)[0].count() == 1, b
-    rows = spark.createDataFrame([("one two three four five six seven-eight nine",), ("one two three four five six seven eight nine",)], "line string")
-    assert lines._candidates(rows.select(F.xxhash64("line").alias("lid"), lines._signature("line").alias("sig")))[0].count() == 1
+        assert found_pairs(spark, [a, b])[0].count() == 1, b
+    assert found_pairs(spark, ["one two three four five six seven-eight nine", "one two three four five six seven eight nine"])[0].count() == 1
+
+
+def test_line_dedup_keeps_blank_lines(spark):
+    text = "same line\r\n\r\n\t\n same line\t\n\r\n\t\nend"
+    got = lines.dedup(spark.createDataFrame([(1, text, "x")], "doc_id bigint, text string, key string")).first()
+    assert got.text == "same line\r\n\r\n\t\n\r\n\t\nend" and (got.n_lines, got.n_removed, got.key) == (7, 1, "x")
+
+
+def boilerplate(rng, head, tail, n, edits=2):
+    """Lines of one head and own tails; some tails are those of others with a letter changed."""
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), int(rng.integers(3, 9))))
+    start = " ".join(word() for _ in range(head))
+    tails = [[word() for _ in range(tail)] for _ in range(n // 2)]
+    out = [f"{start} {' '.join(t)}" for t in tails]
+    for t in tails:
+        for _ in range(edits):
+            t = list(t)
+            k = int(rng.integers(tail))
+            t[k] = t[k][:-1] + "z"
+            out.append(f"{start} {' '.join(t)}")
+    return out
+
+
+def test_line_dedup_recall(spark):
+    """Recall of alike pairs by component, on lines with much in common."""
+    rng = np.random.default_rng(11)
+    base = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(9, 18)))) for _ in range(int(rng.integers(2, 6)))) for _ in range(150)]
+    kinds = [base + [t[:k] + "z" + t[k + 1 :] for t in base for k in [int(rng.integers(len(t)))]]]
+    kinds += [boilerplate(rng, head, tail, 120) for head, tail in ((14, 8), (20, 4), (17, 3), (34, 6))]
+    texts = [(i, t, k) for k, ts in enumerate(kinds) for i, t in enumerate(ts)]
+    got = lines.dedup(spark.createDataFrame(texts, "doc_id bigint, text string, kind int"))
+    whole = Counter(r.kind for r in got.where("text <> ''").collect())
+    for k, ts in enumerate(kinds):
+        sets = {t: {t[i : i + 5] for i in range(len(t) - 4)} for t in set(ts)}
+        root = {t: t for t in sets}
+
+        def find(a, root=root):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        for a, b in alike:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        want = len({find(t) for t in sets})
+        assert len(alike) > 50 and want <= whole[k] <= want + 0.01 * len(alike), k
 
 
 def test_line_dedup_of_a_large_family(spark, monkeypatch):
