@@ -4,7 +4,8 @@
    pre-token makes them globally distinct, and each is encoded once.
 2. Pre-tokens explode with their positions and the ids join back.  The join treats its skew by
    splitting it: the ``HOT`` most frequent short pre-tokens, a table of bounded size, are
-   broadcast and joined where the text lies; all others shuffle as (pre-token, text, positions), a pre-token by its 63-bit hash.
+   broadcast and joined where the text lies; all others shuffle as (pre-token, text, positions), a pre-token by two independent hashes, 95
+   bits in all.
 3. Texts (as hot ranks) and joined ids meet by text and are reassembled by position.
 Decoding joins the ids with the token-byte table, which the vocabulary bounds, and concatenates.
 """
@@ -133,7 +134,7 @@ def pretokens(text: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _split(pattern_text: str, data: np.ndarray, off: np.ndarray, i: int, j: int):
-    """(bytes, begins, ends, document, hash) of the pre-tokens of documents i to j."""
+    """(bytes, begins, ends, document, hash, second hash) of the pre-tokens of documents i to j."""
     text, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
     if pattern_text == KNOWN_PATTERN:
         begin = pretokens(text, o)
@@ -142,41 +143,36 @@ def _split(pattern_text: str, data: np.ndarray, off: np.ndarray, i: int, j: int)
         spans = [(m.start(), m.end(), k) for k in range(j - i) for m in pattern(pattern_text).finditer(text[o[k] : o[k + 1]].tobytes().decode())]
         char = [np.r_[np.flatnonzero(text[o[k] : o[k + 1]] & 0xC0 != 0x80), o[k + 1] - o[k]] + o[k] for k in range(j - i)]
         begin, end = (np.array([char[s[2]][s[e]] for s in spans], np.int64) for e in (0, 1))
-    return text, begin, end, np.searchsorted(o, begin, side="right") - 1, _hashes(text, begin, end)
+    return text, begin, end, np.searchsorted(o, begin, side="right") - 1, *_hashes(text, begin, end)
 
 
-def _hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """63-bit hashes of stretches of bytes."""
-    p, inverse = shared.powers(len(text) + 1)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * p[: len(text)], out=sums[1:], dtype=np.uint64)
-        return (shared.mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)) >> np.uint64(1)).view(np.int64)
+def _hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of stretches of bytes, of 63 and 32 bits."""
+    one, two = shared.stretch_hashes(text, begin, end)
+    return (one >> np.uint64(1)).view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _distinct(pattern_text):
     def run(batches):
-        counts: dict[int, int] = {}
-        words: dict[int, str] = {}
+        counts: dict[bytes, int] = {}
 
         def made():
-            return pa.RecordBatch.from_arrays([pa.array(words.values(), pa.string()), pa.array([counts[h] for h in words], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
         for b in batches:
             data, off = shared.buffers(b.column(0))
             for i, j in shared.chunks(off):
-                text, begin, end, _, h = _split(pattern_text, data, off, i, j)
-                key, first, n = np.unique(h, return_index=True, return_counts=True)
+                text, begin, end, _, h, more = _split(pattern_text, data, off, i, j)
+                _, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                if (more[first][of] != more).any():  # unequal pre-tokens with one hash
+                    first, n = np.arange(len(h)), np.ones(len(h), np.int64)
                 raw = text.tobytes()
-                for k, at, c in zip(key.tolist(), first.tolist(), n.tolist(), strict=True):
-                    if k in counts:
-                        counts[k] += c
-                    else:
-                        counts[k] = c
-                        words[k] = raw[begin[at] : end[at]].decode()
+                for s, t, c in zip(begin[first].tolist(), end[first].tolist(), n.tolist(), strict=True):
+                    word = raw[s:t]
+                    counts[word] = counts.get(word, 0) + c
                 if len(counts) > FLUSH:
                     yield made()
-                    counts, words = {}, {}
+                    counts = {}
         if counts:
             yield made()
 
@@ -189,21 +185,21 @@ def _encoded(path, pattern_text):
         for b in batches:
             ids = [np.array(encode(w), np.uint32).tobytes() for w in b.column(0).to_pylist()]
             data, off = shared.buffers(b.column(0))
-            h = _hashes(data[off[0] : off[-1]], off[:-1] - off[0], off[1:] - off[0])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
+            h, more = _hashes(data[off[0] : off[-1]], off[:-1] - off[0], off[1:] - off[0])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h), pa.array(more), pa.array(ids, pa.binary())], ["word", "n", "hash", "more", "ids"])
 
     return run
 
 
 def vocabulary(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str = "text") -> DataFrame:
-    """(hash, n, short, ids binary of little-endian uint32) of every distinct pre-token, written once.
+    """(hash, more, n, short, ids binary of little-endian uint32) of every distinct pre-token, written once.
 
-    ``short``: whether it has HOT_BYTES bytes at most.
+    ``hash``, ``more``: two independent hashes; ``short``: whether it has HOT_BYTES bytes at most.
     """
     words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct(pattern_text), "word string, n bigint")
     words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = words.mapInArrow(_encoded(ranks_path, pattern_text), "word string, n bigint, hash bigint, ids binary")
-    return shared.stage(encoded.select("hash", "n", (F.octet_length("word") <= HOT_BYTES).alias("short"), "ids"), "bpe-words")
+    encoded = words.mapInArrow(_encoded(ranks_path, pattern_text), "word string, n bigint, hash bigint, more int, ids binary")
+    return shared.stage(encoded.select("hash", "more", "n", (F.octet_length("word") <= HOT_BYTES).alias("short"), "ids"), "bpe-words")
 
 
 def _hot(words: DataFrame):
@@ -242,45 +238,51 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
     words = vocabulary(docs, ranks_path, pattern_text, text_col)
     hot = _hot(words)
     # HOT rows at most, as arrays without a Python object each
-    chosen = words.where(hot).select("hash", "n", F.octet_length("ids").alias("size"), "ids").toArrow()
-    hashes, count, size = (chosen.column(c).to_numpy().astype(np.int64) for c in ("hash", "n", "size"))
-    order = np.lexsort((hashes, -count))
+    chosen = words.where(hot).select("hash", "more", "n", F.octet_length("ids").alias("size"), "ids").toArrow()
+    hashes, more, count, size = (chosen.column(c).to_numpy().astype(np.int64) for c in ("hash", "more", "n", "size"))
+    order = np.lexsort((more, hashes, -count))
     ids = np.frombuffer(shared.joined(chosen.column("ids").take(pa.array(order))), np.uint32)
     hot_size = np.r_[size[order] // 4, 0]
-    table = sc.broadcast((shared.Lookup(hashes[order], np.arange(len(order))), hot_size, ids.tobytes()))
-    del chosen, hashes, count, size, order, ids
+    table = sc.broadcast((shared.Lookup(hashes[order], np.arange(len(order))), np.r_[more[order], 0].astype(np.int32), hot_size, ids.tobytes()))
+    del chosen, hashes, more, count, size, order, ids
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
 
+    def rank_of(h, more):
+        """(rank, known); a pre-token that shares its hash with a hot one but isn't it is unknown."""
+        ranks, seconds, *_ = table.value
+        rank, known = ranks.get(h)
+        rank = np.where(known, rank, len(seconds) - 1).astype(np.int64)
+        return rank, known & (seconds[rank] == more)
+
     def rare(batches):
-        """(key, hash, at): positions of pre-tokens that aren't hot."""
-        ranks = table.value[0]
+        """(key, hash, more, at): positions of pre-tokens that aren't hot."""
         for b in batches:
             data, off = shared.buffers(b.column(0))
             keys = b.column(1).to_numpy()
             for i, j in shared.chunks(off):
-                _, _, _, doc, h = _split(pattern_text, data, off, i, j)
-                at = np.flatnonzero(~ranks.get(h)[1])
+                _, _, _, doc, h, more = _split(pattern_text, data, off, i, j)
+                at = np.flatnonzero(~rank_of(h, more)[1])
                 if not len(at):
                     continue
                 first = np.searchsorted(doc, np.arange(j - i))
-                d, h = doc[at], h[at]
-                order = np.lexsort((at, h, d))
-                d, h, place = d[order], h[order], (at[order] - first[d[order]]).astype(np.uint32)
-                edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
+                d, h, more = doc[at], h[at], more[at]
+                order = np.lexsort((at, more, h, d))
+                d, h, more, place = d[order], h[order], more[order], (at[order] - first[d[order]]).astype(np.uint32)
+                edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (more[1:] != more[:-1])])
                 cut = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer((np.r_[edge, len(d)] * 4).astype(np.int32)), pa.py_buffer(place)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][d[edge]]), pa.array(h[edge]), cut], ["key", "hash", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][d[edge]]), pa.array(h[edge]), pa.array(more[edge]), cut], ["key", "hash", "more", "at"])
 
     def ranked(batches):
         """(key, id, packed): the hot rank of every pre-token, one more than the last where it isn't hot."""
-        ranks, size, _ = table.value
+        cold = len(table.value[1]) - 1
         compress = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             data, off = shared.buffers(b.column(1))
             packed = []
             for i, j in shared.chunks(off):
-                _, _, _, doc, h = _split(pattern_text, data, off, i, j)
-                rank, known = ranks.get(h)
-                rank = np.where(known, rank, len(size) - 1).astype(np.int64)
+                _, _, _, doc, h, more = _split(pattern_text, data, off, i, j)
+                rank, known = rank_of(h, more)
+                rank = np.where(known, rank, cold)
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
                 packed += [_pack(rank[s:t], compress) for s, t in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(packed, pa.binary())], ["key", "id", "packed"])
@@ -291,7 +293,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
     def reassembled(batches):
         """Texts' rows follow the joined rows of the same key."""
         decompress, tokens = zstandard.ZstdDecompressor().decompress, token_bytes(ranks_path)
-        _, size, flat = table.value
+        _, _, size, flat = table.value
         begin, flat, cold = np.cumsum(size) - size, np.frombuffer(flat, np.uint32), len(size) - 1
         now, joined = None, []
         for b in batches:
@@ -332,7 +334,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern_text: str, text_col: str =
             if ids:
                 yield made(ids, b.column(3).type, texts, back)
 
-    joined = rows.select("text", "key").mapInArrow(rare, "key bigint, hash bigint, at binary").join(words.where(~hot).select("hash", "ids"), "hash")
+    joined = rows.select("text", "key").mapInArrow(rare, "key bigint, hash bigint, more int, at binary").join(words.select("hash", "more", "ids"), ["hash", "more"])
     joined = shared.stage(joined.select("key", "at", "ids"), "bpe-joined")
     joined = joined.select("key", "at", "ids", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("packed"))
     texts = rows.mapInArrow(ranked, f"key bigint, id {kind}, packed binary").select("key", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("ids"), "id", "packed")

@@ -125,6 +125,25 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
+def stretch_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each stretch of bytes; stretches are in order and don't overlap.
+
+    Each byte counts by a mixed value of itself and its place in the stretch, so that no regular
+    sequence cancels out, as it does in polynomials modulo a power of two.
+    """
+    place = np.arange(len(text))
+    from_ = np.zeros(len(text), np.int64)
+    from_[begin] = begin
+    place -= np.maximum.accumulate(from_) if len(text) else from_
+    one, two = np.zeros(len(text) + 1, _U), np.zeros(len(text) + 1, _U)
+    with np.errstate(over="ignore"):
+        z = mix((place.view(_U) << _U(8) | text) + _U(_BASE))
+        np.cumsum(z, out=one[1:], dtype=_U)
+        np.cumsum((z ^ z >> _U(29)) * _U(0xD6E8FEB86659FD93), out=two[1:], dtype=_U)
+        size = (end - begin).astype(_U)
+        return mix(one[end] - one[begin] + size), mix((two[end] - two[begin]) ^ size)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -181,12 +200,7 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(o, self.start, side="right") - 1
         self.counts = np.bincount(self.doc, minlength=docs)
-        p, inv = powers(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, _U)
-            np.cumsum((low.astype(_U) + _U(1)) * p[:n], out=sums[1:], dtype=_U)
-            self.sums = sums
-            self.hash = mix((sums[self.end] - sums[self.start]) * inv[self.start] + (self.end - self.start).astype(_U))
+        self.hash = stretch_hashes(low, self.start, self.end)[0]
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word shingles and their documents; a shorter one's whole sequence."""

@@ -213,6 +213,20 @@ def test_bpe(docs, none, vocabulary, monkeypatch, hot):
     assert digest.n_tokens == len(encode(LONG)) and digest.decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("hot", [bpe.HOT, 1])
+def test_bpe_of_regular_words(spark, vocabulary, monkeypatch, hot):
+    """Thue-Morse words and their complements collide in polynomial hashes modulo 2^64."""
+    monkeypatch.setattr(bpe, "HOT", hot)
+    texts = []
+    for bits in (10, 11, 12, 13):
+        word = "".join("ab"[k.bit_count() & 1] for k in range(1 << bits))
+        texts += [word, word.translate(str.maketrans("ab", "ba"))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.encode(rows, *vocabulary).collect()} == dict(enumerate(texts))
+    w = shared.Words(*shared.buffers(pa.array(texts)), 0, len(texts))
+    assert len(set(w.hash.tolist())) == len(texts)
+
+
 def test_bpe_with_another_pattern(docs, vocabulary):
     own = r"\S+|\s+"
     encode = bpe.encoding(vocabulary[0], own).encode_ordinary
@@ -341,7 +355,7 @@ def test_line_dedup_of_a_large_family(spark, monkeypatch):
     got = lines.dedup(spark.createDataFrame(texts, "doc_id bigint, text string"))
     assert Counter(root[r.text] for r in got.collect() if r.text) == Counter(set(root.values()))
 
-ITEMS = [(1, " ".join(PROSE.split()[3:20])), (2, "seven wizards! MIX, very potent brews (in) old"), (3, None), (4, ""), (5, "one"), (6, "words that occur in no document of all these here"), (1, " ".join(PROSE.split()[3:20]))]
+ITEMS = [(1, " ".join(PROSE.split()[3:20])), (2, "seven wizards! MIX, very potent brews (in) old"), (3, None), (4, ""), (5, "one"), (6, "words that occur in no document of all these here"), (1, " ".join(PROSE.split()[3:20])), (7, "an item of two texts whose other one is long and in no document " * 3), (7, " ".join(PROSE.split()[1:18]))]
 
 
 def brute_leaks(texts, items):
@@ -361,6 +375,8 @@ def test_decontaminate(spark, docs, none):
     bad = {i for i, _ in brute_leaks(TEXTS, ITEMS)}
     kept = decontaminate.clean(docs, items)
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, _ in TEXTS if i not in bad), key=repr)
+    clash = docs.withColumn("__key", F.lit("mine")).limit(1)
+    assert clash.columns == decontaminate.clean(clash, items.limit(0)).columns == simhash.distinct(clash).columns
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(TEXTS)
 
 
