@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 LENGTH, GRAM, GROUP, PIECE = 400, 64, 1000, 8
+#: Bits of a place in a step (a document has fewer bytes); anchors go by the other bits of their hash, then by place.
+PLACE = 32
+#: Kinds of runs that are joined by broadcast, the most frequent ones.
+HOT_KINDS = 50_000
 #: Bytes of runs that one suffix array holds, about.
 ARRAY_BYTES = 1 << 21
 _U = np.uint64
@@ -69,8 +73,8 @@ def runs(data: np.ndarray, off: np.ndarray):
     sums = _sums(text)
     spots = np.arange(len(text) - GRAM + 1)
     gram = _hashes(sums, spots, spots + GRAM)
-    bits = _U(max(1, int(len(text)).bit_length()))
-    owner = (_least(gram >> bits << bits | spots.astype(_U), LENGTH - GRAM + 1) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    # equal strings choose the same place wherever they lie: the same bits decide, then the first place
+    owner = (_least(gram >> _U(PLACE) << _U(PLACE) | spots.astype(_U), LENGTH - GRAM + 1) & _U((1 << PLACE) - 1)).astype(np.int64)
     starts = np.arange(len(owner))
     doc = np.searchsorted(o, starts, side="right") - 1
     whole = starts + LENGTH <= o[doc + 1]
@@ -289,7 +293,7 @@ def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", group
     kinds = every.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1").select("anchor", "kinds")
     known = shared.stage(kinds.join(anchors, "anchor"), "suffix-kinds")
-    rows = every.join(known, ["anchor", "content"])
+    rows = _joined(every, known)
     equal = rows.where("n > 1").select("key", "begin", (F.col("last") + LENGTH).alias("stop"))
     differing = rows.where("kinds > 1").dropDuplicates(["anchor", "content"])
     blocks = F.ceil(F.col("kinds") / group).cast("int")
@@ -306,6 +310,21 @@ def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", group
     return equal.unionByName(found.where(F.col("kind") == SPAN).select("key", "begin", "stop")).unionByName(late)
 
 
+def _joined(every: DataFrame, known: DataFrame) -> DataFrame:
+    """``every`` joined to ``known``, whose most frequent kinds are broadcast, so that no task gets all runs of one."""
+    step = F.floor(F.log2("n") * 4)
+    total, least = 0, 1 << 30
+    for s in known.where("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
+        total += s["rows"]
+        if total > HOT_KINDS:
+            break
+        least = s["step"]
+    hot = (F.col("n") > 1) & (step >= least)
+    often = F.broadcast(known.where(hot))
+    rest = every.join(often.select("anchor", "content"), ["anchor", "content"], "left_anti")
+    return every.join(often, ["anchor", "content"]).unionByName(rest.join(known.where(~hot), ["anchor", "content"]))
+
+
 def _removed(batches):
     for b in batches:
         data, off = shared.buffers(b.column(1))
