@@ -82,7 +82,7 @@ def _scanned(end):
                 with store.open_input_file(path) as f:
                     ids = np.frombuffer(f.read_at(n * size, at * size), KIND)
                 ends = np.flatnonzero(ids == end) + at
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([at + n], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "stop", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([at + n], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([ends[-1] if len(ends) else None], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "stop", "n", "last", "ends"])
 
     return run
 
@@ -94,10 +94,12 @@ def count(sizes_: DataFrame, end: int = END_OF_TEXT, block: int = BLOCK) -> Data
     """
     cut = sizes_.where("ids > 0").select("file", "ids", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("ids") - 1) / block))).alias("block"))
     blocks = cut.select("file", "block", (F.col("block") * block).alias("at"), F.least(F.lit(block), F.col("ids") - F.col("block") * block).alias("n"))
-    scanned = blocks.repartition("file", "block").mapInArrow(_scanned(end), "file string, block bigint, stop bigint, ends array<bigint>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.size("ends") > 0, F.element_at("ends", -1)), ignorenulls=True)
-    stitched = scanned.select("file", "stop", "ends", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("nth"), F.coalesce(last.over(before), F.lit(-1)).alias("past"), F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("final"))
+    scanned = shared.stage(blocks.repartition("file", "block").mapInArrow(_scanned(end), "file string, block bigint, stop bigint, n bigint, last bigint, ends array<bigint>"), "token-blocks")
+    # the prefix scan sees a few numbers of each block, not its separators
+    by_file = Window.partitionBy("file").orderBy("block")
+    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    scan = scanned.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("nth"), F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1)).alias("past"), F.lead("block").over(by_file).isNull().alias("final"))
+    stitched = scanned.select("file", "block", "stop", "ends").join(scan, ["file", "block"])
     found = stitched.withColumn("ends", F.when(F.col("final") & (F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("past")) < F.col("stop") - 1), F.concat("ends", F.array("stop"))).otherwise(F.col("ends")))
     each = found.select("file", F.col("nth").alias("base"), F.posexplode(F.transform("ends", lambda e, i: F.struct(e.alias("stop"), F.when(i > 0, F.get("ends", i - 1)).otherwise(F.col("past")).alias("past")))).alias("i", "e"))
     return each.select("file", (F.col("base") + F.col("i")).alias("nth"), (F.col("e.past") + 1).alias("begin"), (F.col("e.stop") - F.col("e.past") - 1).alias("n_tokens"))
