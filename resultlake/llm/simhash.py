@@ -195,9 +195,10 @@ def distinct(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wi
 
     Rows that repeat id and text give one.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    of = near_duplicates(keyed.select("__key", text_col), text_col, "__key", width).select("__key", "component_id").distinct()
-    ranked = keyed.select("__key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__key").alias("at")).distinct()
-    least = ranked.join(of, "__key").groupBy("component_id").agg(F.min("at").alias("at"))
-    keys = shared.stage(least.select(F.col("at.__key").alias("__key")), "simhash-kept")
-    return keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    key = shared.unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    of = near_duplicates(keyed.select(key, text_col), text_col, key, width).select(key, "component_id").distinct()
+    ranked = keyed.select(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("at")).distinct()
+    least = ranked.join(of, key).groupBy("component_id").agg(F.min("at").alias("at"))
+    keys = shared.stage(least.select(F.col("at.key").alias(key)), "simhash-kept")
+    return keyed.join(keys, key, "left_semi").dropDuplicates([key]).drop(key)
