@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .words import small
 
 WINDOW, STRIDE = 24, 12
 UNITS, WORD_DIM, CHAR_DIM = 6, 3, 4
 EVIDENCE_BUCKETS, WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 14, 1 << 12
-#: Bound of the labelled sample, and the windows of each text that training looks at.
-SAMPLE, WINDOWS_EACH = 12_000, 4
-EPOCHS, BATCH, RATE = 8, 512, 0.01
+#: Bound of the labelled sample that the network is fitted on.
+SAMPLE = 12_000
+#: Rounds of training; before each, every text of the sample adds the window that then scores highest.
+ROUNDS, EPOCHS, BATCH, RATE = 3, 6, 512, 0.01
+#: Most labels that are broadcast.
+KNOWN_ROWS = 1_000_000
 #: Least number of steps, for samples of few windows.
 STEPS = 300
 #: Weight of the base rate against what is seen of a word.
@@ -176,132 +180,185 @@ def _log_odds(a, b, rate):
 
 
 def _seen(batches):
-    """Rows (bucket, a, b): texts of either label that have a word of the bucket."""
-    a, b = np.zeros(EVIDENCE_BUCKETS, np.int64), np.zeros(EVIDENCE_BUCKETS, np.int64)
+    """Rows (bucket, a, b): texts of either label that have a word of the bucket; the last one: all texts."""
+    a, b = (np.zeros(EVIDENCE_BUCKETS + 1, np.int64) for _ in "ab")
     for batch in batches:
-        data, off = shared.buffers(batch.column(1))
-        y = batch.column(2).to_numpy() == 1
+        data, off = shared.buffers(batch.column(0))
+        y = batch.column(1).to_numpy() == 1
+        a[-1] += y.sum()
+        b[-1] += (~y).sum()
         for i, j in shared.chunks(off):
             w = shared.Words(data, off, i, j)
             pair = np.unique(w.doc * EVIDENCE_BUCKETS + _bucket(w))
             yes = y[i:j][pair // EVIDENCE_BUCKETS]
-            a += np.bincount(pair[yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
-            b += np.bincount(pair[~yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
+            a[:-1] += np.bincount(pair[yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
+            b[:-1] += np.bincount(pair[~yes] % EVIDENCE_BUCKETS, minlength=EVIDENCE_BUCKETS)
     used = np.flatnonzero(a + b)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(a[used]), pa.array(b[used])], ["bucket", "a", "b"])
 
 
-def _windows_of(w: shared.Words, y: np.ndarray, a, b, rate, ids):
-    """Training windows of some texts: a toxic text's most suspicious one, more of a clean one's."""
+_PICKED = ["rid", "label", "word", "ev", "size", "tri"]
+
+
+def _picked(w: shared.Words, y: np.ndarray, a, b, rate, ids, p):
+    """The window of each text that scores highest, under ``p`` or (None) by its words' evidence.
+
+    A record batch of ids and labels; of the window's words hashes, evidence and sizes, and the
+    trigrams of all their bytes.
+    """
     own = y[w.doc].astype(np.int64)
     at_bucket = _bucket(w)
     # without the text itself: a word of one text only then says nothing
     e = _log_odds(a[at_bucket] - own, b[at_bucket] - (1 - own), rate)
     at, doc = windows(w.counts)
-    top = np.where(at >= 0, e[at], -9).max(1)
-    # half of a clean text's windows are its most suspicious ones, half any
-    lot = shared.mix(ids[doc].view(_U) + np.arange(len(at), dtype=_U))
-    lot_rank = np.empty(len(at), np.int64)
-    by_lot = np.lexsort((lot, doc))
-    lot_rank[by_lot] = np.arange(len(at)) - np.searchsorted(doc[by_lot], doc[by_lot])
-    order = np.lexsort((np.arange(len(at)), -top, doc))
-    rank = np.arange(len(at)) - np.searchsorted(doc[order], doc[order])
-    take = order[(rank < 1) | (((rank < WINDOWS_EACH // 2) | (lot_rank[order] < WINDOWS_EACH // 2)) & (y[doc[order]] == 0))]
+    if p is None:
+        value = np.where(at >= 0, e[at], -9).max(1)
+    else:
+        x = Model(None, p, rate).word_inputs(w, e)
+        g = {s: x @ p[f"W{s}"] + p[f"b{s}"] for s in "fb"}
+        value = np.concatenate([_forward(p, lambda s, t, part=at[k : k + 8192]: g[s][part[:, t]], at[k : k + 8192] >= 0)[0] for k in range(0, len(at), 8192)])
+    order = np.lexsort((np.arange(len(at)), -value, doc))
+    take = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
     at, doc = at[take], doc[take]
     m = at >= 0
-    spots = np.minimum(w.start[at][..., None] + np.arange(12), np.maximum(w.end[at] - 1, 0)[..., None])
-    return ids[doc], y[doc].astype(np.int32), m, np.where(m, (w.hash & _U(WORD_BUCKETS - 1)).astype(np.int16)[at], 0), np.where(m, e[at], 0).astype(np.float32) * 0.5, _trigrams(w.low)[spots].astype(np.int16)
-
+    size = np.where(m, w.end[at] - w.start[at], 0)
+    flat = size[m]
+    place = np.arange(int(flat.sum())) + np.repeat(w.start[at[m]] - (np.cumsum(flat) - flat), flat)
+    tri = _trigrams(w.low)[place].astype(np.int16)
+    edge = np.r_[0, np.cumsum(size.sum(1))]
+    rows = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+    columns = [pa.array(ids[doc]), pa.array(y[doc].astype(np.int32)), rows(np.where(m, w.hash[at].view(np.int64), 0)), rows(np.where(m, e[at], 0).astype(np.float32)), rows(size.astype(np.int32)), pa.array([tri[s:t].tobytes() for s, t in zip(edge[:-1], edge[1:], strict=True)], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, _PICKED)
+
+
+class _Examples:
+    """Training windows: word inputs are made as in scoring, from all trigrams of whole words."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        of = lambda name, kind: np.frombuffer(shared.joined(rows.column(name)), kind).reshape(len(rows), WINDOW)
+        self.text, self.label = rows.column("rid").to_numpy(), rows.column("label").to_numpy().astype(np.float32)
+        size = of("size", np.int32)
+        self.mask = size > 0
+        self.ev = (of("ev", np.float32) * 0.5)[..., None]
+        tri = np.frombuffer(shared.joined(rows.column("tri")), np.int16)
+        words, first, inverse = np.unique(of("word", np.int64)[self.mask], return_index=True, return_inverse=True)
+        self.word = np.zeros(self.mask.shape, np.int64)
+        self.word[self.mask] = inverse
+        self.bucket = (words.view(_U) & _U(WORD_BUCKETS - 1)).astype(np.int64)
+        flat = size[self.mask].astype(np.int64)
+        begin, self.size = (np.cumsum(flat) - flat)[first], flat[first]
+        self.off = np.cumsum(self.size) - self.size
+        self.tri = tri[np.arange(int(self.size.sum())) + np.repeat(begin - self.off, self.size)].astype(np.int64)
+
+    def _words(self, s):
+        """Words of some windows: (numbers, where each stands, sizes, places of their trigrams)."""
+        word, of = np.unique(self.word[s], return_inverse=True)
+        size = self.size[word]
+        first = np.cumsum(size) - size
+        return word, of.reshape(-1), size, self.tri[np.arange(int(size.sum())) + np.repeat(self.off[word] - first, size)], first
+
+    def inputs(self, p, s):
+        word, of, size, tri, first = self._words(s)
+        mean = np.add.reduceat(p["C"][tri], first, axis=0) / size[:, None]
+        x = np.concatenate([self.ev[s], p["E"][self.bucket[self.word[s]]], mean[of].reshape(*self.mask[s].shape, CHAR_DIM)], 2).astype(np.float32)
+        x[~self.mask[s]] = 0
+        return x
 
-def _inputs(p, mask, bucket, ev, tri):
-    x = np.concatenate([ev[..., None], p["E"][bucket], p["C"][tri].mean(2)], 2).astype(np.float32)
-    x[~mask] = 0
-    return x
+    def gradients(self, s, dx):
+        """Gradients of the word and trigram tables from those of the inputs."""
+        dx = dx.copy()
+        dx[~self.mask[s]] = 0
+        word, of, size, tri, _ = self._words(s)
+        bucket = self.bucket[self.word[s]].ravel()
+        e = np.stack([np.bincount(bucket, dx[..., 1 + k].ravel(), WORD_BUCKETS) for k in range(WORD_DIM)], 1)
+        each = [np.repeat(np.bincount(of, dx[..., 1 + WORD_DIM + k].ravel(), len(word)) / size, size) for k in range(CHAR_DIM)]
+        return {"E": e, "C": np.stack([np.bincount(tri, v, CHAR_BUCKETS) for v in each], 1)}
 
 
-def _loss(p, label, mask, bucket, ev, tri) -> float:
+def _loss(p, data: _Examples, at: np.ndarray) -> float:
     total = 0.0
-    for k in range(0, len(label), 4096):
-        s = slice(k, k + 4096)
-        x = _inputs(p, mask[s], bucket[s], ev[s], tri[s])
+    for k in range(0, len(at), 4096):
+        s = at[k : k + 4096]
+        x = data.inputs(p, s)
         g = {side: x @ p[f"W{side}"] + p[f"b{side}"] for side in "fb"}
-        z = _forward(p, lambda side, t, g=g: g[side][:, t], mask[s])[0]
-        total += float(np.logaddexp(0, np.where(label[s] == 1, -z, z)).sum())
-    return total / max(len(label), 1)
+        z = _forward(p, lambda side, t, g=g: g[side][:, t], data.mask[s])[0]
+        total += float(np.logaddexp(0, np.where(data.label[s] == 1, -z, z)).sum())
+    return total / max(len(at), 1)
 
 
-def _learned(p, text, label, mask, bucket, ev, tri):
+def _learned(p, data: _Examples):
     """Adam on the mean log loss; the parameters of least loss on a fifth of the texts, held out."""
-    label = label.astype(np.float32)
-    aside = shared.mix(text.view(_U)) % _U(5) == 0
-    if not 0 < label[aside].mean() < 1 if aside.any() else True:
-        aside = np.zeros(len(label), bool)
-    learn = np.flatnonzero(~aside)
-    held = [v[aside] for v in (label, mask, bucket, ev, tri)]
+    aside = shared.mix(data.text.view(_U)) % _U(5) == 0
+    if not aside.any() or not 0 < data.label[aside].mean() < 1:
+        aside = np.zeros(len(aside), bool)
+    learn, held = np.flatnonzero(~aside), np.flatnonzero(aside)
     rng = np.random.Generator(np.random.PCG64(10))
-    m1, m2, step, best = {}, {}, 0, (np.inf, p)
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(learn)))):
+    m1, m2, step = {}, {}, 0
+    best = (_loss(p, data, held) if len(held) else np.inf), dict(p)
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // (len(learn) * ROUNDS)))):
         order = learn[rng.permutation(len(learn))]
         for k in range(0, len(order), BATCH):
             s = order[k : k + BATCH]
-            g, dx = _gradient(p, _inputs(p, mask[s], bucket[s], ev[s], tri[s]), mask[s], label[s])
-            dx[~mask[s]] = 0
-            g["E"], g["C"] = np.zeros_like(p["E"]), np.zeros_like(p["C"])
-            np.add.at(g["E"], bucket[s].ravel(), dx[..., 1 : 1 + WORD_DIM].reshape(-1, WORD_DIM))
-            for q in range(0, 12, 4):
-                np.add.at(g["C"], tri[s][..., q].ravel(), dx[..., 1 + WORD_DIM :].reshape(-1, CHAR_DIM) / 3)
+            g, dx = _gradient(p, data.inputs(p, s), data.mask[s], data.label[s])
+            g |= data.gradients(s, dx)
             step += 1
             for name, d in g.items():
                 d = d + 1e-5 * p[name]
                 m1[name] = 0.9 * m1.get(name, 0) + 0.1 * d
                 m2[name] = 0.999 * m2.get(name, 0) + 0.001 * d * d
                 p[name] = (p[name] - RATE * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-        if aside.any() and (loss := _loss(p, *held)) < best[0]:
+        if len(held) and (loss := _loss(p, data, held)) < best[0]:
             best = loss, dict(p)
-    return best[1] if aside.any() else p
+    return best[1] if len(held) else p
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Trains on ``sample`` labelled texts at most (least hash of the id).
+    """Words' evidence from all labelled texts; the network from ``sample`` of them at most (least hash of the id).
 
-    Rows without a label, id or match are left out; null texts count as empty.  Without texts of
-    both labels every text gets the base rate.  Executors count words and pick the windows; the
-    driver gets evidence by bucket and ``WINDOWS_EACH`` windows of each sampled text at most.
+    Rows without a label, id or match are left out; null texts count as empty, repeated rows each.
+    Without texts of both labels (an empty table, say) every text gets the base rate.  As a text
+    scores as its highest window does, that one is what training sees of each: by its words'
+    evidence at first, then under the model of the round before.  Executors count words and pick
+    windows; the driver gets evidence by bucket and ROUNDS windows of each sampled text at most.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
-    rows = rows.select(F.xxhash64(id_col, "text").alias("rid"), "text", "label")
-    y = rows.groupBy("label").count().toPandas()
-    n, yes = int(y["count"].sum()), int(y["count"][y["label"] == 1].sum())
-    rate = yes / n if n else 0.0
-    if rate in (0.0, 1.0):
-        return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(small(known, KNOWN_ROWS), id_col).select("text", "label")
     seen = rows.mapInArrow(_seen, "bucket bigint, a bigint, b bigint").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
-    a, b = np.zeros(EVIDENCE_BUCKETS, np.int64), np.zeros(EVIDENCE_BUCKETS, np.int64)
+    a, b = (np.zeros(EVIDENCE_BUCKETS + 1, np.int64) for _ in "ab")
     a[seen["bucket"]], b[seen["bucket"]] = seen["a"], seen["b"]
-    counts = docs.sparkSession.sparkContext.broadcast((a.astype(np.int32), b.astype(np.int32)))
-
-    def pick(batches):
-        a, b = (c.astype(np.int64) for c in counts.value)
-        for batch in batches:
-            data, off = shared.buffers(batch.column(1))
-            ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for i, j in shared.chunks(off):
-                w = shared.Words(data, off, i, j)
-                if len(w.start):
-                    id_, label, *parts = _windows_of(w, y[i:j], a, b, rate, ids[i:j])
-                    yield pa.RecordBatch.from_arrays([pa.array(id_), pa.array(label), *(pa.array([r.tobytes() for r in part], pa.binary()) for part in parts)], ["rid", "label", "mask", "word", "ev", "tri"])
-
-    got = rows.mapInArrow(pick, "rid bigint, label int, mask binary, word binary, ev binary, tri binary").toArrow()
-    n = got.num_rows
-    if not n:
+    n, yes = int(a[-1] + b[-1]), int(a[-1])
+    a, b, rate = a[:-1], b[:-1], (yes / n if n else 0.0)
+    if rate in (0.0, 1.0):
         return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
-    order = pc.sort_indices(got, [(c, "ascending") for c in ("rid", "word", "ev", "tri")])
-    columns = {c: got.column(c).take(order) for c in got.column_names}
-    del got
-    of = lambda name, kind, *shape: np.frombuffer(shared.joined(columns.pop(name)), kind).reshape(n, WINDOW, *shape)
-    p = _learned(_start(np.random.Generator(np.random.PCG64(9))), columns["rid"].to_numpy().astype(np.int64), columns["label"].to_numpy(), of("mask", bool), of("word", np.int16), of("ev", np.float32), of("tri", np.int16, 12))
+    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    sampled = texts.join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col, "text").alias("rid"), "text", "label")
+    sampled = shared.stage(sampled, "toxicity-sample")
+    sc = docs.sparkSession.sparkContext
+    counts = sc.broadcast((a.astype(np.int32), b.astype(np.int32)))
+    p, got = None, None
+    for _ in range(ROUNDS):
+        now = sc.broadcast(p)
+
+        def pick(batches, now=now):
+            a, b = (c.astype(np.int64) for c in counts.value)
+            for batch in batches:
+                data, off = shared.buffers(batch.column(1))
+                ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for i, j in shared.chunks(off):
+                    w = shared.Words(data, off, i, j)
+                    if len(w.start):
+                        yield _picked(w, y[i:j], a, b, rate, ids[i:j], now.value)
+
+        new = sampled.mapInArrow(pick, "rid bigint, label int, word binary, ev binary, size binary, tri binary").toArrow()
+        every = new if got is None else pa.concat_tables([got, new])
+        if not every.num_rows:
+            return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
+        # a window that is picked again counts once
+        got = every.group_by(["rid", "word", "ev", "size", "tri"]).aggregate([("label", "max")]).rename_columns(["rid", "word", "ev", "size", "tri", "label"]).select(_PICKED)
+        got = got.take(pc.sort_indices(got, [(c, "ascending") for c in ("rid", "word", "ev", "tri")]))
+        p = _learned(_start(np.random.Generator(np.random.PCG64(9))) if p is None else p, _Examples(got))
     return Model(_log_odds(a, b, rate), p, rate)
 
 
