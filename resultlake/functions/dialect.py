@@ -91,6 +91,27 @@ class Dialect:
     def product(self, xs: str) -> str:
         return f"aggregate({xs}, 1D, (t, x) -> t * x)" if self.spark else f"coalesce(list_product({xs}), 1)::DOUBLE"
 
+    def most(self, xs: str) -> str:
+        return f"{'array' if self.spark else 'list'}_max({xs})"
+
+    def from_hex(self, s: str) -> str:
+        return f"CAST(conv({s}, 16, 10) AS BIGINT)" if self.spark else f"CAST('0x' || {s} AS BIGINT)"
+
+    def char(self, code: str) -> str:
+        """The character of a code point."""
+        return f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')" if self.spark else f"chr(CAST({code} AS INTEGER))"
+
+    def pair(self, text: str, code: str) -> str:
+        return f"named_struct('text', {text}, 'code', {code})" if self.spark else f"{{'text': {text}, 'code': {code}}}"
+
+    def fold(self, pairs: str, start: str, var: str, to) -> str:
+        """A text changed by each pair in turn; ``to`` makes the next text of an expression for the last."""
+        if self.spark:
+            return f"aggregate({pairs}, {start}, (t, {var}) -> {to('t')})"
+        made = lambda text: f"{{'text': {text}, 'code': 0::BIGINT}}"
+        first = f"list_prepend({made(start)}, list_transform({pairs}, lambda q: {{'text': q.text, 'code': q.code::BIGINT}}))"
+        return f"list_reduce({first}, lambda t, {var}: {made(to('t.text'))}).text"
+
     def let(self, value: str, var: str, body: str) -> str:
         """``body`` with ``var`` for ``value``, which is evaluated once."""
         return self.at(self.each(self.array(value), var, body), "1")

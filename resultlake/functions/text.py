@@ -27,15 +27,20 @@ def strip_tags(d: Dialect, s: str) -> str:
 
 
 def decode_entities(d: Dialect, s: str) -> str:
-    """Percent forms, named entities, then ampersands; numeric ones of printable ASCII."""
+    """Percent forms, named entities, then ampersands and numeric entities of all characters."""
     s = f"replace(replace({s}, '%26', '&'), '%3B', ';')"
     for name, char in NAMED_ENTITIES.items():
         s = f"replace({s}, {d.lit(name)}, {d.lit(char)})"
     s = d.sub(f"replace({s}, '&amp;', '&')", r"(?i)&amp([^a-z0-9#]|$)", "&$1")
-    for code in range(33, 127):
-        if chr(code) in "&<>'\"/()[]-.,:;!?":
-            s = f"replace({s}, '&#{code};', {d.lit(chr(code))})"
-    return s
+    return d.let(s, "s", numeric_entities(d, "s"))
+
+
+def numeric_entities(d: Dialect, s: str) -> str:
+    """With decimal and hexadecimal entities as their characters; numbers that are none stay."""
+    code = f"CASE WHEN substr(e, 3, 1) = 'x' THEN {d.from_hex('substr(e, 4, length(e) - 4)')} ELSE CAST(substr(e, 3, length(e) - 3) AS BIGINT) END"
+    found = d.each(d.distinct(d.every(s, "&#(?:[0-9]{1,7}|x[0-9a-fA-F]{1,6});")), "e", d.pair("e", code))
+    valid = d.keep(found, "p", "(p.code BETWEEN 1 AND 55295 OR p.code BETWEEN 57344 AND 1114111)")
+    return d.fold(valid, s, "p", lambda t: f"replace({t}, p.text, {d.char('p.code')})")
 
 
 def clean(d: Dialect, s: str) -> str:
@@ -73,6 +78,8 @@ def grams(d: Dialect, s: str, n: int, most: int | None = None) -> str:
     """Distinct CJK n-grams after white space goes; of the first ``most`` characters."""
     t = d.sub(s, f"{WHITE}+")
     t = f"substr({t}, 1, {most})" if most else t
+    if d.spark:  # one pass; the other engine has no look-ahead
+        return d.distinct(d.every(t, f"(?={'(' + CJK}{{{n}}}))", 1))
     inner = d.keep(d.each(d.upto(f"length(t) - {n - 1}"), "i", f"substr(t, CAST(i AS INT), {n})"), "g", d.has("g", f"^{CJK}{{{n}}}$"))
     return d.distinct(d.let(t, "t", inner))
 
@@ -165,3 +172,48 @@ def near_description(d: Dialect, a: str, b: str) -> str:
     need = "greatest(20, CAST(ceil(4 * least(length(x), length(y)) / 10.0) AS INT))"
     bare = lambda s: f"substr({d.sub(s, f'{WHITE}+')}, 1, 4096)"
     return d.let(bare(a), "x", d.let(bare(b), "y", f"(length(x) >= 20 AND length(y) >= 20 AND {shares_run(d, 'x', 'y', need)})"))
+
+
+def light_clean(d: Dialect, s: str) -> str:
+    """Without tags; the commonest entities decoded, white space collapsed and trimmed."""
+    s = d.sub(d.sub(s, "<[^>]+>"), "(?i)&nbsp;|&#160;", " ")
+    for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")):
+        s = f"replace({s}, {d.lit(name)}, {d.lit(char)})"
+    return trimmed(d, d.sub(s, f"{WHITE}+", " "))
+
+
+#: Fixed values that results depend on: how much of a title, a description, both and a query is embedded.
+EMBED_TITLE, EMBED_DESC, EMBED_ALL, EMBED_QUERY = 200, 400, 512, 256
+
+
+def embedded_text(d: Dialect, title: str, desc: str) -> str:
+    return f"substr(trim(concat(substr(coalesce({title}, ''), 1, {EMBED_TITLE}), ' ', substr(coalesce({desc}, ''), 1, {EMBED_DESC}))), 1, {EMBED_ALL})"
+
+
+def embedded_query(d: Dialect, q: str) -> str:
+    return f"concat('查询:', substr(trim({q}), 1, {EMBED_QUERY}))"
+
+
+def holds_label(d: Dialect, title: str, label: str) -> str:
+    """Whether a title holds a label in any case; one of letters alone only as whole words."""
+    low = f"lower({label})"
+    whole = f"{'regexp_like' if d.spark else 'regexp_matches'}(lower({title}), concat('(^|[^a-z])', {low}, '($|[^a-z])'))"
+    return f"CASE WHEN {label} = '' THEN false WHEN {d.has(low, '^[a-z]+$')} THEN {whole} ELSE contains(lower({title}), {low}) END"
+
+
+def as_in_titles(d: Dialect, value: str, titles: str) -> str:
+    """A value as the first of the titles that has it writes it."""
+    first = d.at(d.keep(titles, "t", f"contains(lower(t), lower({value}))"), "1")
+    return f"CASE WHEN {d.has(value, '(?i)[a-z]')} THEN coalesce(substr({first}, CAST(instr(lower({first}), lower({value})) AS INT), length({value})), {value}) ELSE {value} END"
+
+
+def own_segment(d: Dialect, title: str, others: str, label: str, most: int = 14) -> str:
+    """The longest part of a title between separators that no other title holds and that lacks the label.
+
+    Else the longest part; empty without other titles.  Parts have two characters or more, the
+    first of equal ones counts.
+    """
+    parts = d.keep(d.split(title, r"[_\-|｜·•,，、;；:：()（）\[\]【】<>《》\"'“”…\s]+"), "p", "length(p) >= 2")
+    free = d.keep("ps", "p", f"NOT {d.any(others, 'o', 'contains(o, p)')} AND ({label} = '' OR NOT contains(p, {label}))")
+    longest = lambda xs: d.at(d.keep(xs, "p", f"length(p) = {d.most(d.each(xs, 'w', 'length(w)'))}"), "1")
+    return f"CASE WHEN {d.size(others)} = 0 THEN '' ELSE {d.let(parts, 'ps', f'substr(coalesce({longest(free)}, {longest("ps")}, {title}), 1, {most})')} END"

@@ -83,6 +83,13 @@ def redirect_target(d: Dialect, u: str) -> str:
     return d.let(code, "c", f"CASE WHEN c = '' THEN {u} ELSE {text} END")
 
 
+def scrubbed(d: Dialect, u: str) -> str:
+    """Without parameters that only say where a news link was shown."""
+    names = "channel|in_ogs|in_tfs|original_source|source|traffic_source|upstream_biz|utm_[a-z_]+"
+    bare = d.sub(d.sub(d.sub(u, f"[?&](?:{names})=[^&]*"), "&{2,}", "&"), r"[?]&", "?")
+    return d.sub(bare, "[?&]$")
+
+
 def cache_key(d: Dialect, u: str) -> str:
     return f"sha1({d.sub(u, '#.*$')})"
 

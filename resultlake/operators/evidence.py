@@ -14,9 +14,9 @@ VERDICTS = {"repeated-body": (0.2, 0.8), "promotional-body": (0.15, 0.8), "title
 READY_SAMPLES, READY_CLASS, TOP_TOKENS, TOLD = 40, 10, 15, 0.65
 
 
-def measures(d: Dialect, title: str, body: str) -> dict[str, str]:
-    """What the structural rules look at."""
-    flat = text.trimmed(d, d.sub(body, f"{WHITE}+", " "))
+def measures(d: Dialect, title: str, body: str, flat: str | None = None) -> dict[str, str]:
+    """What the structural rules look at; ``flat``: the body with white space collapsed, if there is such a column."""
+    flat = flat or text.trimmed(d, d.sub(body, f"{WHITE}+", " "))
     return {
         "n": f"CAST(length({flat}) AS BIGINT)",
         "promo": d.size(d.every(flat, PROMOTION)),
@@ -46,7 +46,8 @@ def verdict(d: Dialect, which: int) -> str:
 
 def structural(contents: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
     """With reason, label and confidence of the structural rules, null where none holds."""
-    measured = contents.withColumns({k: F.expr(e) for k, e in measures(SPARK, title, body).items()})
+    flat = contents.withColumn("__flat", F.expr(text.trimmed(SPARK, SPARK.sub(body, f"{WHITE}+", " "))))
+    measured = flat.withColumns({k: F.expr(e) for k, e in measures(SPARK, title, body, "__flat").items()}).drop("__flat")
     return measured.withColumn("reason", F.expr(reason(SPARK))).withColumn("label", F.expr(verdict(SPARK, 0))).withColumn("confidence", F.expr(verdict(SPARK, 1)))
 
 
@@ -68,6 +69,24 @@ def bayes_fit(events: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.sum(F.when(F.col("label") > 0.6, F.col("w")).otherwise(0.0)).alias("good"), F.sum(F.when(F.col("label") < 0.4, F.col("w")).otherwise(0.0)).alias("bad"))
 
 
+def bayes_ready(events: DataFrame) -> DataFrame:
+    """One row (samples, good, bad, ready): whether a model of these events may speak."""
+    told = events.where("label < 0.4 OR label > 0.6").dropDuplicates(["id"])
+    n = told.agg(F.count("*").alias("samples"), F.count_if(F.col("label") > 0.6).alias("good"), F.count_if(F.col("label") < 0.4).alias("bad"))
+    return n.withColumn("ready", (F.col("samples") >= READY_SAMPLES) & (F.col("good") >= READY_CLASS) & (F.col("bad") >= READY_CLASS))
+
+
+def bayes_gated(model: DataFrame, events: DataFrame) -> DataFrame:
+    """``model`` as it is if its events are enough of either class, else without rows."""
+    one = bayes_ready(events).where("ready").select(F.lit(1).alias("one"))
+    return model.withColumn("one", F.lit(1)).join(F.broadcast(one), "one", "left_semi").drop("one")
+
+
+def trainable(evidence: DataFrame) -> DataFrame:
+    """Evidence that Bayes may learn from: none that it gave itself."""
+    return evidence.where("source IS NOT NULL AND source <> 'bayes-v1'")
+
+
 def bayes_predict(contents: DataFrame, model: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, prob, coverage) of contents (id, tokens) with four telling tokens or more.
 

@@ -23,9 +23,30 @@ def graded(clusters: DataFrame, mode: str = "balanced") -> DataFrame:
 
 
 def reasons(graded_: DataFrame) -> DataFrame:
-    """With the reason why a cluster is of little relevance."""
+    """With the reason why a cluster is of little relevance, and its score to two decimals."""
     text = F.when(F.col("text_score") >= TEXT_HIT, "标题/摘要含查询词但语义无关").otherwise("与查询主题无明显语义关联")
-    return graded_.withColumn("reason", text)
+    score = F.coalesce(F.format_string("%.2f", "sem_score"), F.lit("?"))
+    return graded_.withColumn("reason", F.concat(text, F.lit("(语义 "), F.when(F.col("sem_score").isNull(), "?").otherwise(score), F.lit(")")))
+
+
+def low_members(members: DataFrame) -> DataFrame:
+    """(query_id, cluster_id, size, low): members of a cluster, and those with a low-quality flag."""
+    low = F.exists("flags", lambda f: f.startswith("low:")).cast("bigint")
+    return members.groupBy("query_id", "cluster_id").agg(F.count("*").alias("size"), F.sum(low).alias("low"))
+
+
+def tier_totals(graded_: DataFrame) -> DataFrame:
+    """(query_id, tier, clusters, results)."""
+    return graded_.groupBy("query_id", "tier").agg(F.count("*").alias("clusters"), F.sum("size").alias("results"))
+
+
+def markdown(graded_: DataFrame) -> DataFrame:
+    """(query_id, markdown): shown and edge clusters as headings in order, collapsed ones on one line."""
+    own = Window.partitionBy("query_id").orderBy("cluster_id")
+    line = F.when(F.col("tier") == "collapsed", None).otherwise(F.concat(F.lit("## "), "label", F.lit(" ("), "size", F.lit(")")))
+    heads = graded_.withColumn("nth", F.row_number().over(own)).groupBy("query_id").agg(F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct("nth", line.alias("t"))))).alias("all"))
+    joined = heads.select("query_id", F.array_join(F.col("all.t"), "\n").alias("top")).join(brief(graded_), "query_id", "left")
+    return joined.select("query_id", F.concat("top", F.coalesce(F.concat(F.lit("\n> "), "brief"), F.lit(""))).alias("markdown"))
 
 
 def brief(graded_: DataFrame) -> DataFrame:

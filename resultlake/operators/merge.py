@@ -76,3 +76,9 @@ def language_pollution(results: DataFrame) -> DataFrame:
     cjk = "regexp_like({}, r'[\\x{{4e00}}-\\x{{9fff}}]')"
     share = F.avg(F.expr(cjk.format("title")).cast("int"))
     return results.groupBy("query_id", "query").agg((share >= 0.5).alias("half")).select("query_id", (F.expr("NOT " + cjk.format("query")) & F.col("half")).alias("polluted"))
+
+
+def resolved(results: DataFrame, redirects: DataFrame) -> DataFrame:
+    """``results`` with targets of known redirects (url, target) for their URLs; others keep theirs."""
+    known = redirects.where("coalesce(target, '') <> ''").groupBy("url").agg(F.max("target").alias("target"))
+    return results.join(known, "url", "left").withColumn("url", F.coalesce("target", "url")).drop("target")

@@ -19,9 +19,18 @@ CHANNEL = "(?i)频道|滚动|列表|首页|栏目|热点|新闻|直播|快讯|ch
 SEPARATED = r"20\d{2}[年/.-]?\d{1,2}[月/.-]?\d{1,2}[日]?"
 
 
+def _tags(names: str) -> str:
+    """Whole meta elements of these names, their attributes in any order."""
+    return f"regexp_extract_all(html, r'(?i)<meta[^>]+(?:property|name|itemprop)=[\"\\x27](?:{names})[\"\\x27][^>]*>', 0)"
+
+
+def _content(tag: str) -> str:
+    return f"regexp_extract({tag}, r'(?i)content=[\"\\x27]([^\"\\x27]*)', 1)"
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """(page_id, pos, date, source, strong): distinct (date, source) in order of the rule families."""
-    meta = lambda names: f"regexp_extract_all(html, r'(?i)<meta[^>]+(?:property|name|itemprop)=[\"\\x27](?:{names})[\"\\x27][^>]*content=[\"\\x27]([^\"\\x27]*)', 1)"
+    meta = lambda names: f"transform({_tags(names)}, tag -> {_content('tag')})"
     ld = "regexp_extract_all(html, r'\"(?:datePublished|dateCreated|uploadDate|dateModified)\"\\s*:\\s*\"([^\"]+)\"', 1)"
     js = "regexp_extract_all(html, r'(?i)(?:publishTime|pubDate|createTime|createdAt|issueDate|releaseDate|showTime|pub_time)\\s*[:=]\\s*[\"\\x27]?(20\\d{2}[-/.]\\d{1,2}[-/.]\\d{1,2})', 1)"
     body = f"slice(regexp_extract_all(html, r'(?i)(?:发布时间|更新时间|发布于|发表于|刊发时间|编辑时间|日期)[:：]?\\s*({SEPARATED})', 1), 1, 3)"
@@ -35,12 +44,15 @@ def candidates(pages: DataFrame) -> DataFrame:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """(page_id, features of a page, list_prob) from (page_id, html, title, body_len)."""
+    """(page_id, features of a page, list_prob) from (page_id, html, title, body_len) and, if there, url."""
+    days = f"filter(transform({_tags('article:published_time|datepublished|date')}, tag -> {dates.absolute(SPARK, _content('tag'))}), t -> t <> '')"
+    url = "coalesce(url, '')" if "url" in pages.columns else "''"
+    apart = f"coalesce(abs(datediff(try_cast(get({days}, 0) AS date), try_cast({dates.url_date(SPARK, url)} AS date))) > 30, false)"
     density = "least(2D, size(regexp_extract_all(html, r'(?i)<a\\s[^>]*href', 0)) / greatest(1D, greatest(1, length(regexp_replace(regexp_replace(html, r'(?is)<(script|style).*?</(script|style)>', ' '), r'<[^>]+>', ' '))) / 1000D))"
     flag = lambda e: F.expr(f"CASE WHEN {e} THEN 1D ELSE 0D END")
     f = pages.select(
         "page_id", F.expr(density).alias("link_density"), flag("regexp_like(html, r'(?i)<(article|main)[\\s>]')").alias("has_article"), flag("body_len < 220").alias("body_short"),
-        flag("body_len >= 220 AND body_len < 1200").alias("body_med"), flag(f"regexp_like(coalesce(title, ''), r'{CHANNEL}')").alias("title_channel"), F.lit(0.0).alias("meta_url_conflict"),
+        flag("body_len >= 220 AND body_len < 1200").alias("body_med"), flag(f"regexp_like(coalesce(title, ''), r'{CHANNEL}')").alias("title_channel"), flag(apart).alias("meta_url_conflict"),
         flag("size(regexp_extract_all(html, r'20\\d{2}[-/]\\d{1,2}[-/]\\d{1,2}\\s+\\d{1,2}:\\d{2}', 0)) >= 3").alias("ts_stream"),
     )
     z = sum((F.col(k) * w for k, w in LIST_WEIGHTS.items()), F.lit(LIST_BIAS))

@@ -97,7 +97,7 @@ def lookup(results: DataFrame, entries: DataFrame, as_of: str) -> DataFrame:
     """
     age = F.datediff(F.lit(as_of).cast("date"), F.col("last_seen").cast("date")).cast("double")
     score = decayed(effective(F.col("search_score"), F.col("content_score"), F.col("content_samples")), age)
-    ready = entries.select("key", score.alias("score"), (F.col("search_samples") + F.col("content_samples")).alias("samples"), "availability_score", "availability_samples", "utility_samples")
+    ready = entries.select("key", score.alias("score"), (F.col("search_samples") + F.col("content_samples")).alias("samples"), "search_samples", "content_samples", "availability_score", "availability_samples", "utility_samples")
     e = F.struct(*(c for c in ready.columns if c != "key"))
     keyed = results.withColumn("keys", col(urls.rep_keys, "url"))
     host = ready.select(F.col("key").alias("host_key"), e.alias("host"))
@@ -108,7 +108,7 @@ def lookup(results: DataFrame, entries: DataFrame, as_of: str) -> DataFrame:
     both = both.withColumn("e", F.when(use, F.col("path")).otherwise(F.col("host"))).withColumn("rep_scope", F.when(use, F.col("path_key")).when(F.col("host").isNotNull(), F.col("host_key")))
     uses = F.when(use & (F.col("path.utility_samples") >= LEAST_SAMPLES), F.col("path.utility_samples")).otherwise(F.col("host.utility_samples"))
     all_ = clamp(factor(F.col("e.score"), F.coalesce(F.col("e.samples"), F.lit(0))) * availability_factor(F.col("e.availability_score"), F.col("e.availability_samples")) * utility_factor(uses), 0.35, 1.15)
-    out = both.withColumns({"rep_score": F.col("e.score"), "rep_samples": F.col("e.samples"), "rep_factor": all_, "rep_badge": badge(F.col("e.score"), F.coalesce(F.col("e.samples"), F.lit(0)))})
+    out = both.withColumns({"rep_score": F.col("e.score"), "rep_samples": F.col("e.samples"), "rep_search_samples": F.col("e.search_samples"), "rep_content_samples": F.col("e.content_samples"), "rep_factor": all_, "rep_badge": badge(F.col("e.score"), F.coalesce(F.col("e.samples"), F.lit(0)))})
     return out.drop("e", "host", "path", "host_key", "path_key", "keys")
 
 
@@ -183,3 +183,65 @@ def metrics(predictions: DataFrame) -> DataFrame:
 def fold(domain: Column) -> Column:
     """One of five folds by the domain's hash."""
     return (F.conv(F.substring(F.sha2(domain, 256), 1, 2), 16, 10).cast("int") % 5).cast("bigint")
+
+
+def ready(effective_samples: Column, positive: Column, negative: Column) -> Column:
+    """Whether the cross-site prior has seen enough of either kind to speak."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return (n(effective_samples) >= READY_SAMPLES) & (n(positive) >= READY_CLASS) & (n(negative) >= READY_CLASS)
+
+
+def blended(looked: DataFrame) -> DataFrame:
+    """``lookup``'s rows with a ``prior`` (null: none): score, factor and badge with the prior blended in.
+
+    Own evidence is trusted as it grows, and the prior fades; without evidence it stands alone.
+    """
+    samples, content = F.coalesce("rep_samples", F.lit(0)), F.coalesce("rep_content_samples", F.lit(0))
+    by_search = clamp((F.coalesce("rep_search_samples", F.lit(0)) - 1) / float(LEAST_SAMPLES - 1), 0.0, 1.0)
+    by_content = F.when(content > 0, clamp(0.6 + (content - 1) * 0.2, 0.0, 1.0)).otherwise(0.0)
+    raw = F.when(samples > 0, F.col("rep_score")).otherwise(0.5)
+    weight = F.when(F.col("prior").isNull(), 0.0).when(samples == 0, 1.0).otherwise(clamp(0.6 * (1 - samples / 10.0) - content * 0.2, 0.0, 0.6))
+    own = F.when(F.col("prior").isNull(), raw).otherwise(0.5 + (raw - 0.5) * F.greatest(by_search, by_content))
+    out = looked.withColumn("prior_weight", weight).withColumn("blend", own * (1 - weight) + F.coalesce("prior", F.lit(0.0)) * weight)
+    counted = F.when(F.col("prior").isNotNull(), F.greatest(samples, F.lit(LEAST_SAMPLES))).otherwise(samples)
+    told = lambda kind: F.concat(F.lit(f"[{kind}:"), F.format_string("%.2f", "blend"), F.lit("]"))
+    mark = F.when((samples == 0) & F.col("prior").isNotNull(), told("meta")).when(F.col("prior_weight") > 0, told("blend")).otherwise(badge(F.col("blend"), counted))
+    return out.withColumn("rep_factor", factor(F.col("blend"), counted)).withColumn("rep_badge", mark).withColumn("rep_score", F.col("blend")).drop("blend")
+
+
+def discounted(observations: DataFrame) -> DataFrame:
+    """Search observations (key, id, at, contribution, low) with value: less where a key was mostly low before.
+
+    An observation after five or more others of its key, over 0.6 of them low, counts 0.6.
+    """
+    before = Window.partitionBy("key").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    n, low = F.count("*").over(before), F.coalesce(F.sum(F.col("low").cast("int")).over(before), F.lit(0))
+    return observations.withColumn("value", F.when((n >= 5) & (low / F.greatest(n, F.lit(1)) > 0.6), F.col("contribution") * 0.6).otherwise(F.col("contribution")))
+
+
+def overview(entries: DataFrame, most: int = 8) -> DataFrame:
+    """(side, place, key, score): the lowest and the highest ``most`` keys by score, ties by key."""
+    low = entries.orderBy("score", "key").limit(most).withColumn("side", F.lit("lowest")).withColumn("by", F.col("score"))
+    high = entries.orderBy(F.desc("score"), "key").limit(most).withColumn("side", F.lit("highest")).withColumn("by", -F.col("score"))
+    both = low.unionByName(high)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy("by", "key"))).select("side", "place", "key", "score")
+
+
+def top_weights(weights: DataFrame, most: int = 10) -> DataFrame:
+    """(token, w): the weights of largest size, ties by token."""
+    return weights.orderBy(F.desc(F.abs("w")), "token").limit(most)
+
+
+def migrated(ledger: DataFrame, version: int = 4) -> DataFrame:
+    """Rows of a ledger (version, key, search_score, search_samples, fetch_samples) that still hold.
+
+    The version before keeps keys without fetches, whose content and availability start anew; older
+    ones go.
+    """
+    fresh = {"content_score": 0.5, "availability_score": 0.5}
+    old = ledger.where(F.col("version") == version - 1).where(F.coalesce("fetch_samples", F.lit(0)) == 0)
+    now = ledger.where(F.col("version") == version)
+    for name, value in fresh.items():
+        old = old.withColumn(name, F.lit(value))
+        now = now if name in now.columns else now.withColumn(name, F.lit(value))
+    return now.unionByName(old.withColumn("version", F.lit(version).cast(dict(ledger.dtypes)["version"])))

@@ -351,7 +351,7 @@ def _(spark, folder):
     return g.groupBy("query_id").agg(F.round(F.max("edge"), 6).alias("edge"), F.round(F.max("irrelevant"), 6).alias("irrelevant"))
 
 
-@query("grade", GRADED_SQL + " SELECT query_id, cluster_id, grade, CASE WHEN text_score >= 0.5 THEN '标题/摘要含查询词但语义无关' ELSE '与查询主题无明显语义关联' END AS reason FROM k")
+@query("grade", GRADED_SQL + " SELECT query_id, cluster_id, grade, CASE WHEN text_score >= 0.5 THEN '标题/摘要含查询词但语义无关' ELSE '与查询主题无明显语义关联' END || '(语义 ' || coalesce(printf('%.2f', sem_score), '?') || ')' AS reason FROM k")
 def _(spark, folder):
     return grade.reasons(grade.graded(CLUSTERS.df(spark, folder))).select("query_id", "cluster_id", "grade", "reason")
 
@@ -377,7 +377,8 @@ m AS (SELECT token, sum(CASE WHEN label > 0.6 THEN 0.8 ELSE 0 END)::DOUBLE AS go
 def _bayes(spark, folder):
     docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.expr(text.body_tokens(SPARK, "text")).alias("tokens"))
     rated = tables.table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.expr("CASE WHEN quality = 1 THEN 0.82D ELSE 0.2D END").alias("label"))
-    return docs, evidence.bayes_fit(docs.join(rated, "id").withColumn("confidence", F.lit(0.8)))
+    events = docs.join(rated, "id").withColumn("confidence", F.lit(0.8))
+    return docs, evidence.bayes_gated(evidence.bayes_fit(events), rated)
 
 
 @query("bayes_counts", BAYES_SQL + " SELECT token, round(good, 4) AS good, round(bad, 4) AS bad FROM m")
@@ -621,11 +622,15 @@ def _(spark, folder):
     return search.search(_lists(spark, folder, True), AS_OF)
 
 
-@query("timeline", LISTS_SQL + f"SELECT query_id, page_id, substr({dates.url_date(DUCK, 'url')}, 1, 7) AS month, title, substr(text, 1, 150) AS summary FROM merged")
+STORED = f"SELECT url, arg_min({text.first_paragraph(DUCK, text.strip_tags(DUCK, 'html'))}, page_id) AS first FROM pages GROUP BY url"
+
+
+@query("timeline", LISTS_SQL + f"SELECT query_id, page_id, substr({dates.url_date(DUCK, 'url')}, 1, 7) AS month, title, coalesce(nullif(first, ''), substr(text, 1, 150)) AS summary FROM merged LEFT JOIN ({STORED}) USING (url)")
 def _(spark, folder):
     rows = merge.merged(_lists(spark, folder))
-    none = spark.createDataFrame([], "url string, markdown string, published string")
-    out = search.timeline(rows, none, AS_OF)
+    stored = tables.table(spark, folder, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    extracts = stored.select("url", F.expr(text.strip_tags(SPARK, "html")).alias("markdown"), F.lit("").alias("published"))
+    out = search.timeline(rows, extracts, AS_OF)
     return out.join(rows.select("query_id", "url", "page_id"), ["query_id", "url"]).select("query_id", "page_id", F.coalesce("month", F.lit("")).alias("month"), "title", "summary")
 
 
@@ -696,3 +701,6 @@ def _(spark, folder):
 @query("readable_body")
 def _(spark, folder):
     return article.articles(tables.table(spark, folder, "pages"))
+
+
+from . import cases  # noqa: E402, F401

@@ -2,38 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import cluster, filters, grade, merge
+from ..functions import text
+from ..functions.dialect import SPARK
+from ..operators import cluster, embed, filters, grade, merge, reputation
+from ..staging import staged
 
 
-def search(lists: DataFrame, as_of: str, since: str | None = None, limit: int = 99, stop: list[str] | None = None) -> DataFrame:
-    """(query_id, place, idx, src, title, url, flags, quality, cluster_id, score, grade).
+def search(lists: DataFrame, as_of: str, since: str | None = None, limit: int = 99, stop: list[str] | None = None, entries: DataFrame | None = None, mode: str = "balanced") -> DataFrame:
+    """(query_id, place, idx, src, title, url, flags, quality, cluster_id, score, grade, tier).
 
-    ``lists``: result lists of sources (``sources.tables.result_lists``).  Everything is keyed by
-    query_id, so one query or a corpus of them runs the same plan.
+    ``lists``: result lists of sources (``sources.tables.result_lists``); ``entries``: what is known
+    of sites (``reputation.learned``), if anything.  Everything is keyed by query_id, so one query
+    or a corpus of them runs the same plan.  Rows and clusters have several readers and are
+    written once each.
     """
     rows = merge.merged(lists, limit)
     rows = filters.since(rows, since, as_of) if since else rows
-    rows = filters.split(filters.annotate(rows)).where("part <> 'ad'").withColumn("rel", F.lit(None).cast("double"))
-    members = cluster.by_phrase(rows, stop=stop)
-    scores = cluster.scored(members, rows, cluster.text_scores(members, rows))
+    rows = filters.split(filters.annotate(rows)).where("part <> 'ad'")
+    rows = reputation.applied(reputation.lookup(rows, entries, as_of)) if entries is not None else rows
+    asked = rows.withColumn("__q", F.expr(embed.tokens(SPARK, "query"))).withColumn("__t", F.expr(embed.tokens(SPARK, text.embedded_text(SPARK, "title", "`desc`"))))
+    rows = staged(asked.withColumn("rel", F.expr(embed.likeness(SPARK, "__q", "__t"))).drop("__q", "__t"), "search-rows")
+    members = staged(cluster.by_phrase(rows, stop=stop), "search-members")
+    scores = staged(cluster.scored(members, rows, cluster.text_scores(members, rows)), "search-scores")
     placed = cluster.assigned(members, scores)
-    graded = grade.graded(scores.select("query_id", "cluster_id", "score", "sem_score", "text_score"))
-    out = filters.recency(rows, as_of).join(placed, ["query_id", "idx"], "left").join(graded.select("query_id", "cluster_id", "score", "grade"), ["query_id", "cluster_id"], "left")
-    return out.select("query_id", "place", "idx", "src", "title", "url", F.array_join("flags", "|").alias("flags"), "quality", "cluster_id", "score", "grade")
+    graded = grade.graded(scores.select("query_id", "cluster_id", "score", "sem_score", "text_score"), mode)
+    out = filters.recency(rows, as_of).join(placed, ["query_id", "idx"], "left").join(graded.select("query_id", "cluster_id", "score", "grade", "tier"), ["query_id", "cluster_id"], "left")
+    return out.select("query_id", "place", "idx", "src", "title", "url", F.array_join("flags", "|").alias("flags"), "quality", "cluster_id", "score", "grade", "tier")
 
 
-def timeline(results: DataFrame, extracts: DataFrame, as_of: str) -> DataFrame:
-    """(query_id, month, date, title, url, summary): dated results by day, with their pages' first paragraph.
+def candidates(results: DataFrame, limit: int) -> DataFrame:
+    """Of each query the first 3 ``limit`` results, dated ones first, else in order."""
+    order = Window.partitionBy("query_id").orderBy((F.coalesce("date", F.lit("")) == "").cast("int"), "idx")
+    return results.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 3 * limit).drop("nth")
+
+
+def timeline(results: DataFrame, extracts: DataFrame, as_of: str, limit: int | None = None) -> DataFrame:
+    """(query_id, place, month, date, title, url, summary): results by day, undated ones last, with their pages' first paragraph.
+
+    With ``limit`` only ``candidates`` count.
 
     ``extracts`` (url, markdown, published): stored page texts.
     """
-    from ..functions import dates, text
-    from ..functions.dialect import SPARK
+    from ..functions import dates
 
+    results = candidates(results, limit) if limit else results
     own = results.join(extracts, "url", "left")
     day = F.expr(f"coalesce(nullif(published, ''), nullif({dates.absolute_of(SPARK, 'date', as_of)}, ''), nullif({dates.url_date(SPARK, 'url')}, ''))")
     summary = F.expr(f"coalesce(nullif({text.first_paragraph(SPARK, 'markdown')}, ''), substr(`desc`, 1, 150))")
-    return own.withColumn("date", day).withColumn("summary", summary).select("query_id", F.substring("date", 1, 7).alias("month"), "date", "title", "url", "summary")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("date"), "idx"))
+    dated = own.withColumn("date", day).withColumn("summary", summary).withColumn("place", place)
+    return dated.select("query_id", "place", F.substring("date", 1, 7).alias("month"), "date", "title", "url", "summary")
+
+
+def spans(timeline_: DataFrame) -> DataFrame:
+    """(query_id, n, months, first, last) of timelines: dated results, months with any, first and last day."""
+    dated = timeline_.where("date IS NOT NULL")
+    return dated.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("month").alias("months"), F.min("date").alias("first"), F.max("date").alias("last"))
