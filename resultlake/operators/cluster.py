@@ -7,16 +7,20 @@ per query.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.dialect import SPARK
+from ..functions.dialect import SPARK, WHITE
 
 MERGE, SIM, DUP, REPRINT = 0.55, 0.42, 0.94, 0.75
 MAX_CLUSTER, MAX_DEPTH, MAX_BUCKET = 12, 3, 6
+#: Results of a query that clustering looks at, by rank, as a query's own limit has it.
+MOST_RESULTS = 150
 TEXT_WEIGHT, RANK_WEIGHT, SEM_WEIGHT, NOISE, SEM_NOISE = 0.7, 0.3, 0.45, 0.3, 0.32
 
 
@@ -51,8 +55,11 @@ def phrase_groups(members: dict[str, set[int]], merge: float = MERGE) -> list[se
 
 
 def by_phrase(results: DataFrame, merge: float = MERGE, stop: list[str] | None = None) -> DataFrame:
-    """(query_id, cluster_id, idx): overlapping clusters of results that share title tokens."""
-    t = tokens(results, stop)
+    """(query_id, cluster_id, idx): overlapping clusters of results that share title tokens.
+
+    The first MOST_RESULTS results of a query count, so a group stays small whatever the table's size.
+    """
+    t = tokens(results.where(F.col("idx") < MOST_RESULTS), stop)
     often = t.join(document_frequency(t), ["query_id", "token"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -259,14 +266,19 @@ def by_vector(results: DataFrame, sim: float = SIM, dup: float = DUP, limit: int
 def reprints(results: DataFrame, low: float = REPRINT, high: float = DUP) -> DataFrame:
     """(query_id, idx, duplicate_of): later results that reprint an earlier one that itself stays.
 
-    Candidates (cosine within [low, high) and near titles or descriptions) are pairs within a
-    query's bounded list; the fold in rank order is a grouped function.
+    Near titles share a run of 12 characters and near descriptions one of 20, so results of a query
+    that share such a run are compared (cosine within [low, high), then the exact rules); the fold
+    in rank order is a grouped function.
     """
     from ..functions import vectors
 
+    normal, bare = text.normalize_title(SPARK, "title"), f"substr({SPARK.sub('coalesce(`desc`, ' + chr(39) * 2 + ')', WHITE + '+')}, 1, 4096)"
+    runs = F.expr(f"array_distinct(concat(transform(regexp_extract_all({normal}, '(?=(.{{12}}))', 1), g -> xxhash64('t', g)), transform(regexp_extract_all({bare}, '(?=(.{{20}}))', 1), g -> xxhash64('d', g))))")
+    each = results.select("query_id", "idx", F.explode(runs).alias("run"))
+    near = each.withColumnRenamed("idx", "i").join(each.withColumnRenamed("idx", "j"), ["query_id", "run"]).where("i < j").select("query_id", "i", "j").distinct()
     a = results.select("query_id", F.col("idx").alias("i"), F.col("title").alias("ta"), F.col("desc").alias("da"), F.col("vec").alias("va"))
     b = results.select("query_id", F.col("idx").alias("j"), F.col("title").alias("tb"), F.col("desc").alias("db"), F.col("vec").alias("vb"))
-    pairs = a.join(b, "query_id").where("i < j").withColumn("sim", F.expr(vectors.dot(SPARK, "va", "vb"))).where((F.col("sim") >= low) & (F.col("sim") < high))
+    pairs = near.join(a, ["query_id", "i"]).join(b, ["query_id", "j"]).withColumn("sim", F.expr(vectors.dot(SPARK, "va", "vb"))).where((F.col("sim") >= low) & (F.col("sim") < high))
     told = pairs.where(F.expr(f"{text.near_title(SPARK, 'ta', 'tb')} OR {text.near_description(SPARK, 'da', 'db')}"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -342,31 +354,55 @@ def common_span(a: str, b: str) -> str:
     return a[end - best : end]
 
 
-def label(titles: list[str], most: int = 18) -> str:
-    """A readable name: the common span of two titles that most titles hold; one title as it is."""
-    import re
+_EDGES = " _-|｜·•,，、;；:：()（）[]【】<>《》\"'“”…"
+
+
+def _holds(title: str, part: str) -> bool:
+    """Whether a title holds a part in any case; one of plain letters only as whole words."""
+    if re.fullmatch("[a-zA-Z]+", part):
+        return re.search(rf"(?<![a-z]){re.escape(part.lower())}(?![a-z])", title.lower()) is not None
+    return part.lower() in title.lower()
 
+
+def label(titles: list[str], top: str = "", most: int = 18) -> str:
+    """A readable name of a cluster: a span that two titles share and most titles hold.
+
+    A span counts its length, the titles that hold it (two at least) and 1.5 for holding ``top``,
+    the cluster's most frequent token, which stands in where no span is left, written as the
+    first title with it writes it.  One title is its own name.
+    """
     if len(titles) == 1:
-        return titles[0][:most]
-    spans: dict[str, float] = {}
+        return titles[0].strip()[:most]
+    titles = [t[:200] for t in titles]
+    points: dict[str, float] = {}
     for i, a in enumerate(titles):
         for b in titles[i + 1 :]:
-            parts = re.split(r"[,，;；:：。.!！?？…]+", common_span(a[:200], b[:200]))
-            span = max((p.strip(" _-|｜·•,，、;；:：()（）[]【】<>《》\"'“”…") for p in parts), key=len)
-            if len(span) >= 2:
-                spans[span] = len(span) + sum(span.lower() in t.lower() for t in titles)
-    return max(spans, key=lambda s: (spans[s], s))[:most] if spans else titles[0][:most]
-
-
-def labels(members: DataFrame, results: DataFrame) -> DataFrame:
+            for part in re.split(r"[,，;；:：。.!！?？…]+", common_span(a, b).strip(_EDGES)):
+                part = part.strip(_EDGES)
+                if len(part) >= 2 and re.search(r"[A-Za-z一-鿿]", part) and part not in points:
+                    held = sum(_holds(t, part) for t in titles)
+                    if held >= 2:
+                        points[part] = len(part) + held + (1.5 if top and top.lower() in part.lower() else 0)
+    if points:
+        return max(points, key=lambda p: (points[p], len(p)))[:most]
+    home = next((t for t in titles if top and top.lower() in t.lower()), "")
+    at = home.lower().find(top.lower())
+    return (home[at : at + len(top)] if home else top)[:most]
+
+
+def labels(members: DataFrame, results: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """(query_id, cluster_id, label) from titles without their sites' names."""
     from ..functions import col
 
     titled = members.join(results.select("query_id", "idx", col(text.label_title, "title").alias("title")), ["query_id", "idx"])
+    held = members.join(tokens(results, stop), ["query_id", "idx"]).join(document_frequency(tokens(results, stop)), ["query_id", "token"])
+    top = held.groupBy("query_id", "cluster_id").agg(F.max_by(F.expr("substr(token, 3)"), F.struct("df", F.length("token"), "token")).alias("top"))
+    titled = titled.join(top, ["query_id", "cluster_id"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        titles = pdf.sort_values("idx")["title"].tolist()
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "cluster_id": [pdf["cluster_id"].iloc[0]], "label": [label(titles)]})
+        own = pdf.sort_values("idx")
+        top = own["top"].iloc[0]
+        return pd.DataFrame({"query_id": [own["query_id"].iloc[0]], "cluster_id": [own["cluster_id"].iloc[0]], "label": [label(own["title"].tolist(), top if isinstance(top, str) else "")]})
 
     return titled.groupBy("query_id", "cluster_id").applyInPandas(run, "query_id bigint, cluster_id int, label string")
 

@@ -97,3 +97,39 @@ def updated(weights: dict[str, float], bias: float, steps, rate: float) -> tuple
                 w[k] = w.get(k, 0.0) + rate * miss * v
         bias += rate * miss
     return w, bias
+
+
+#: How far one outcome moves a weight.
+LEARNING_RATE = 0.05
+
+
+def outcomes(picked: DataFrame, known: DataFrame) -> DataFrame:
+    """(page_id, source, date, right) of picks whose page's true day is known: 1 within a day, else 0."""
+    day = lambda c: F.expr(f"try_cast({c} AS date)")
+    near = F.abs(F.datediff(day("date"), day("true_date"))) <= 1
+    return picked.where("date <> ''").join(known.select("page_id", "true_date"), "page_id").select("page_id", "source", "date", F.when(F.coalesce(near, F.lit(False)), 1.0).otherwise(0.0).alias("right"))
+
+
+def learned(ledger: DataFrame, weights: dict[str, float] | None = None, bias: float = CANDIDATE_BIAS, rate: float = LEARNING_RATE) -> DataFrame:
+    """(model, feature, weight) after each model's ledger (model, at, id, features map, label) in order.
+
+    The bias is feature ``bias``.  Order matters, so one model's ledger, which ``retention`` bounds,
+    is one sequence; repeated ids count once.  A model without a ledger keeps its priors.
+    """
+    import pandas as pd
+
+    start = dict(SOURCE_WEIGHTS if weights is None else weights)
+
+    def run(pdf):
+        rows = pdf.drop_duplicates("id").sort_values(["at", "id"])
+        w, b = updated(start, bias, [(dict(f), y) for f, y in zip(rows["features"], rows["label"], strict=True)], rate)
+        names = [*w, "bias"]
+        return pd.DataFrame({"model": [pdf["model"].iloc[0]] * len(names), "feature": names, "weight": [*w.values(), b]})
+
+    return ledger.groupBy("model").applyInPandas(run, "model string, feature string, weight double")
+
+
+def inspected(weights: DataFrame) -> DataFrame:
+    """(model, feature, weight, moved): a model's weights and how far they are from their priors."""
+    prior = F.coalesce(*(F.when(F.col("feature") == k, F.lit(v)) for k, v in {**SOURCE_WEIGHTS, "bias": CANDIDATE_BIAS}.items()), F.lit(0.0))
+    return weights.withColumn("moved", F.col("weight") - prior)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.dialect import SPARK
-from ..operators import embed, evidence, grade, merge, pages, pubdate, reputation
+from ..operators import cluster, embed, evidence, grade, merge, pages, pubdate, reputation
 from ..sources import embedded
+from ..streaming import state
 from . import search
 from .catalog import AS_OF, Fixture, query
 
@@ -276,3 +277,98 @@ def _(spark, folder):
 @expected("timeline_span", Fixture("query_id bigint, n bigint, months bigint, first string, last string", [(1, 2, 2, "2026-07-02", "2026-08-06")]))
 def _(spark, folder):
     return search.spans(search.timeline(FOUND.df(spark, folder), EXTRACTS.df(spark, folder), AS_OF, 1))
+
+
+# --- clusters --------------------------------------------------------------------------------
+
+TITLED = Fixture("query_id bigint, idx bigint, title string, desc string, source_rank bigint, source_count bigint, quality double, rel double, query string", [
+    (1, 0, "Harbour tides: tables for sailors", "", 1, 3, 1.0, 0.9, "harbour tides"), (1, 1, "New harbour tides tables", "", 2, 3, 0.8, 0.5, "harbour tides"), (1, 2, "Mountain weather for hikers", "", 3, 3, 1.0, -0.2, "harbour tides"),
+    (1, 3, "Mountain weather map", "", 1, 1, 0.6, 0.1, "harbour tides"), (2, 0, "Unlike all else", "", 1, 1, 1.0, None, "unlike"),
+])
+
+
+@expected("cluster_phrase_cases", Fixture("query_id bigint, members string", [(1, "0|1"), (1, "0|2"), (1, "2|3")][:1] + [(1, "2|3")]))
+def _(spark, folder):
+    c = cluster.by_phrase(TITLED.df(spark, folder))
+    return c.groupBy("query_id", "cluster_id").agg(F.array_join(F.sort_array(F.collect_list("idx")).cast("array<string>"), "|").alias("members")).select("query_id", "members")
+
+
+MEMBERS = Fixture("query_id bigint, cluster_id int, idx bigint", [(1, 0, 0), (1, 0, 1), (1, 1, 2), (1, 1, 3), (2, 0, 0)])
+
+
+@expected("cluster_label_cases", Fixture("query_id bigint, cluster_id int, label string", [(1, 0, "arbour tides"), (1, 1, "Mountain weather"), (2, 0, "Unlike all else")]))
+def _(spark, folder):
+    return cluster.labels(MEMBERS.df(spark, folder), TITLED.df(spark, folder))
+
+
+@expected("cluster_score_cases", Fixture("query_id bigint, cluster_id int, size bigint, quality double, rank_score double, text_score double, sem_score double, score double, low_relevance boolean", [(1, 0, 2, 0.9, 0.75, 1.0, 0.7, 0.782562, False), (1, 1, 2, 0.8, 0.5, 0.0, 0.05, 0.0945, True), (2, 0, 1, 1.0, 1.0, 1.0, None, 1.0, False)]))
+def _(spark, folder):
+    rows, members = TITLED.df(spark, folder), MEMBERS.df(spark, folder)
+    s = cluster.scored(members, rows, cluster.text_scores(members, rows))
+    return s.select("query_id", "cluster_id", "size", *(F.round(c, 6).alias(c) for c in ("quality", "rank_score", "text_score", "sem_score", "score")), "low_relevance")
+
+
+OVERLAP = Fixture("query_id bigint, cluster_id int, idx bigint", [(1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 2), (1, 2, 2)])
+OVERLAP_SCORES = Fixture("query_id bigint, cluster_id int, score double, size bigint", [(1, 0, 0.4, 2), (1, 1, 0.9, 2), (1, 2, 0.9, 1)])
+
+
+@expected("cluster_assign_cases", Fixture("query_id bigint, cluster_id int, idx bigint", [(1, 0, 0), (1, 1, 1), (1, 1, 2)]))
+def _(spark, folder):
+    return cluster.assigned(OVERLAP.df(spark, folder), OVERLAP_SCORES.df(spark, folder))
+
+
+VECTORS = Fixture("query_id bigint, idx bigint, vec array<double>", [(1, 0, [1.0, 0.0, 0.0]), (1, 1, [0.6, 0.8, 0.0]), (1, 2, [0.0, 0.0, 1.0]), (1, 3, [0.99995, 0.01, 0.0]), (1, 4, [0.0, 0.1, 0.994987])])
+
+
+@expected("cluster_semantic_cases", Fixture("query_id bigint, cluster_id int, idx bigint, role string, duplicate_of bigint", [(1, 0, 0, "item", None), (1, 0, 1, "item", None), (1, 1, 2, "item", None), (1, 0, 3, "item", None), (1, 1, 4, "duplicate", 2)]))
+def _(spark, folder):
+    rows = VECTORS.df(spark, folder).withColumn("tokens", F.array().cast("array<string>"))
+    return cluster.by_vector(rows, sim=0.5, buckets=False)
+
+
+REPRINTED = Fixture("query_id bigint, idx bigint, title string, desc string, vec array<double>", [(1, 0, "Harbour opens a second northern pier", "x", [1.0, 0.0]), (1, 1, "Harbour opens a second northern pier - Daily", "y", [0.8, 0.6]), (1, 2, "Harbour opens a second northern pier!", "z", [0.0, 1.0]), (1, 3, "Another title of no likeness", "the council decided on monday to widen the road", [0.8, 0.6]), (1, 4, "And yet another one altogether", "the council decided on monday to widen the roads", [0.0, 1.0]), (2, 0, "Harbour opens a second northern pier", "x", [0.8, 0.6])])
+
+
+@expected("reprints", Fixture("query_id bigint, idx bigint, duplicate_of bigint", [(1, 1, 0)]))
+def _(spark, folder):
+    return cluster.reprints(REPRINTED.df(spark, folder))
+
+
+COPIED = Fixture("query_id bigint, idx bigint, title string, stem string", [(1, 0, "港口扩建工程今日正式开工", "newsfarm"), (1, 1, "港口扩建工程昨日全面开工", "newsfarmtwo"), (1, 2, "港口扩建工程今日正式开工了", "elsewhere"), (1, 3, "天气预报说明天有雨", "newsfarm"), (2, 0, "港口扩建工程今日正式开工", "newsfarm")])
+
+
+@expected("zh_dedupe_cases", Fixture("query_id bigint, idx bigint, duplicate_of bigint", [(1, 1, 0), (1, 2, 0)]))
+def _(spark, folder):
+    return cluster.farm_dedup(COPIED.df(spark, folder))
+
+
+# --- learning and state ----------------------------------------------------------------------
+
+PICKS = Fixture("page_id bigint, date string, source string", [(1, "2026-08-01", "url"), (2, "2026-08-01", "jsonld"), (3, "", "none"), (4, "2026-08-01", "url")])
+
+
+@expected("date_outcomes", Fixture("page_id bigint, source string, right double", [(1, "url", 1.0), (2, "jsonld", 0.0)]))
+def _(spark, folder):
+    known = Fixture("page_id bigint, true_date string", [(1, "2026-08-02"), (2, "2026-07-01"), (3, "2026-08-01")])
+    return pubdate.outcomes(PICKS.df(spark, folder), known.df(spark, folder)).select("page_id", "source", "right")
+
+
+@expected("date_learning", Fixture("model string, feature string, weight double, moved double", [("m", "a", 0.05, 0.05), ("m", "bias", -0.00125, -0.10125)]))
+def _(spark, folder):
+    rows = Fixture("model string, at bigint, id string, label double", [("m", 1, "x", 1.0), ("m", 1, "x", 1.0), ("m", 2, "y", 0.0)]).df(spark, folder)
+    ledger = rows.withColumn("features", F.when(F.col("id") == "x", F.create_map(F.lit("a"), F.lit(1.0))).otherwise(F.create_map(F.lit("a"), F.lit(0.0))))
+    got = pubdate.inspected(pubdate.learned(ledger, {"a": 0.0}, 0.0, 0.1))
+    return got.select("model", "feature", F.round("weight", 6).alias("weight"), F.round("moved", 6).alias("moved"))
+
+
+@expected("ftrl_prior_cases", Fixture("model string, token string, w double", [("m", "t:bad", -0.164901), ("m", "t:good", 0.164901)]))
+def _(spark, folder):
+    rows = Fixture("model string, at bigint, id string, label double, confidence double, token string", [("m", 1, "a", 1.0, 1.0, "t:good"), ("m", 2, "b", 0.0, 1.0, "t:bad"), ("m", 2, "b", 0.0, 1.0, "t:bad"), ("m", 3, "c", 1.0, 1.0, "x:other")]).df(spark, folder)
+    return reputation.fit_prior(rows.withColumn("tokens", F.array("token"))).select("model", "token", F.round("w", 6).alias("w"))
+
+
+@expected("ttl_cache_cases", Fixture("id bigint, value string", [(1, None), (2, "a"), (3, "b"), (4, None), (5, None)]))
+def _(spark, folder):
+    asked = Fixture("id bigint, key string, at double", [(1, "k", 5.0), (2, "k", 10.0), (3, "k", 25.0), (4, "k", 40.0), (5, "other", 10.0)])
+    saved = Fixture("key string, saved_at double, value string", [("k", 10.0, "a"), ("k", 20.0, "b")])
+    return state.cached(asked.df(spark, folder), saved.df(spark, folder), 20.0).select("id", "value")

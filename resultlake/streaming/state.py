@@ -94,6 +94,12 @@ def cooling_stream(outcomes: DataFrame, threshold: int = 3, hold_s: float = 300.
 
 def cached(requests: DataFrame, cache: DataFrame, ttl_s: float) -> DataFrame:
     """Requests (key, at) with the newest cached value saved within ``ttl_s`` before; null for a miss."""
-    near = requests.join(cache, "key", "left").where("saved_at IS NULL OR saved_at <= at")
-    fresh = F.max_by("value", F.when(F.col("at") - F.col("saved_at") < ttl_s, F.col("saved_at")))
-    return requests.join(near.groupBy("key", "at").agg(fresh.alias("value")), ["key", "at"], "left")
+    kind = dict(cache.dtypes)["value"]
+    asked = requests.select("*", F.lit(1).alias("__asked"), F.lit(None).cast(kind).alias("__value"))
+    saved = cache.select("key", F.col("saved_at").alias("at"), F.lit(0).alias("__asked"), F.col("value").alias("__value"))
+    # saves at the same time come first; among them the greatest value, which is the last
+    before = Window.partitionBy("key").orderBy("at", "__asked", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.last(F.when(F.col("__asked") == 0, F.struct(F.col("at").alias("at"), F.col("__value").alias("value"))), ignorenulls=True).over(before)
+    both = asked.unionByName(saved, allowMissingColumns=True).withColumn("__newest", newest).where("__asked = 1")
+    fresh = F.when(F.col("at") - F.col("__newest.at") < ttl_s, F.col("__newest.value"))
+    return both.withColumn("value", fresh).drop("__asked", "__value", "__newest")
