@@ -7,8 +7,8 @@ of all depths, with the weights that all training counts give.  A frozen model s
 probability for each gram (context and byte), and a text's score is the sum over its grams.
 
 Counts of grams and words grow with the corpus and are never gathered in one place.  Trees are
-weighted where their grams lie, dealt by the two nearest bytes; only depth-2 nodes (2^24 at most)
-meet on the driver, which adds depths 1 and 0.  For scoring, the most frequent ``HOT_GRAMS`` and
+weighted where their grams lie, dealt by the two nearest bytes, some contexts of two bytes at a
+time; only sums by depth-1 node (2^16 at most) reach the driver, which adds depths 1 and 0.  For scoring, the most frequent ``HOT_GRAMS`` and
 ``HOT_WORDS`` at most are broadcast, all others are joined by key and summed by document.  Words
 are identified by 64-bit hashes, grams by their bytes.
 """
@@ -105,43 +105,62 @@ def _weighted(found):
     return whole, pick
 
 
-def _collected(batches) -> tuple[np.ndarray, np.ndarray, list]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0), held
-    t = pa.Table.from_batches(held)
-    return t.column("key").to_numpy(), t.column("n").to_numpy().astype(np.float64), t
+def _by_context(batches):
+    """(keys, counts, table) of some whole contexts of two bytes each, from rows in order of ``pair``.
+
+    Not more is held than FLUSH rows and those of one context.
+    """
+    held, rows = [], 0
+
+    def made(t):
+        return t.column("key").to_numpy(), t.column("n").to_numpy().astype(np.float64), t
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        pair = b.column(b.schema.get_field_index("pair")).to_numpy()
+        if rows > FLUSH:
+            edge = int(np.searchsorted(pair, pair[0], side="right")) if pair[0] == last else 0
+            if edge < len(pair):
+                held.append(b.slice(0, edge))
+                yield made(pa.Table.from_batches(held))
+                held, rows, b = [], 0, b.slice(edge)
+        held.append(b)
+        rows += b.num_rows
+        last = pair[-1]
+    if held:
+        yield made(pa.Table.from_batches(held))
 
 
 def _depth2(batches):
     """Rows (level, node, whole, n0, n1) of the depth-2 nodes of the grams dealt here."""
-    key, count, held = _collected(batches)
-    for level in range(8) if len(held) else ():
-        found, _ = _nodes(key, count, level)
-        ids, _, n0, n1 = found[2]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), level, np.int32)), pa.array(ids), pa.array(_weighted(found)[0][2]), pa.array(n0), pa.array(n1)], ["level", "node", "whole", "n0", "n1"])
+    for key, count, _ in _by_context(batches):
+        for level in range(8):
+            found, _ = _nodes(key, count, level)
+            ids, _, n0, n1 = found[2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), level, np.int32)), pa.array(_parent(level, ids)), pa.array(_weighted(found)[0][2]), pa.array(n0), pa.array(n1)], ["level", "node", "whole", "n0", "n1"])
+
+
+def _parent(level: int, node: np.ndarray) -> np.ndarray:
+    """The depth-1 node of each depth-2 node."""
+    return (node >> level & 255) << level | node & ((1 << level) - 1)
 
 
-def _upper(level: int, node: np.ndarray, whole: np.ndarray, n0: np.ndarray, n1: np.ndarray):
-    """(a, b) of each depth-2 node: depths 0 and 1 turn its probability p of a 1 into a + b p."""
-    prefix = node & ((1 << level) - 1)
-    ids1, of1 = np.unique((node >> level & 255) << level | prefix, return_inverse=True)
+def _upper(level: int, ids1: np.ndarray, whole: np.ndarray, m0: np.ndarray, m1: np.ndarray):
+    """(a, b) of each depth-1 node, from sums over its depth-2 nodes: depths 0 and 1 turn their probability p of a 1 into a + b p."""
     ids0, of0 = np.unique(ids1 & ((1 << level) - 1), return_inverse=True)
-    m0, m1 = np.bincount(of1, n0), np.bincount(of1, n1)
     own1 = _block(m0, m1)
-    whole1 = np.logaddexp(own1, np.bincount(of1, whole)) - _TWO
+    whole1 = np.logaddexp(own1, whole) - _TWO
     w1, p1 = np.exp(np.minimum(own1 - _TWO - whole1, 0)), (m1 + 0.5) / (m0 + m1 + 1)
     k0, k1 = np.bincount(of0, m0), np.bincount(of0, m1)
     own0 = _block(k0, k1)
     whole0 = np.logaddexp(own0, np.bincount(of0, whole1)) - _TWO
     w0, p0 = np.exp(np.minimum(own0 - _TWO - whole0, 0)), (k1 + 0.5) / (k0 + k1 + 1)
-    a1 = w0[of0] * p0[of0] + (1 - w0[of0]) * w1 * p1
-    b1 = (1 - w0[of0]) * (1 - w1)
-    return a1[of1], b1[of1]
+    return w0[of0] * p0[of0] + (1 - w0[of0]) * w1 * p1, (1 - w0[of0]) * (1 - w1)
 
 
 def _log_probabilities(key, count, top) -> np.ndarray:
-    """log10 probability of each gram's byte; top: by level (sorted depth-2 nodes, a, b)."""
+    """log10 probability of each gram's byte; top: by level (sorted depth-1 nodes, a, b)."""
     total = np.zeros(len(key))
     for level in range(8):
         found, bit = _nodes(key, count, level)
@@ -153,7 +172,7 @@ def _log_probabilities(key, count, top) -> np.ndarray:
             w = pick[d][of]
             p = w * ((n1 + 0.5) / (n0 + n1 + 1))[of] + (1 - w) * p
         ids, a, b = top[level]
-        at = np.searchsorted(ids, found[2][0])[found[2][1]]
+        at = np.searchsorted(ids, _parent(level, found[2][0]))[found[2][1]]
         p = a[at] + b[at] * p
         total += np.log10(np.where(bit == 1, p, 1 - p))
     return total
@@ -259,8 +278,9 @@ def fit(docs: DataFrame, train=None, text_col: str = "text") -> Model:
     words = (sums[WORD]["n"], sums[WORD]["different"]) if WORD in sums else (0, 0)
 
     of = counts.where(F.col("kind") == GRAM).select("key", "n", "every")
-    dealt = of.repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))  # grams of a depth-2 node meet
-    node = dealt.mapInArrow(_depth2, "level int, node bigint, whole double, n0 double, n1 double").toPandas()
+    pair = F.shiftright("key", 8).bitwiseAND(0xFFFF)  # grams of a depth-2 node meet
+    dealt = of.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair")
+    node = dealt.mapInArrow(_depth2, "level int, node bigint, whole double, n0 double, n1 double").groupBy("level", "node").agg(*(F.sum(c).alias(c) for c in ("whole", "n0", "n1"))).toPandas()
     top = []
     for level in range(8):
         t = node[node["level"] == level].sort_values("node")
@@ -270,9 +290,8 @@ def fit(docs: DataFrame, train=None, text_col: str = "text") -> Model:
     upper = docs.sparkSession.sparkContext.broadcast(top)
 
     def weigh(batches):
-        key, count, held = _collected(batches)
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(key), held.column("every").combine_chunks(), pa.array(_log_probabilities(key, count, upper.value))], ["key", "every", "value"])
+        for key, count, t in _by_context(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key), t.column("every").combine_chunks(), pa.array(_log_probabilities(key, count, upper.value))], ["key", "every", "value"])
 
     gram = shared.stage(dealt.mapInArrow(weigh, "key bigint, every bigint, value double"), "lm-values")
     word = counts.where(F.col("kind") == WORD).select("key", "n")

@@ -380,6 +380,16 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(TEXTS)
 
 
+def test_contexts_are_whole(monkeypatch):
+    monkeypatch.setattr(lm, "FLUSH", 4)
+    pairs = [1] * 3 + [2] * 9 + [3] * 2 + [4] + [5] * 7
+    t = pa.table({"key": range(len(pairs)), "n": [1] * len(pairs), "pair": pairs})
+    for size in (1, 2, 3, 5, 50):
+        got = [sorted(set(part.column("pair").to_pylist())) for _, _, part in lm._by_context(t.to_batches(max_chunksize=size))]
+        assert sum(got, []) == [1, 2, 3, 4, 5]
+        assert sum(part.num_rows for _, _, part in lm._by_context(t.to_batches(max_chunksize=size))) == len(pairs)
+
+
 def test_context_tree_weighting_is_the_sequential_one():
     """The frozen probability of a next byte is the ratio of weighted probabilities of the counts."""
     rng = np.random.default_rng(6)
@@ -420,13 +430,15 @@ def test_context_tree_weighting_is_the_sequential_one():
     for level in range(8):
         found, _ = lm._nodes(key, count, level)
         ids, _, n0, n1 = found[2]
-        top.append((ids, *lm._upper(level, ids, lm._weighted(found)[0][2], n0, n1)))
+        above, of = np.unique(lm._parent(level, ids), return_inverse=True)
+        top.append((above, *lm._upper(level, above, *(np.bincount(of, v) for v in (lm._weighted(found)[0][2], n0, n1)))))
     got = dict(zip(key.tolist(), lm._log_probabilities(key, count, top).tolist(), strict=True))
     assert [got[g] for g in probe] == pytest.approx(want, abs=1e-8)
 
 
 @pytest.mark.parametrize("hot", [(lm.HOT_GRAMS, lm.HOT_WORDS), (8, 2)])
 def test_lm_scores(docs, none, monkeypatch, hot):
+    monkeypatch.setattr(lm, "FLUSH", lm.FLUSH if hot[0] > 8 else 100)
     monkeypatch.setattr(lm, "HOT_GRAMS", hot[0])
     monkeypatch.setattr(lm, "HOT_WORDS", hot[1])
     train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
