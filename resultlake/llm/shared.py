@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -31,13 +32,32 @@ def shared_folder(spark: SparkSession) -> str:
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Tables staged in each ``scratch`` that is open, innermost last.
+_scratches: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged within are deleted at the end, unless staged with ``keep``."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def stage(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it: lineage ends there.
 
     The shuffle files that the write needed are no longer of use, so Spark drops them at its end.
+    ``keep``: the table outlives the innermost ``scratch``, as far as the next one out.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for home in _scratches[-2:-1] if keep else _scratches[-1:]:
+        home.append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -75,21 +95,22 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = mark(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stage(moved.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with scratch(edges.sparkSession):
+        e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        before = mark(e)
+        while before[0]:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            e = stage(moved.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+            after = mark(e)
+            if after == before:
+                break
+            before = after
+        roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return stage(roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots", keep=True)
 
 
 # --- texts as byte arrays --------------------------------------------------------------------
