@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``; part of subpackage llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-reread as the next one's ``docs``.  All but the last return the columns of ``documents``.
+reread as the next one's ``docs``.  All but the last return the columns of ``documents``; other
+columns of ``docs`` aren't passed on.  An empty table stays one through every stage.
 """
 
 from __future__ import annotations
@@ -20,33 +21,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose most toxic window is toxic more likely than not go."""
+    """Texts whose most toxic window is toxic more likely than not go.
+
+    Null and empty texts get the base rate and stay; repeated rows are judged each.
+    """
     reachable(spark)
     model = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(COLUMNS), model).where("toxicity < 0.5").select(COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal or similar lines one stays; documents stay, with the lines that are left."""
+    """Of equal or similar lines one stays; documents stay, with the lines that are left.
+
+    Of ties the first by id, hash and place stays.  A null text stays null, one all of whose lines
+    go becomes empty; rows that repeat id and text keep the same lines.
+    """
     reachable(spark)
     kept = lines.dedup(docs.select(COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the least id stays."""
+    """Of each component of similar documents the one with the least id stays.
+
+    Similar: 64-bit fingerprints of three-word shingles that differ in two bits or fewer.  Null ids
+    come last, rows that repeat id and text give one; texts without words are one component.
+    """
     reachable(spark)
     return simhash.distinct(docs.select(COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold 0.8 or more of a benchmark item's five-word shingles go.
+
+    Null and empty texts hold none and stay, as do repeated rows of clean texts.
+    """
     reachable(spark)
     return decontaminate.clean(docs.select(COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, as digests."""
+    """Token ids of what is left, as digests: one row for each row, null texts as empty ones."""
     reachable(spark)
     return bpe.digests(bpe.encode(docs, *bpe.vocabulary_file(spark)))
 
