@@ -36,11 +36,12 @@ PRIOR = 4.0
 _U = np.uint64
 
 
-def _trigrams(low: np.ndarray) -> np.ndarray:
-    """Bucket of the byte trigram around each byte."""
-    b = np.zeros(len(low) + 2, np.int64)
-    b[1:-1] = low
-    return ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * 0x9E3779B1 >> 7) & (CHAR_BUCKETS - 1)
+def _trigrams(w: shared.Words) -> np.ndarray:
+    """Bucket of the byte trigram around each byte; a blank stands for what is outside its word."""
+    before, here, after = np.full(len(w.low), 0x20, np.int64), w.low.astype(np.int64), np.full(len(w.low), 0x20, np.int64)
+    before[1:], after[:-1] = here[:-1], here[1:]
+    before[w.start], after[w.end - 1] = 0x20, 0x20
+    return ((before * 961 + here * 31 + after) * 0x9E3779B1 >> 7) & (CHAR_BUCKETS - 1)
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +145,7 @@ class Model:
             x[:n, 0] = (self.evidence[_bucket(w)] if evidence is None else evidence) * 0.5
             x[:n, 1 : 1 + WORD_DIM] = self.p["E"][(w.hash & _U(WORD_BUCKETS - 1)).astype(np.int64)]
             sums = np.zeros((len(w.low) + 1, CHAR_DIM))
-            np.cumsum(self.p["C"][_trigrams(w.low)], axis=0, dtype=np.float64, out=sums[1:])
+            np.cumsum(self.p["C"][_trigrams(w)], axis=0, dtype=np.float64, out=sums[1:])
             x[:n, 1 + WORD_DIM :] = (sums[w.end] - sums[w.start]) / (w.end - w.start)[:, None]
         return x
 
@@ -224,7 +225,7 @@ def _picked(w: shared.Words, y: np.ndarray, a, b, rate, ids, p):
     size = np.where(m, w.end[at] - w.start[at], 0)
     flat = size[m]
     place = np.arange(int(flat.sum())) + np.repeat(w.start[at[m]] - (np.cumsum(flat) - flat), flat)
-    tri = _trigrams(w.low)[place].astype(np.int16)
+    tri = _trigrams(w)[place].astype(np.int16)
     edge = np.r_[0, np.cumsum(size.sum(1))]
     rows = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
     columns = [pa.array(ids[doc]), pa.array(y[doc].astype(np.int32)), rows(np.where(m, w.hash[at].view(np.int64), 0)), rows(np.where(m, e[at], 0).astype(np.float32)), rows(size.astype(np.int32)), pa.array([tri[s:t].tobytes() for s, t in zip(edge[:-1], edge[1:], strict=True)], pa.binary())]

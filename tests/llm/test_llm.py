@@ -113,11 +113,11 @@ def test_golay_codewords_share_a_key_within_one_bit():
 
 
 def test_fingerprints(docs, none):
-    got = fingerprint.with_next(docs.where("doc_id IS NOT NULL"))
-    known = sorted(((i, t or "") for i, t in TEXTS if i is not None))
+    got = fingerprint.with_next(docs)
+    known = sorted(((i, t or "") for i, t in TEXTS if i is not None)) + [(None, t) for i, t in TEXTS if i is None]
     follow = [t for _, t in known[1:]] + [known[0][1]]
-    want = sorted((i, len(t), hashlib.sha256(fingerprint.edited(t, n).encode()).hexdigest()) for (i, t), n in zip(known, follow, strict=True))
-    assert sorted(tuple(r)[:3] for r in got.collect()) == want
+    want = sorted(((i, len(t), hashlib.sha256(fingerprint.edited(t, n).encode()).hexdigest()) for (i, t), n in zip(known, follow, strict=True)), key=repr)
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == want
     by = {r.doc_id: r for r in got.collect()}
     assert by[0].fingerprint == by[1].fingerprint != by[2].fingerprint and by[0].near_next == 1.0
     assert by[3].fingerprint == "" and 0 <= by[2].near_edited <= 1
@@ -494,6 +494,29 @@ def test_toxicity_windows_cover_every_word():
         assert set(at[doc == k][at[doc == k] >= 0].tolist()) == set(range(first[k], first[k] + n))
 
 
+def test_toxicity_trains_on_what_it_scores():
+    text = "cat internationalisation-of-things moronic a " + "x" * 40 + " żółw"
+    w = shared.Words(*shared.buffers(pa.array([text, "one more text with a cat"])), 0, 2)
+    p = toxicity._start(np.random.default_rng(1))
+    p["C"], p["E"] = (np.random.default_rng(k).normal(size=p[n].shape).astype(np.float32) for k, n in ((2, "C"), (3, "E")))
+    a = np.arange(toxicity.EVIDENCE_BUCKETS) % 7
+    y = np.array([1, 0])
+    rows = toxicity._picked(w, y, a, a + 3, 0.4, np.array([10, 11]), p)
+    data = toxicity._Examples(pa.Table.from_batches([rows]))
+    own = y[w.doc]
+    e = toxicity._log_odds(a[toxicity._bucket(w)] - own, (a + 3)[toxicity._bucket(w)] - (1 - own), 0.4)
+    want = toxicity.Model(None, p, 0.4).word_inputs(w, e)
+    x = data.inputs(p, np.array([0, 1]))
+    assert x[0, :6] == pytest.approx(want[:6], abs=1e-5) and x[1, :6] == pytest.approx(want[6:12], abs=1e-5) and not x[0, 6:].any()
+    # gradients of the tables against differences
+    dx = np.random.default_rng(4).normal(size=x.shape).astype(np.float32)
+    got = data.gradients(np.array([0, 1]), dx)
+    for name, at in (("C", (int(data.tri[20]), 2)), ("E", (int(data.bucket[3]), 1))):
+        up = {**p, name: p[name].copy()}
+        up[name][at] += 1e-2
+        assert got[name][at] == pytest.approx(((data.inputs(up, np.array([0, 1])) - x) * dx).sum() / 1e-2, rel=1e-2, abs=1e-3)
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(8)
     p = {k: v.astype(np.float64) for k, v in toxicity._start(rng).items()}
@@ -537,6 +560,24 @@ def test_quality(spark, docs, none):
     assert quality.score(docs, quality.fit(rows, rows.limit(0).selectExpr("doc_id", "rating AS grade"))).first().tails == [0.5]
 
 
+def test_a_very_long_text(spark, vocabulary):
+    """Longer than a vectorised step many times over, beside a short one."""
+    rng = np.random.default_rng(12)
+    vocab = np.array([f"w{k}{'xyz'[k % 3] * (k % 7)}" for k in range(5000)])
+    text = " ".join(rng.choice(vocab, 300_000))
+    assert len(text) > 7 * shared.CHUNK_BYTES
+    rows = spark.createDataFrame([(1, text), (2, "short " + text[:50])], "doc_id bigint, text string")
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(rows).collect()} == {1: fp(text), 2: fp("short " + text[:50])}
+    ids = {r.doc_id: bytes(r.ids) for r in bpe.encode(rows, *vocabulary).collect()}
+    assert ids[1] == np.array(bpe.encoding(*vocabulary).encode_ordinary(text), "<u4").tobytes()
+    assert {r.doc_id: r.n_chars for r in fingerprint.with_next(rows).collect()}[1] == len(text)
+    scored = {r.doc_id: r for r in lm.score(rows, lm.fit(rows)).collect()}
+    assert scored[1].n_tokens == 300_001 and scored[1].n_bytes == len(text) + 1
+    assert {r.doc_id: bytes(r.kept).decode() for r in suffix.dedup(rows).collect()} == {1: text, 2: "short " + text[:50]}
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, toxic int")
+    assert toxicity.score(rows, toxicity.fit(rows, labels)).where("toxicity BETWEEN 0 AND 1").count() == 2
+
+
 def test_queries_over_the_smallest_tables(spark):
     from resultlake.llm.queries import ORACLE, QUERIES
 
