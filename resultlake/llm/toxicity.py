@@ -297,7 +297,8 @@ def _learned(p, data: _Examples):
     rng = np.random.Generator(np.random.PCG64(10))
     m1, m2, step = {}, {}, 0
     best = (_loss(p, data, held) if len(held) else np.inf), dict(p)
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // (len(learn) * ROUNDS)))):
+    each = -(-len(learn) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // (ROUNDS * each)))):
         order = learn[rng.permutation(len(learn))]
         for k in range(0, len(order), BATCH):
             s = order[k : k + BATCH]
