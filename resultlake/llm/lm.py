@@ -28,8 +28,8 @@ DEPTH = 5
 END = 0xFF  # no byte of UTF-8 text; also what precedes a text
 #: Most grams and words whose values are broadcast (16 bytes each).
 HOT_GRAMS, HOT_WORDS = 1 << 19, 1 << 18
-#: A task hands on its counts when it holds this many.
-FLUSH = 1 << 21
+#: A task hands on its counts when it holds this many, and weights grams of contexts so many at a time or more.
+FLUSH = 1 << 20
 _TWO = np.log(2.0)
 
 
@@ -108,7 +108,7 @@ def _weighted(found):
 def _by_context(batches):
     """(keys, counts, table) of some whole contexts of two bytes each, from rows in order of ``pair``.
 
-    Not more is held than FLUSH rows and those of one context.
+    Not more is held than half of FLUSH rows and those of one context.
     """
     held, rows = [], 0
 
@@ -119,7 +119,7 @@ def _by_context(batches):
         if not b.num_rows:
             continue
         pair = b.column(b.schema.get_field_index("pair")).to_numpy()
-        if rows > FLUSH:
+        if rows > FLUSH // 2:
             edge = int(np.searchsorted(pair, pair[0], side="right")) if pair[0] == last else 0
             if edge < len(pair):
                 held.append(b.slice(0, edge))
