@@ -355,6 +355,29 @@ def test_line_dedup_of_a_large_family(spark, monkeypatch):
     got = lines.dedup(spark.createDataFrame(texts, "doc_id bigint, text string"))
     assert Counter(root[r.text] for r in got.collect() if r.text) == Counter(set(root.values()))
 
+def test_line_dedup_copies_in_turns(spark, monkeypatch):
+    """More blocks are more turns, not larger ones, and all lines' texts are gone by then."""
+    monkeypatch.setattr(lines, "BLOCK_GRAMS", 4_000)
+    monkeypatch.setattr(lines, "TURN", 100_000)
+    rng = np.random.default_rng(3)
+    texts = list(enumerate(boilerplate(rng, 20, 12, 60)))
+    turns, real = [], shared.stage
+
+    def stage(df, name="stage", **how):
+        if name == "line-firsts":
+            turns.clear()
+        out = real(df, name, **how)
+        if name == "line-turn":
+            turns.append(any("/line-firsts-" in path for home in shared._scratches for path in home))
+        return out
+
+    monkeypatch.setattr(shared, "stage", stage)
+    got = lines.dedup(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    root = brute_lines(texts)
+    assert Counter(root[r.text] for r in got.collect() if r.text) == Counter(set(root.values()))
+    assert len(turns) > 2 and not any(turns)
+
+
 ITEMS = [(1, " ".join(PROSE.split()[3:20])), (2, "seven wizards! MIX, very potent brews (in) old"), (3, None), (4, ""), (5, "one"), (6, "words that occur in no document of all these here"), (1, " ".join(PROSE.split()[3:20])), (7, "an item of two texts whose other one is long and in no document " * 3), (7, " ".join(PROSE.split()[1:18]))]
 
 
