@@ -29,7 +29,7 @@ END = 0xFF  # no byte of UTF-8 text; also what precedes a text
 #: Most grams and words whose values are broadcast (16 bytes each).
 HOT_GRAMS, HOT_WORDS = 1 << 19, 1 << 18
 #: A task hands on its counts when it holds this many, and weights grams of contexts so many at a time or more.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 _TWO = np.log(2.0)
 
 
@@ -210,6 +210,7 @@ class _Tally:
 
     def merge(self):
         key, *counts = (np.concatenate(c) for c in zip(*self.keys, strict=True))
+        self.keys = []
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -239,12 +240,12 @@ def _counted(batches):
             if len(h):
                 k, n = np.unique(h.view(np.int64), return_counts=True)
                 tallies[WORD].add(k, n, n)
-        for kind, t in tallies.items():
-            if t.held > FLUSH + t.merged:
-                t.merge()
-                if t.held > FLUSH:
-                    yield rows(kind, *t.keys[0])
-                    t.__init__()
+            for kind, t in tallies.items():  # after each chunk: a batch may hold millions of grams
+                if t.held > FLUSH + t.merged:
+                    t.merge()
+                    if t.held > FLUSH:
+                        yield rows(kind, *t.keys[0])
+                        t.__init__()
     for kind, t in tallies.items():
         if t.keys:
             yield rows(kind, *t.merge())

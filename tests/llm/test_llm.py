@@ -413,6 +413,19 @@ def test_contexts_are_whole(monkeypatch):
         assert sum(part.num_rows for _, _, part in lm._by_context(t.to_batches(max_chunksize=size))) == len(pairs)
 
 
+def test_counts_are_handed_on_within_a_batch(monkeypatch):
+    monkeypatch.setattr(lm, "FLUSH", 1000)
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), 100_000)) for _ in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 3 > 0 for k in range(12)])], ["text", "train"])
+    got = [b for b in lm._counted([batch]) if b.column(0)[0].as_py() == lm.GRAM]
+    data, off = shared.buffers(batch.column(0))
+    size = [len(lm.grams(shared.Words(data, off, k, k + 1))[0]) for k in range(12)]
+    assert len(got) > 3 and max(b.num_rows for b in got) <= lm.FLUSH + shared.CHUNK_BYTES
+    assert sum(sum(b.column(3).to_pylist()) for b in got) == sum(size)
+    assert sum(sum(b.column(2).to_pylist()) for b in got) == sum(n for k, n in enumerate(size) if k % 3)
+
+
 def test_context_tree_weighting_is_the_sequential_one():
     """The frozen probability of a next byte is the ratio of weighted probabilities of the counts."""
     rng = np.random.default_rng(6)
