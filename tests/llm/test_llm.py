@@ -378,6 +378,23 @@ def test_line_dedup_copies_in_turns(spark, monkeypatch):
     assert len(turns) > 2 and not any(turns)
 
 
+def test_line_dedup_copies_grow_with_the_bucket(spark, monkeypatch):
+    """Four times as many unlike lines of one head: about four times as many copied shingles, not sixteen."""
+    monkeypatch.setattr(lines, "BLOCK_GRAMS", 4_000)
+    copied, real = [], lines._in_turns
+
+    def in_turns(rows, n, *rest):
+        copied[-1] += n or 0
+        return real(rows, n, *rest)
+
+    monkeypatch.setattr(lines, "_in_turns", in_turns)
+    for n in (120, 480):
+        copied.append(0)
+        texts = list(enumerate(boilerplate(np.random.default_rng(3), 20, 12, n, edits=0)))
+        assert lines.dedup(spark.createDataFrame(texts, "doc_id bigint, text string")).where("text <> ''").count() == len(texts)
+    assert 0 < copied[1] < 6 * copied[0], copied
+
+
 ITEMS = [(1, " ".join(PROSE.split()[3:20])), (2, "seven wizards! MIX, very potent brews (in) old"), (3, None), (4, ""), (5, "one"), (6, "words that occur in no document of all these here"), (1, " ".join(PROSE.split()[3:20])), (7, "an item of two texts whose other one is long and in no document " * 3), (7, " ".join(PROSE.split()[1:18]))]
 
 
