@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, lines, lm, quality, shared, simhash, suffix, tokenfiles, toxicity
+from . import bpe, decontaminate, fingerprint, hardneg, importance, lines, lm, quality, shared, simhash, suffix, tokenfiles, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,5 +77,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_token_counts, op4_bpe, op5_line_dedup, op6_suffix_dedup, op7_simhash, op8_ctw_scores, op9_toxicity, op10_decontaminate)}
-ORACLE: dict[str, str] = {"op10_decontaminate": decontaminate.LEAKS_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("id") % 50 == 0)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"), shared.shared_folder(spark))
+    return warc.resolved(warc.captures(spark, archive)).drop("uri")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_token_counts, op4_bpe, op5_line_dedup, op6_suffix_dedup, op7_simhash, op8_ctw_scores, op9_toxicity, op10_decontaminate, op11_hard_negatives, op12_importance, op13_warc)}
+ORACLE: dict[str, str] = {"op10_decontaminate": decontaminate.LEAKS_SQL, "op11_hard_negatives": hardneg.MINE_SQL, "op12_importance": importance.RESAMPLE_SQL, "op13_warc": warc.CAPTURES_SQL}
