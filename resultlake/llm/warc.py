@@ -2,10 +2,10 @@
 
 A capture is three records: the request, the response (or a revisit, which has no payload and refers
 to the response that holds an equal one) and metadata; the first and the last name the middle one in
-``WARC-Concurrent-To``.  Archives are plain files of a Spark text table whose line separator is the
-blank lines after a record.  They are read by Spark's text reader with the begin of a record as the
-separator, so a large file is read in ranges anywhere, from any store that Spark reads, and no more
-than a record is held at once.
+``WARC-Concurrent-To``.  Archives are files of a Spark text table whose line separator is the blank
+lines after a record.  They are read by Spark's text reader with the begin of a record as the
+separator, from any store that Spark reads, a large uncompressed file in ranges, and no more than a
+record is held at once.
 
 A payload may itself hold what looks like a record, and a range that begins within a separator may
 miss a piece.  Where a file's pieces all have the length that their headers state, and add up to
@@ -36,10 +36,9 @@ DATE = "1970-01-01T00:00:00Z"
 
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of a binary column's SHA-1 (160 bits: 32 digits, four to five hex digits)."""
-    part = lambda h, j: F.conv(F.substring(h, F.floor(j / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-    digit = lambda h, j: F.substring(F.lit(BASE32), F.floor(part(h, j) / F.pow(F.lit(32.0), 3 - j % 4)).cast("int") % 32 + 1, F.lit(1))
-    hexed = F.transform(F.array(F.sha1(payload)), lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: digit(h, j)), ""))
-    return F.get(hexed, 0)
+    hexed = F.transform(F.array(F.sha1(payload)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.conv(F.substring(h, p * 5 + 1, F.lit(5)), 16, 10).cast("int")))
+    digit = lambda v, by: F.substring(F.lit(BASE32), F.shiftright(v, by).bitwiseAND(31) + 1, F.lit(1))
+    return F.array_join(F.transform(F.get(hexed, 0), lambda v: F.concat(*(digit(v, by) for by in (15, 10, 5, 0)))), "")
 
 
 def _record_id(kind: str, *of: Column) -> Column:
@@ -106,13 +105,14 @@ def planned(pages: DataFrame, least_bytes: int = 0, html_col: str = "html", url_
     return hot_join(rows.withColumn("group", group), same, ["group"], "left").select("id", "url", "payload", "digest", "keeper")
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> str:
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE, compression: str = "gzip", html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> str:
     """Writes three records for each row below ``folder``; returns the archive's own folder.
 
     Payload: the HTML in UTF-8 (null: empty).  Of equal payloads of ``least_bytes`` or more the one
     with the largest id (ties: largest URL) is the response, the others revisit it.  Control
     characters and blanks of URLs are percent-encoded; a null URL or id gives no header line.  Rows
     that repeat id, URL and payload give equal records each; an empty table gives an empty archive.
+    ``compression``: gzip (a file is one member) or none.
     """
     at = f"{folder}/warc-{uuid.uuid4().hex}"
     rows = planned(pages, least_bytes, html_col, url_col, id_col)
@@ -134,7 +134,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE,
     told = F.concat(_lines(("page-id", F.col("id").cast("string")), ("fetched-bytes", F.octet_length("payload").cast("string"))), F.lit("\r\n"))
     metadata = _record("metadata", _record_id("metadata", F.col("own")), told, when, uri, ("WARC-Concurrent-To", F.col("own")), ("Content-Type", F.lit(FIELDS)))
     records = rows.withColumn("own", own).select(F.explode(F.array(request, F.when(revisits, again).otherwise(full), metadata)).alias("record"))
-    records.select(F.concat(F.lit(f"{BEGIN}1\r\n"), "record").alias("value")).write.option("lineSep", END).text(at)
+    records.select(F.concat(F.lit(f"{BEGIN}1\r\n"), "record").alias("value")).write.option("lineSep", END).text(at, compression=compression)
     return at
 
 
@@ -179,7 +179,7 @@ def _field(name: str, head: str = "head") -> Column:
 
 
 def _parsed(pieces: DataFrame) -> DataFrame:
-    """(file, head, block, whole): ``whole`` tells whether the block is as long as stated."""
+    """With head, block and ``whole``, whether the block is as long as stated, instead of the piece."""
     end = F.instr("text", END)
     rows = pieces.withColumn("text", F.col("piece").cast("string")).withColumn("head", F.when(end > 0, F.substring(F.col("text"), F.lit(1), end - 1)).otherwise(F.col("text")))
     rows = rows.withColumn("from", F.octet_length("head") + len(END)).withColumn("stated", F.expr(r"try_cast(trim(regexp_extract(head, '(?im)^content-length:([^\\r\\n]*)', 1)) AS BIGINT)"))
@@ -188,34 +188,41 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     last = (left == F.col("stated") + len(END)) & F.col("text").endswith(END)
     whole = F.coalesce((left == F.col("stated")) | last, F.lit(False))
     block = F.substring(F.col("piece"), F.col("from") + 1, F.coalesce(F.col("stated"), F.lit(0)).cast("int"))
-    return rows.select("file", "head", whole.alias("whole"), block.alias("block"))
+    return rows.select(*(c for c in pieces.columns if c != "piece"), "head", whole.alias("whole"), block.alias("block"))
+
+
+def _named(parsed: DataFrame) -> DataFrame:
+    """With a record's header fields instead of its head; pieces without a record id go."""
+    concurrent = F.transform(F.regexp_extract_all("head", F.lit(r"(?im)^WARC-Concurrent-To:([^\r\n]*)"), F.lit(1)), lambda c: F.trim(c))
+    fields = {"id": "WARC-Record-ID", "type": "WARC-Type", "uri": "WARC-Target-URI", "date": "WARC-Date", "digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
+    return parsed.select("file", *(_field(name).alias(c) for c, name in fields.items()), concurrent.alias("concurrent"), "block").where("id IS NOT NULL")
+
+
+class Archive:
+    """The records of an archive: any WARC 1.x files that Spark's text reader opens, compressed ones too."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("from"), F.col("_metadata.file_block_length").alias("length")]
+        raw = spark.read.option("lineSep", END + BEGIN).text(path).select(*place, "value", F.octet_length(F.col("value").cast("binary")).alias("bytes"))
+        begun = F.when(F.col("value").startswith(BEGIN), F.expr(f"substring(value, {len(BEGIN) + 1})")).otherwise(F.col("value"))
+        pieces = raw.select("file", "bytes", (F.col("length") == F.col("size")).alias("one"), "size", begun.cast("binary").alias("piece"))
+        checked = _parsed(pieces).groupBy("file").agg(F.min("whole").alias("whole"), (F.sum("bytes") + (F.count("*") - 1) * len(END + BEGIN)).alias("sum"), F.max("size").alias("size"), F.min("one").alias("one"))
+        broken = shared.stage(checked.where("NOT whole OR (NOT one AND sum <> size)").select("file"), "warc-broken")
+        self.records = _named(_parsed(pieces))
+        if not broken.isEmpty():
+            listed = small(broken, HOT_KEYS)
+            lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("line"))
+            lines = lines.join(listed, "file", "left_semi").repartition("file").sortWithinPartitions("file", "from", "nth")
+            mended = lines.select("file", "line").mapInArrow(_walk, "file string, piece binary")
+            self.records = _named(_parsed(pieces.join(listed, "file", "left_anti"))).unionByName(_named(_parsed(mended)))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, type, uri, date, digest, concurrent array, refers_to, head, block) of an archive's records.
+    """(file, id, type, uri, date, digest, refers_to, concurrent array, block) of an archive's records.
 
-    Any WARC 1.x file that Spark's text reader opens, compressed ones included.  Pieces without a
-    record id (an empty file's, what follows the last record) are none.
+    Pieces without a record id (an empty file's, what follows the last record) are none.
     """
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("from"), F.col("_metadata.file_block_length").alias("length")]
-    raw = spark.read.option("lineSep", END + BEGIN).text(path).select(*place, F.col("value").cast("binary").alias("piece"), "value")
-    begun = F.when(F.col("value").startswith(BEGIN), F.expr(f"substring(value, {len(BEGIN) + 1})")).otherwise(F.col("value"))
-    pieces = raw.select("file", begun.cast("binary").alias("piece"))
-    # ranges that begin within a separator may miss a piece: then a file's bytes don't add up
-    bytes_ = F.sum(F.octet_length("piece")) + (F.count("*") - 1) * len(END + BEGIN)
-    whole = _parsed(raw.withColumn("piece", begun.cast("binary"))).groupBy("file").agg(F.min("whole").alias("whole"))
-    sums = raw.groupBy("file").agg(bytes_.alias("bytes"), F.max("size").alias("size"), F.min(F.col("length") == F.col("size")).alias("one"))
-    broken = shared.stage(whole.join(sums, "file").where("NOT whole OR (NOT one AND bytes <> size)").select("file"), "warc-broken")
-    good = _parsed(pieces)
-    if not broken.isEmpty():
-        listed = small(broken, HOT_KEYS)
-        lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("line"))
-        lines = lines.join(listed, "file", "left_semi").repartition("file").sortWithinPartitions("file", "from", "nth")
-        mended = lines.select("file", "line").mapInArrow(_walk, "file string, piece binary")
-        good = good.join(listed, "file", "left_anti").unionByName(_parsed(mended))
-    concurrent = F.transform(F.regexp_extract_all("head", F.lit(r"(?im)^WARC-Concurrent-To:([^\r\n]*)"), F.lit(1)), lambda c: F.trim(c))
-    named = good.select("file", _field("WARC-Record-ID").alias("id"), _field("WARC-Type").alias("type"), _field("WARC-Target-URI").alias("uri"), _field("WARC-Date").alias("date"), _field("WARC-Payload-Digest").alias("digest"), concurrent.alias("concurrent"), _field("WARC-Refers-To").alias("refers_to"), "head", "block")
-    return named.where("id IS NOT NULL")
+    return Archive(spark, path).records
 
 
 def _owners(links: DataFrame) -> DataFrame:
@@ -233,27 +240,29 @@ def _owners(links: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """(capture struct, payload, http, requests array, metadata array): one nested row per capture.
+    """(capture struct, payload, payload_bytes, payload_digest, http, requests array, metadata array): a nested row a capture.
 
     ``capture``: id, type (response or revisit), uri, date, digest and refers_to; ``payload``: bytes after
-    the message's head (null for a revisit), ``http``: that head; ``requests``, ``metadata``: structs
-    (id, uri, date, block) in order of id, distinct.  A capture named by no other record has empty
-    arrays; requests and metadata without a capture are left out.
+    the message's head (null for a revisit) with their number and base32 SHA-1, ``http``: that head;
+    ``requests``, ``metadata``: structs (id, uri, date, block) in order of id, distinct.  A capture named
+    by no other record has empty arrays; requests and metadata without a capture are left out.
     """
-    read = records(spark, path)
-    kinds = read.where("type IN ('request', 'metadata', 'response', 'revisit')")
-    links = shared.stage(kinds.select("id", F.col("type").isin("response", "revisit").alias("capture"), "concurrent"), "warc-links")
-    owners = _owners(links)
-    sides = kinds.where("type IN ('request', 'metadata')").join(owners, "id")
+    read = Archive(spark, path).records.where("type IN ('request', 'metadata', 'response', 'revisit')")
+    is_capture = F.col("type").isin("response", "revisit")
+    # all but the payloads is small and read again: once parsed, it is kept
+    heads = shared.stage(read.select("id", "type", "uri", "date", "concurrent", is_capture.alias("capture"), F.when(~is_capture, F.col("block")).alias("block")), "warc-heads")
+    sides = heads.where("NOT capture").join(_owners(heads.select("id", "capture", "concurrent")), "id")
     about = F.struct("id", "uri", "date", "block")
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("type") == kind, about)))
     sides = sides.groupBy("owner").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
-    text = F.col("block").cast("string")
-    main = kinds.where("type IN ('response', 'revisit')").withColumn("http", F.substring_index(text, END, 1))
+    main = read.where(is_capture).withColumn("http", F.substring_index(F.col("block").cast("string"), END, 1))
     body = F.when(F.col("type") == "response", F.expr(f"substring(block, octet_length(http) + {len(END) + 1})"))
     main = main.select(F.struct("id", "type", "uri", "date", "digest", "refers_to").alias("capture"), body.alias("payload"), "http", F.col("id").alias("owner"))
-    nested = main.join(sides, "owner", "left").drop("owner")
-    return nested.withColumns({c: F.coalesce(c, F.array().cast(sides.schema[c].dataType)) for c in ("requests", "metadata")})
+    # before the join, so that a reader of these two alone doesn't move payloads
+    main = main.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))))
+    nested = main.join(sides, "owner", "left")
+    filled = [F.coalesce(c, F.array().cast(sides.schema[c].dataType)).alias(c) for c in ("requests", "metadata")]
+    return nested.select("capture", "payload", "payload_bytes", "payload_digest", "http", *filled)
 
 
 def page_of(metadata: str = "metadata") -> Column:
@@ -269,7 +278,7 @@ def resolved(found: DataFrame, id_type: str = "bigint") -> DataFrame:
     response that it refers to, found by record id (its own header's where that is not there).
     """
     rows = found.select(
-        F.col("capture.id").alias("id"), page_of().cast(id_type).alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))).alias("payload_digest"),
+        F.col("capture.id").alias("id"), page_of().cast(id_type).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("target"), "capture.uri", (1 + F.size("requests") + F.size("metadata")).cast("bigint").alias("n_records"),
         F.regexp_replace("capture.digest", "^sha1:", "").alias("stated"),
     )

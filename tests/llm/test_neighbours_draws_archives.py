@@ -196,7 +196,7 @@ def test_an_empty_archive_and_split_files(spark, monkeypatch):
     # one file read in many ranges, and links of keys that don't all fit the broadcast
     monkeypatch.setattr(warc, "HOT_KEYS", 2)
     many = [(i, f"https://h.example/{i}", f"<p>{i % 40 if i % 3 else 7}</p>" * 50) for i in range(600)]
-    at = warc.write(spark.createDataFrame(many, none.schema).coalesce(1), shared.shared_folder(spark))
+    at = warc.write(spark.createDataFrame(many, none.schema).coalesce(1), shared.shared_folder(spark), compression="none")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
     spark.conf.set("spark.sql.files.openCostInBytes", "100")
