@@ -7,9 +7,9 @@ lines after a record.  They are read by Spark's text reader with the begin of a
 separator, from any store that Spark reads, a large uncompressed file in ranges, and no more than a
 record is held at once.
 
-A payload may itself hold what looks like a record, and a range that begins within a separator may
-miss a piece.  Where a file's pieces all have the length that their headers state, and add up to
-the file, they are its records, as each begins where the one before ends; every other file is read
+A payload may itself hold the separator, and a range that begins within one may miss a piece (so
+may a reader's buffer where a separator repeats its own begin, which this one doesn't).  Where a
+file's pieces all have the length that their headers state, and add up to the file, they are its records, as each begins where the one before ends; every other file is read
 by lines in order and cut by the stated lengths.
 """
 
@@ -159,7 +159,7 @@ def _walk(batches):
             else:
                 body, size, want = [], 0, _stated(head)
             if want is not None and size >= want:
-                out.append((file, b"\n".join(head).rstrip(b"\r") + END.encode() + b"".join(body)[:want]))
+                out.append((file, b"\n".join(head).rstrip(b"\r") + END.encode() + b"".join(body)[:want] + END.encode()))
                 head, want = None, None
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.string()), pa.array([p for _, p in out], pa.binary())], ["file", "piece"])
@@ -183,44 +183,58 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     end = F.instr("text", END)
     rows = pieces.withColumn("text", F.col("piece").cast("string")).withColumn("head", F.when(end > 0, F.substring(F.col("text"), F.lit(1), end - 1)).otherwise(F.col("text")))
     rows = rows.withColumn("from", F.octet_length("head") + len(END)).withColumn("stated", F.expr(r"try_cast(trim(regexp_extract(head, '(?im)^content-length:([^\\r\\n]*)', 1)) AS BIGINT)"))
+    # a whole record is followed by blank lines; before a file's first record there is nothing
     left = F.octet_length("piece") - F.col("from")
-    # the last record of a file carries the blank lines after it
-    last = (left == F.col("stated") + len(END)) & F.col("text").endswith(END)
-    whole = F.coalesce((left == F.col("stated")) | last, F.lit(False))
+    sound = (left == F.col("stated") + len(END)) & F.col("text").endswith(END)
+    whole = F.coalesce(sound, F.lit(False)) | (F.octet_length("piece") == 0)
     block = F.substring(F.col("piece"), F.col("from") + 1, F.coalesce(F.col("stated"), F.lit(0)).cast("int"))
-    return rows.select(*(c for c in pieces.columns if c != "piece"), "head", whole.alias("whole"), block.alias("block"))
+    return rows.select(*(c for c in pieces.columns if c != "piece"), "head", whole.alias("whole"), F.coalesce(block, F.lit(b"")).alias("block"))
+
+
+FIELD_NAMES = {"id": "WARC-Record-ID", "type": "WARC-Type", "uri": "WARC-Target-URI", "date": "WARC-Date", "digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
+
+
+def _is_capture() -> Column:
+    return F.coalesce(F.col("type").isin("response", "revisit"), F.lit(False))
 
 
 def _named(parsed: DataFrame) -> DataFrame:
-    """With a record's header fields instead of its head; pieces without a record id go."""
+    """With a record's header fields instead of its head."""
     concurrent = F.transform(F.regexp_extract_all("head", F.lit(r"(?im)^WARC-Concurrent-To:([^\r\n]*)"), F.lit(1)), lambda c: F.trim(c))
-    fields = {"id": "WARC-Record-ID", "type": "WARC-Type", "uri": "WARC-Target-URI", "date": "WARC-Date", "digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
-    return parsed.select("file", *(_field(name).alias(c) for c, name in fields.items()), concurrent.alias("concurrent"), "block").where("id IS NOT NULL")
+    return parsed.select(*(c for c in parsed.columns if c not in ("head", "block")), *(_field(name).alias(c) for c, name in FIELD_NAMES.items()), concurrent.alias("concurrent"), "block")
 
 
 class Archive:
-    """The records of an archive: any WARC 1.x files that Spark's text reader opens, compressed ones too."""
+    """The records of an archive: any WARC 1.x files that Spark's text reader opens, compressed ones too.
+
+    ``heads``: header fields of every record, staged, with the block of all but captures;
+    ``records``: the same with every block, read again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("from"), F.col("_metadata.file_block_length").alias("length")]
-        raw = spark.read.option("lineSep", END + BEGIN).text(path).select(*place, "value", F.octet_length(F.col("value").cast("binary")).alias("bytes"))
-        begun = F.when(F.col("value").startswith(BEGIN), F.expr(f"substring(value, {len(BEGIN) + 1})")).otherwise(F.col("value"))
-        pieces = raw.select("file", "bytes", (F.col("length") == F.col("size")).alias("one"), "size", begun.cast("binary").alias("piece"))
-        checked = _parsed(pieces).groupBy("file").agg(F.min("whole").alias("whole"), (F.sum("bytes") + (F.count("*") - 1) * len(END + BEGIN)).alias("sum"), F.max("size").alias("size"), F.min("one").alias("one"))
+        raw = spark.read.option("lineSep", BEGIN).text(path).select(*place, F.col("value").cast("binary").alias("piece"))
+        pieces = _named(_parsed(raw.select("file", F.octet_length("piece").alias("bytes"), (F.col("length") == F.col("size")).alias("one"), "size", "piece")))
+        light = F.when(~_is_capture(), F.col("block"))
+        kept = ["file", *FIELD_NAMES, "concurrent", "block"]
+        heads = shared.stage(pieces.withColumn("block", light), "warc-heads")
+        checked = heads.groupBy("file").agg(F.min("whole").alias("whole"), (F.sum("bytes") + (F.count("*") - 1) * len(BEGIN)).alias("sum"), F.max("size").alias("size"), F.min("one").alias("one"))
         broken = shared.stage(checked.where("NOT whole OR (NOT one AND sum <> size)").select("file"), "warc-broken")
-        self.records = _named(_parsed(pieces))
+        self.heads, self.records = heads.select(kept), pieces.select(kept)
         if not broken.isEmpty():
             listed = small(broken, HOT_KEYS)
             lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("line"))
             lines = lines.join(listed, "file", "left_semi").repartition("file").sortWithinPartitions("file", "from", "nth")
-            mended = lines.select("file", "line").mapInArrow(_walk, "file string, piece binary")
-            self.records = _named(_parsed(pieces.join(listed, "file", "left_anti"))).unionByName(_named(_parsed(mended)))
+            mended = _named(_parsed(lines.select("file", "line").mapInArrow(_walk, "file string, piece binary"))).select(kept)
+            self.heads = self.heads.join(listed, "file", "left_anti").unionByName(shared.stage(mended.withColumn("block", light), "warc-heads"))
+            self.records = self.records.join(listed, "file", "left_anti").unionByName(mended)
+        self.heads, self.records = self.heads.where("id IS NOT NULL"), self.records.where("id IS NOT NULL")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(file, id, type, uri, date, digest, refers_to, concurrent array, block) of an archive's records.
 
-    Pieces without a record id (an empty file's, what follows the last record) are none.
+    Pieces without a record id (what precedes the first record) are none.
     """
     return Archive(spark, path).records
 
@@ -247,15 +261,14 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     ``requests``, ``metadata``: structs (id, uri, date, block) in order of id, distinct.  A capture named
     by no other record has empty arrays; requests and metadata without a capture are left out.
     """
-    read = Archive(spark, path).records.where("type IN ('request', 'metadata', 'response', 'revisit')")
-    is_capture = F.col("type").isin("response", "revisit")
-    # all but the payloads is small and read again: once parsed, it is kept
-    heads = shared.stage(read.select("id", "type", "uri", "date", "concurrent", is_capture.alias("capture"), F.when(~is_capture, F.col("block")).alias("block")), "warc-heads")
-    sides = heads.where("NOT capture").join(_owners(heads.select("id", "capture", "concurrent")), "id")
+    archive = Archive(spark, path)
+    heads = archive.heads.where("type IN ('request', 'metadata', 'response', 'revisit')")
+    links = heads.select("id", _is_capture().alias("capture"), "concurrent")
+    sides = heads.where(~_is_capture()).join(_owners(links), "id")
     about = F.struct("id", "uri", "date", "block")
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("type") == kind, about)))
     sides = sides.groupBy("owner").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
-    main = read.where(is_capture).withColumn("http", F.substring_index(F.col("block").cast("string"), END, 1))
+    main = archive.records.where(_is_capture()).withColumn("http", F.substring_index(F.col("block").cast("string"), END, 1))
     body = F.when(F.col("type") == "response", F.expr(f"substring(block, octet_length(http) + {len(END) + 1})"))
     main = main.select(F.struct("id", "type", "uri", "date", "digest", "refers_to").alias("capture"), body.alias("payload"), "http", F.col("id").alias("owner"))
     # before the join, so that a reader of these two alone doesn't move payloads
