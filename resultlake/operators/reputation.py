@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, urls
+from . import scans
 
 LEAST_SAMPLES, STRENGTH, DECAY_FROM, DECAY_TO = 3, 1.6, 30, 90
 RATE, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.02
@@ -26,21 +27,15 @@ def contribution(quality: Column, flags: Column) -> Column:
     return clamp(c, 0.05, 1.0)
 
 
-def search_score(values: Column, start: float = 0.5) -> Column:
-    """Running score of contributions in order; a step's rate falls with the samples so far."""
-    init = F.struct(F.lit(start).alias("s"), F.lit(0.0).alias("n"))
+def search_step(value: Column, nth: Column) -> Column:
+    """Move of the search score by a key's nth contribution: the rate falls with the samples so far."""
+    rate = F.least(F.lit(0.5), 1 / (1 + nth * 0.12))
+    return scans.line(1 - rate, rate * value, 0.0, 1.0)
 
-    def step(acc, c):
-        n = acc["n"] + 1
-        rate = F.least(F.lit(0.5), 1 / (1 + n * 0.12))
-        return F.struct(clamp(acc["s"] + rate * (c - acc["s"]), 0.0, 1.0).alias("s"), n.alias("n"))
 
-    return F.aggregate(values, init, step, lambda acc: acc["s"])
-
-
-def halving_score(values: Column, start: float = 0.5) -> Column:
-    """Running score that moves half way to each contribution in order."""
-    return F.aggregate(values, F.lit(start), lambda s, c: 0.5 * c + 0.5 * s)
+def halving_step(value: Column) -> Column:
+    """Move half way to a contribution."""
+    return scans.line(F.lit(0.5), 0.5 * value)
 
 
 def effective(search: Column, content: Column, content_samples: Column) -> Column:
@@ -75,17 +70,28 @@ def badge(score: Column, samples: Column) -> Column:
 def learned(observations: DataFrame) -> DataFrame:
     """Entries by key from observations (key, id, at, kind, value), in order of (at, id).
 
-    kinds: search, content, fetch (value 1 or 0) and select.  Equal (key, kind, id) count once.
+    kinds: search, content, fetch (value 1 or 0) and select.  Equal (key, kind, id) count once.  Scores
+    are folded in pieces (``scans``), so a key's history never meets in one place; a kind without
+    observations has score 0.5, a null key is a key, a null value moves nothing but counts.
     """
-    once = observations.dropDuplicates(["key", "kind", "id"])
-    entry = F.struct("at", "id", "value")
-    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))), lambda e: e["value"])
-    lists = once.groupBy("key").agg(*(of(k).alias(k) for k in ("search", "content", "fetch", "select")), F.max("at").alias("last_seen"), F.min("at").alias("first_seen"))
-    return lists.select(
-        "key", search_score(F.col("search")).alias("search_score"), F.size("search").alias("search_samples"),
-        halving_score(F.col("content")).alias("content_score"), F.size("content").alias("content_samples"),
-        halving_score(F.transform("fetch", lambda ok: F.when(ok > 0, 0.95).otherwise(0.1))).alias("availability_score"), F.size("fetch").alias("availability_samples"),
-        F.size("select").alias("utility_samples"), "first_seen", "last_seen",
+    moves = F.when(F.col("kind") == "fetch", F.when(F.col("value") > 0, 0.95).otherwise(0.1)).otherwise(F.col("value"))
+    once = observations.dropDuplicates(["key", "kind", "id"]).select("key", "kind", "at", "id", moves.cast("double").alias("value"))
+    dealt = scans.pieces(once, ["key", "kind"], ["at", "id"])
+    of_piece = dealt.groupBy("key", "kind", "piece").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "select", F.struct("at", "id", "value")))), lambda e: e["value"]).alias("values"),
+    )
+    placed = scans.counted_before(of_piece, ["key", "kind"])
+    still = scans.line(F.lit(1.0), F.lit(0.0))
+    steps = F.transform("values", lambda v, i: F.when(v.isNull(), still).when(F.col("kind") == "search", search_step(v, F.col("before") + i + 1)).otherwise(halving_step(v)))
+    folded = placed.select("key", "kind", "piece", F.aggregate(steps, still, scans.line_then).alias("map"))
+    scores = scans.composed(folded, ["key", "kind"], scans.line_then).select("key", "kind", scans.line_at(F.col("map"), 0.5).alias("score"))
+    counts = of_piece.groupBy("key", "kind").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    both = counts.join(scores.withColumnsRenamed({"key": "k", "kind": "d"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("kind") == F.col("d")))
+    of = lambda kind, c, other: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(other))
+    return both.groupBy("key").agg(
+        of("search", "score", 0.5).alias("search_score"), of("search", "n", 0).cast("int").alias("search_samples"), of("content", "score", 0.5).alias("content_score"), of("content", "n", 0).cast("int").alias("content_samples"),
+        of("fetch", "score", 0.5).alias("availability_score"), of("fetch", "n", 0).cast("int").alias("availability_samples"), of("select", "n", 0).cast("int").alias("utility_samples"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
     )
 
 

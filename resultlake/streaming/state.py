@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scans
+
 
 def events(frame: DataFrame) -> DataFrame:
     """``ts`` as a timestamp with zone, which watermarks need."""
@@ -51,18 +53,32 @@ def cooldown(outcomes: DataFrame, threshold: int = 3, hold_s: float = 300.0) ->
 
     Failures add up; at ``threshold`` the key cools for ``hold_s`` and the count restarts; success
     clears both.
+
+    A history is folded in pieces: what a piece does to each count of failures it may begin with is a
+    table of ``threshold`` rows, and tables compose.  A null ``ok`` is a failure.
     """
-    state = F.struct(F.lit(0).alias("fails"), F.lit(0.0).alias("until"), F.lit(0).alias("trips"))
+    start = F.transform(F.sequence(F.lit(0), F.lit(threshold - 1)), lambda f: F.struct(f.alias("fails"), F.lit(None).cast("double").alias("until"), F.lit(0).cast("bigint").alias("trips")))
+
+    def step(table, e):
+        def of(s):
+            trip = ~e["ok"] & (s["fails"] + 1 >= threshold)
+            return F.struct(
+                F.when(e["ok"] | trip, 0).otherwise(s["fails"] + 1).alias("fails"), F.when(e["ok"], 0.0).when(trip, e["at"] + hold_s).otherwise(s["until"]).alias("until"), (s["trips"] + trip.cast("bigint")).alias("trips")
+            )
+
+        return F.transform(table, of)
 
-    def step(s, e):
-        trip = ~e["ok"] & (s["fails"] + 1 >= threshold)
-        return F.struct(
-            F.when(e["ok"] | trip, 0).otherwise(s["fails"] + 1).alias("fails"), F.when(e["ok"], 0.0).when(trip, e["at"] + hold_s).otherwise(s["until"]).alias("until"), (s["trips"] + trip.cast("int")).alias("trips")
-        )
+    def then(first, second):
+        def of(s):
+            t = F.get(second, s["fails"])
+            return F.struct(t["fails"].alias("fails"), F.coalesce(t["until"], s["until"]).alias("until"), (s["trips"] + t["trips"]).alias("trips"))
 
-    ordered = outcomes.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "ok"))).alias("es"))
-    done = ordered.select("key", F.aggregate("es", state, step).alias("s"))
-    return done.select("key", F.col("s.fails").alias("fails"), F.col("s.until").alias("cooled_until"), F.col("s.trips").alias("trips"))
+        return F.transform(first, of)
+
+    dealt = scans.pieces(outcomes.select("key", F.col("at").cast("double").alias("at"), "id", F.coalesce("ok", F.lit(False)).alias("ok")), ["key"], ["at", "id"])
+    folded = dealt.groupBy("key", "piece").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("at", "id", "ok"))), start, step).alias("map"))
+    done = scans.composed(folded, ["key"], then).select("key", F.get("map", 0).alias("s"))
+    return done.select("key", F.col("s.fails").alias("fails"), F.coalesce("s.until", F.lit(0.0)).alias("cooled_until"), F.col("s.trips").cast("int").alias("trips"))
 
 
 class _Cooling:
@@ -93,13 +109,10 @@ def cooling_stream(outcomes: DataFrame, threshold: int = 3, hold_s: float = 300.
 
 
 def cached(requests: DataFrame, cache: DataFrame, ttl_s: float) -> DataFrame:
-    """Requests (key, at) with the newest cached value saved within ``ttl_s`` before; null for a miss."""
-    kind = dict(cache.dtypes)["value"]
-    asked = requests.select("*", F.lit(1).alias("__asked"), F.lit(None).cast(kind).alias("__value"))
-    saved = cache.select("key", F.col("saved_at").alias("at"), F.lit(0).alias("__asked"), F.col("value").alias("__value"))
-    # saves at the same time come first; among them the greatest value, which is the last
-    before = Window.partitionBy("key").orderBy("at", "__asked", "__value").rowsBetween(Window.unboundedPreceding, 0)
-    newest = F.last(F.when(F.col("__asked") == 0, F.struct(F.col("at").alias("at"), F.col("__value").alias("value"))), ignorenulls=True).over(before)
-    both = asked.unionByName(saved, allowMissingColumns=True).withColumn("__newest", newest).where("__asked = 1")
-    fresh = F.when(F.col("at") - F.col("__newest.at") < ttl_s, F.col("__newest.value"))
-    return both.withColumn("value", fresh).drop("__asked", "__value", "__newest")
+    """Requests (key, at) with the newest cached value saved within ``ttl_s`` before; null for a miss.
+
+    Of saves at one time the greatest value counts; an as-of join in pieces (``scans.as_of``).
+    """
+    saved = cache.select("key", F.col("saved_at").alias("at"), "value")
+    found = scans.as_of(requests, saved, "value", name="__found")
+    return found.withColumn("value", F.when(F.col("at") - F.col("__found.at") < ttl_s, F.col("__found.value"))).drop("__found")
