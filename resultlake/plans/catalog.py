@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls, vectors
 from ..functions.dialect import DUCK, SPARK
-from ..operators import cluster, evidence, filters, grade, links, merge, pages, pubdate, reputation
+from ..operators import cluster, embed, evidence, filters, grade, links, merge, neighbours, pages, pubdate, reputation
 from ..sources import serp, tables
+from ..staging import staged
 from ..streaming import state
 from . import search
 
@@ -340,6 +341,30 @@ def _(spark, folder):
     return grade.rerank(HITS.df(spark, folder)).select("query_id", "idx", "place")
 
 
+# --- vector neighbours -----------------------------------------------------------------------
+
+_UNIT = "SELECT {id} AS id, list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v}))) AS v FROM ({rows})"
+REPRINT_SQL = f"""WITH docs AS (SELECT doc_id AS id, substr(string_split(text, chr(10))[1], 1, 60) AS title, text FROM documents),
+v AS MATERIALIZED ({_UNIT.format(id="id", v="v", rows=embed.projected_sql("docs", "id", "text"))}),
+p AS (SELECT a.id AS qid, b.id AS id, list_inner_product(a.v, b.v) AS sim FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id WHERE list_inner_product(a.v, b.v) >= {cluster.REPRINT} AND list_inner_product(a.v, b.v) < {cluster.DUP})
+SELECT qid, p.id, round(sim, 5) AS sim, coalesce({text.near_title(DUCK, "x.title", "y.title")}, false) AS near_title, coalesce({text.near_description(DUCK, "x.text", "y.text")}, false) AS near_desc FROM p JOIN docs x ON x.id = qid JOIN docs y ON y.id = p.id"""
+
+
+@query("vector_reprints", REPRINT_SQL)
+def _(spark, folder):
+    """Of every 50th document the documents within the band of a reprint, with their text evidence."""
+    docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.expr("substr(split(text, '\\n')[0], 1, 60)").alias("title"), F.col("text").alias("desc"))
+    index = neighbours.Index(embed.projected(docs, "desc"))
+    pairs = staged(index.within(F.col("id") % 50 == 0, cluster.REPRINT, cluster.DUP), "reprint-pairs")
+    return neighbours.reprinted(pairs, docs).withColumn("sim", F.round("sim", 5))
+
+
+@query("vector_neighbours", f"WITH v AS ({_UNIT.format(id='vec_id', v='e', rows='SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings')}) SELECT a.id AS qid, b.id AS id, round(list_inner_product(a.v, b.v), 5) AS sim FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id WHERE list_inner_product(a.v, b.v) >= 0.3")
+def _(spark, folder):
+    rows = tables.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return neighbours.Index(rows).within(F.col("id") % 50 == 0, 0.3).withColumn("sim", F.round("sim", 5))
+
+
 # --- grades ----------------------------------------------------------------------------------
 
 GRADED_SQL = f"WITH t AS (SELECT *, greatest(0, max(sem_score) OVER (PARTITION BY query_id)) AS top, max(CASE WHEN sem_score IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS any_score FROM ({CLUSTERS.sql})), g AS (SELECT *, greatest(0.5::DOUBLE, 0.6 * coalesce(top, 0)) AS edge, greatest(0.25::DOUBLE, 0.4 * coalesce(top, 0)) AS irrelevant FROM t), k AS (SELECT *, CASE WHEN sem_score IS NULL THEN 'unscored' WHEN sem_score >= edge THEN 'relevant' WHEN sem_score >= irrelevant THEN 'edge' ELSE 'irrelevant' END AS grade FROM g)"
