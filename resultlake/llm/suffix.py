@@ -12,11 +12,14 @@ Adjacent common prefixes of ``LENGTH`` or more mark the repeats.
 Anchors with more than ``GROUP`` differing runs are cut into blocks.  Each block's suffix array
 passes on one string of every repeat it found and all strings it found once.  They go in pieces of
 ``PIECE`` neighbouring starts at fixed places from the anchor, by the hash of what all strings of
-a piece share; pieces met once hold no repeat, and the strings of the others meet by their hashes.
+a piece share; pieces met once hold no repeat, and the strings of the others meet by 128 bits of a
+cryptographic hash.  No other hash decides what is equal: anchors and pieces only say where to look.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 LENGTH, GRAM, GROUP, PIECE = 400, 64, 1000, 8
+#: What tells runs apart: their anchor and 128 bits of their bytes.
+KIND = ["anchor", "content", "check"]
 #: Bits of a place in a step (a document has fewer bytes); anchors go by the other bits of their hash, then by place.
 PLACE = 32
 #: Kinds of runs that are joined by broadcast, the most frequent ones.
@@ -61,15 +66,16 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, off: np.ndarray):
-    """(doc, begin, last, place, anchor, content): runs of starts of LENGTH-byte strings.
+    """(doc, begin, last, place, anchor, content, check): runs of starts of LENGTH-byte strings.
 
-    ``place``: of the anchor from ``begin``; ``content``: hash of the run's bytes and ``place``.
+    ``place``: of the anchor from ``begin``; ``content`` and ``check``: 128 bits of a cryptographic
+    hash of the run's bytes and ``place``, as equal ones are taken for equal bytes.
     Places are relative to each document; documents shorter than LENGTH have none.
     """
     text = data[off[0] : off[-1]]
     o = off - off[0]
     if len(text) < LENGTH:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, _U),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, _U),) + (np.zeros(0, np.int64),) * 2
     sums = _sums(text)
     spots = np.arange(len(text) - GRAM + 1)
     gram = _hashes(sums, spots, spots + GRAM)
@@ -84,10 +90,16 @@ def runs(data: np.ndarray, off: np.ndarray):
     ends = np.r_[np.flatnonzero(fresh)[1:], len(owner)]
     last = np.minimum(ends[np.searchsorted(np.flatnonzero(fresh), first)] - 1, o[doc[first] + 1] - LENGTH)
     place = owner[first] - first
-    with np.errstate(over="ignore"):
-        content = shared.mix(_hashes(sums, first, last + LENGTH) + place.astype(_U) * _U(0x9E3779B97F4A7C15) + (last - first).astype(_U))
+    told = _digests(text, first, last + LENGTH, place)
     d = doc[first]
-    return d, first - o[d], last - o[d], place, gram[owner[first]], content
+    return d, first - o[d], last - o[d], place, gram[owner[first]], told[:, 0], told[:, 1]
+
+
+def _digests(text: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """(n, 2) numbers: BLAKE2b of each stretch of bytes."""
+    view = memoryview(np.ascontiguousarray(text))
+    parts = [hashlib.blake2b(view[b:e], digest_size=16, salt=s.to_bytes(8, "little")).digest() for b, e, s in zip(begin.tolist(), end.tolist(), salt.tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
 
 
 # --- the suffix array ------------------------------------------------------------------------
@@ -209,7 +221,7 @@ def _searched(rows: list[tuple]):
     head = np.flatnonzero(hit & (edge | ~np.r_[False, hit[:-1]]))
     tail = np.flatnonzero(hit & (np.r_[edge[1:], True] | ~np.r_[hit[1:], False]))
     ints = lambda x: pa.array(np.asarray(x, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), SPAN, np.int32)), ints(np.zeros(len(head))), ints(key[run[head]]), ints(spot[head] + first[run[head]]), ints(spot[tail] + first[run[tail]] + LENGTH), pa.nulls(len(head), pa.list_(pa.int64())), pa.nulls(len(head), pa.list_(pa.int64()))], _FOUND)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), SPAN, np.int32)), ints(np.zeros(len(head))), ints(key[run[head]]), ints(spot[head] + first[run[head]]), ints(spot[tail] + first[run[tail]] + LENGTH), pa.nulls(len(head), pa.list_(pa.int64())), pa.nulls(len(head), pa.list_(pa.binary()))], _FOUND)
     cut = np.zeros(len(text), bool)
     cut[spot] = (np.array(blocks) > 1)[run]
     if cut.any():
@@ -225,9 +237,9 @@ def _searched(rows: list[tuple]):
             edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (piece[1:] != piece[:-1])])
             begin = anchor[of[edge]] - PIECE * piece[edge]
             shared_part = shared.mix(_hashes(sums, begin, begin + LENGTH - PIECE + 1) + piece[edge].astype(_U))
-            lists = lambda x, edge=edge: pa.ListArray.from_arrays(pa.array(np.r_[edge, len(x)], pa.int32()), pa.array(x, pa.int64()))
+            lists = lambda x, kind=pa.int64(), edge=edge: pa.ListArray.from_arrays(pa.array(np.r_[edge, len(x)], pa.int32()), pa.array(x, kind))
             none = pa.nulls(len(edge), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), kind, np.int32)), pa.array(shared_part.view(np.int64)), ints(key[of[edge]]), none, none, lists(at + first[of]), lists(_hashes(sums, at, at + LENGTH).view(np.int64))], _FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), kind, np.int32)), pa.array(shared_part.view(np.int64)), ints(key[of[edge]]), none, none, lists(at + first[of]), lists([x.tobytes() for x in _digests(text, at, at + LENGTH, np.zeros(len(at), np.int64))], pa.binary())], _FOUND)
 
 
 def _search(batches):
@@ -246,14 +258,14 @@ def _search(batches):
 
 
 def _cut(batches):
-    """Runs of the documents (key, content): (anchor, content, key, begin, last, place)."""
+    """Runs of the documents (key, content): (anchor, content, check, key, begin, last, place)."""
     for b in batches:
         data, off = shared.buffers(b.column(1))
         key = b.column(0).to_numpy()
         for i, j in shared.chunks(off):
-            d, begin, last, place, anchor, content = runs(data, off[i : j + 1])
+            d, begin, last, place, anchor, content, check = runs(data, off[i : j + 1])
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), content.view(np.int64), key[i:j][d], begin, last, place)], ["anchor", "content", "key", "begin", "last", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), content, check, key[i:j][d], begin, last, place)], ["anchor", "content", "check", "key", "begin", "last", "place"])
 
 
 def _fetched(batches):
@@ -289,19 +301,19 @@ def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", group
     """
     group = GROUP if group is None else group
     keyed = _keyed(docs, text_col, id_col)
-    every = shared.stage(keyed.select("key", "text").mapInArrow(_cut, "anchor bigint, content bigint, key bigint, begin bigint, last bigint, place bigint"), "suffix-runs")
-    kinds = every.groupBy("anchor", "content").agg(F.count("*").alias("n"))
+    every = shared.stage(keyed.select("key", "text").mapInArrow(_cut, "anchor bigint, content bigint, check bigint, key bigint, begin bigint, last bigint, place bigint"), "suffix-runs")
+    kinds = every.groupBy(*KIND).agg(F.count("*").alias("n"))
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1").select("anchor", "kinds")
     known = shared.stage(kinds.join(anchors, "anchor"), "suffix-kinds")
     rows = _joined(every, known)
     equal = rows.where("n > 1").select("key", "begin", (F.col("last") + LENGTH).alias("stop"))
-    differing = rows.where("kinds > 1").dropDuplicates(["anchor", "content"])
+    differing = rows.where("kinds > 1").dropDuplicates(KIND)
     blocks = F.ceil(F.col("kinds") / group).cast("int")
     asked = differing.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("key", "begin"), F.col("blocks")))
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "block", "blocks", "begin", "last", "place")).alias("wanted"))
     fetched = keyed.select("key", "text").join(asked, "key").mapInArrow(_fetched, "anchor bigint, block int, blocks int, key bigint, begin bigint, last bigint, place bigint, bytes binary")
     dealt = fetched.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-    found = shared.stage(dealt.mapInArrow(_search, "kind int, hash bigint, key bigint, begin bigint, stop bigint, starts array<bigint>, strings array<bigint>"), "suffix-found")
+    found = shared.stage(dealt.mapInArrow(_search, "kind int, hash bigint, key bigint, begin bigint, stop bigint, starts array<bigint>, strings array<binary>"), "suffix-found")
     pieces = found.where(F.col("kind") != SPAN).select("kind", "hash", "key", "starts", "strings")
     met = pieces.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     live = pieces.join(met, "hash").select("kind", "key", F.explode(F.arrays_zip("starts", "strings")).alias("s")).select("kind", "key", F.col("s.starts").alias("begin"), F.col("s.strings").alias("string"))
@@ -321,8 +333,8 @@ def _joined(every: DataFrame, known: DataFrame) -> DataFrame:
         least = s["step"]
     hot = (F.col("n") > 1) & (step >= least)
     often = F.broadcast(known.where(hot))
-    rest = every.join(often.select("anchor", "content"), ["anchor", "content"], "left_anti")
-    return every.join(often, ["anchor", "content"]).unionByName(rest.join(known.where(~hot), ["anchor", "content"]))
+    rest = every.join(often.select(KIND), KIND, "left_anti")
+    return every.join(often, KIND).unionByName(rest.join(known.where(~hot), KIND))
 
 
 def _removed(batches):

@@ -235,3 +235,28 @@ def test_best_takes_ties_by_id():
     row, at = hardneg.best(scores, np.array([9, 8, 7, 6, 5]), 2)
     assert list(zip(row, at, strict=True)) == [(0, 3), (0, 2), (1, 4), (1, 3)]
     assert hardneg.matrix(pa.array([[1, 2], [3], []], pa.list_(pa.int16())), 2).tolist() == [[1, 2], [3, 0], [0, 0]]
+
+
+# --- suffix dedup ----------------------------------------------------------------------------
+
+
+def test_suffix_dedup_keeps_texts_that_a_polynomial_hash_confuses(spark):
+    """Pairs around one common 64-byte gram whose differences vanish in any polynomial modulo 2^64."""
+    from resultlake.llm import suffix
+
+    signs = np.ones(1, int)
+    for k in range(8):
+        signs = np.r_[signs, -signs]
+    change = np.zeros(736, int)
+    for at, sign in ((0, 1), (64, -1), (384, -1), (448, 1)):
+        change[at : at + 256] += sign * signs
+    assert not change[320:384].any() and abs(change).max() == 2
+    rng = np.random.default_rng(736)
+    texts = []
+    for _ in range(500):
+        base = rng.integers(60, 100, 736)
+        texts += ["".join(map(chr, base)), "".join(map(chr, base + 8 * change))]
+    strings = [{t[i : i + 400] for i in range(337)} for t in texts]
+    assert all(not (a & b) for a, b in zip(strings[::2], strings[1::2], strict=True))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert suffix.dedup(rows).where("n_removed > 0 OR n_spans > 0").count() == 0
