@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls, vectors
 from ..functions.dialect import DUCK, SPARK
-from ..operators import cluster, embed, evidence, filters, grade, links, merge, neighbours, pages, pubdate, reputation
+from ..operators import cluster, embed, evidence, filters, grade, links, merge, neighbours, pages, pubdate, reputation, spans
 from ..sources import serp, tables
 from ..staging import staged
 from ..streaming import state
@@ -341,6 +341,27 @@ def _(spark, folder):
     return grade.rerank(HITS.df(spark, folder)).select("query_id", "idx", "place")
 
 
+# --- spans of titles -------------------------------------------------------------------------
+
+_SEGMENTS = f"list_filter(list_transform(string_split_regex(title, {DUCK.lit(f'[{spans.SEPARATORS}]+')}), lambda s: regexp_replace(s, {DUCK.lit(spans.EDGE)}, '', 'g')), lambda s: s <> '')"
+SPANS_SQL = f"""WITH t0 AS (SELECT source AS "group", substr(string_split(text, chr(10))[1], 1, 60) AS title FROM documents),
+t AS (SELECT "group", title, count(*) AS n FROM t0 WHERE title <> '' GROUP BY ALL),
+subs AS (SELECT DISTINCT "group", title, substr(title, i, k) AS s FROM (SELECT *, unnest(range(1, length(title) - i + 2)) AS k FROM (SELECT *, unnest(range(1, length(title) + 1)) AS i FROM t))),
+common AS (SELECT "group", s FROM subs JOIN t USING ("group", title) GROUP BY ALL HAVING sum(n) > 1),
+runs AS (SELECT "group", title, arg_max(s, (length(s), -instr(title, s))) AS shared FROM subs JOIN common USING ("group", s) GROUP BY ALL),
+segments AS (SELECT "group", title, s, row_number() OVER () AS r, pos FROM (SELECT "group", title, unnest({_SEGMENTS}) AS s, generate_subscripts({_SEGMENTS}, 1) AS pos FROM t)),
+best AS (SELECT "group", title, arg_min(s, (CASE WHEN length(s) >= 2 AND c.s2 IS NULL THEN 0 ELSE 1 END, -length(s), pos)) AS own FROM segments LEFT JOIN (SELECT "group" AS g2, s AS s2 FROM common) c ON c.g2 = "group" AND c.s2 = s GROUP BY ALL)
+SELECT "group", title, n, coalesce(shared, '') AS shared, CASE WHEN (SELECT sum(n) FROM t u WHERE u."group" = t."group") = 1 OR length(title) < 2 OR shared = title OR NOT regexp_matches(title, '[A-Za-z0-9\\x{{4e00}}-\\x{{9fff}}]') THEN '' ELSE substr(coalesce(own, title), 1, 14) END AS own
+FROM t LEFT JOIN runs USING ("group", title) LEFT JOIN best USING ("group", title)"""
+
+
+@query("title_spans", SPANS_SQL)
+def _(spark, folder):
+    """Of every first line the span that another line of its source has, and the segment it has alone."""
+    docs = tables.table(spark, folder, "documents")
+    return spans.spans(docs.select(F.col("source").alias("group"), F.expr("substr(split(text, '\\n')[0], 1, 60)").alias("title")))
+
+
 # --- vector neighbours -----------------------------------------------------------------------
 
 _UNIT = "SELECT {id} AS id, list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v}))) AS v FROM ({rows})"
