@@ -1,8 +1,7 @@
 """Clustering of result lists by shared phrases or by embedding vectors.
 
 Token counts, scores and assignments are relational.  The greedy merging itself is sequential
-within a query's list (150 results at most by its own limit), so it runs as one grouped function
-per query.
+within a query's list, which its maker limits, so it runs as one grouped function per query.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from ..functions.dialect import SPARK, WHITE
 
 MERGE, SIM, DUP, REPRINT = 0.55, 0.42, 0.94, 0.75
 MAX_CLUSTER, MAX_DEPTH, MAX_BUCKET = 12, 3, 6
-#: Results of a query that clustering looks at, by rank, as a query's own limit has it.
-MOST_RESULTS = 150
 TEXT_WEIGHT, RANK_WEIGHT, SEM_WEIGHT, NOISE, SEM_NOISE = 0.7, 0.3, 0.45, 0.3, 0.32
 
 
@@ -57,9 +54,9 @@ def phrase_groups(members: dict[str, set[int]], merge: float = MERGE) -> list[se
 def by_phrase(results: DataFrame, merge: float = MERGE, stop: list[str] | None = None) -> DataFrame:
     """(query_id, cluster_id, idx): overlapping clusters of results that share title tokens.
 
-    The first MOST_RESULTS results of a query count, so a group stays small whatever the table's size.
+    All results of a list count; how many it has is its maker's limit (``merge.merged``).
     """
-    t = tokens(results.where(F.col("idx") < MOST_RESULTS), stop)
+    t = tokens(results, stop)
     often = t.join(document_frequency(t), ["query_id", "token"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -339,19 +336,56 @@ def uncovered(results: DataFrame, members: DataFrame) -> DataFrame:
 # --- labels ----------------------------------------------------------------------------------
 
 
+class Automaton:
+    """Suffix automaton of a text: finds the longest run of another text that it holds, in one pass."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for c in text:
+            new = self._state({}, self.length[last] + 1)
+            at, last = last, new
+            while at >= 0 and c not in self.next[at]:
+                self.next[at][c] = new
+                at = self.link[at]
+            self.link[new] = 0 if at < 0 else self._owner(at, c)
+
+    def _state(self, moves: dict[str, int], length: int, link: int = 0) -> int:
+        self.next.append(moves)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.next) - 1
+
+    def _owner(self, at: int, c: str) -> int:
+        """The state that just the runs of ``at`` lead to by ``c``; parted from longer ones if need be."""
+        to = self.next[at][c]
+        if self.length[to] == self.length[at] + 1:
+            return to
+        apart = self._state(dict(self.next[to]), self.length[at] + 1, self.link[to])
+        self.link[to] = apart
+        while at >= 0 and self.next[at].get(c) == to:
+            self.next[at][c] = apart
+            at = self.link[at]
+        return apart
+
+    def longest(self, text: str) -> str:
+        """The longest run of ``text`` that this text holds, of equals the one that ends first."""
+        state = size = best = end = 0
+        for i, c in enumerate(text, 1):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if c in self.next[state]:
+                state, size = self.next[state][c], size + 1
+            if size > best:
+                best, end = size, i
+        return text[end - best : end]
+
+
 def common_span(a: str, b: str) -> str:
     """Longest common substring, the one that ends first in ``a``."""
-    best, end = 0, 0
-    before = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        row = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                row[j] = before[j - 1] + 1
-                if row[j] > best:
-                    best, end = row[j], i
-        before = row
-    return a[end - best : end]
+    return Automaton(b).longest(a)
 
 
 _EDGES = " _-|｜·•,，、;；:：()（）[]【】<>《》\"'“”…"
@@ -375,9 +409,10 @@ def label(titles: list[str], top: str = "", most: int = 18) -> str:
         return titles[0].strip()[:most]
     titles = [t[:200] for t in titles]
     points: dict[str, float] = {}
+    automata = [Automaton(t) for t in titles]
     for i, a in enumerate(titles):
-        for b in titles[i + 1 :]:
-            for part in re.split(r"[,，;；:：。.!！?？…]+", common_span(a, b).strip(_EDGES)):
+        for b in automata[i + 1 :]:
+            for part in re.split(r"[,，;；:：。.!！?？…]+", b.longest(a).strip(_EDGES)):
                 part = part.strip(_EDGES)
                 if len(part) >= 2 and re.search(r"[A-Za-z一-鿿]", part) and part not in points:
                     held = sum(_holds(t, part) for t in titles)

@@ -166,7 +166,7 @@ def _(spark, folder):
 
 _P = DUCK.ext("html", r"(?is)<p[^>]*>(.*?)</p>", 1)
 LISTS_SQL = f"""
-WITH base AS (SELECT page_id, page_id % 10 AS query_id, page_id % 4 AS src_order, url, {pages.title(DUCK, "html")} AS title, substr({text.strip_tags(DUCK, _P)}, 1, 160) AS text FROM pages),
+WITH base AS (SELECT page_id, page_id // 1000 * 10 + page_id % 10 AS query_id, page_id % 4 AS src_order, url, {pages.title(DUCK, "html")} AS title, substr({text.strip_tags(DUCK, _P)}, 1, 160) AS text FROM pages),
 again AS (SELECT page_id, query_id, 9 AS src_order, regexp_replace(url, '^https?://', 'https://www.') || CASE WHEN url LIKE '%?%' THEN '&' WHEN url LIKE '%#%' THEN '' ELSE '?' END || CASE WHEN url LIKE '%#%' THEN '' ELSE 'utm_source=x' END AS url, title, text FROM base WHERE page_id % 3 = 0),
 lists AS (SELECT *, 'e' || src_order AS src, row_number() OVER (PARTITION BY query_id, src_order ORDER BY page_id) AS pos FROM (SELECT * FROM base UNION ALL SELECT * FROM again)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, src ORDER BY pos) AS source_rank, count(*) OVER (PARTITION BY query_id, src) AS source_count, {urls.dedup_key(DUCK, "url")} AS url_key FROM lists),

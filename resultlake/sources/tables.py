@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.dialect import SPARK
 
-#: Queries and sources that stored pages are dealt to, where they don't name their own.
-QUERIES, SOURCES = 10, 4
+#: Sources that stored pages are dealt to, queries that each PAGES of them are dealt to, where they don't name their own.
+QUERIES, SOURCES, PAGES = 10, 4, 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,18 +19,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def result_lists(pages: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, query, src, src_order, pos, page_id, title, url, desc, date, is_ad) from stored pages.
 
-    Every third page also appears in a second source under a variant of its URL.
+    Every third page also appears in a second source under a variant of its URL.  Queries grow in
+    number with the pages, not their lists; ``queries`` (query_id below QUERIES, query) repeat.
     """
+    number = (F.floor(F.col("page_id") / PAGES) * QUERIES + F.col("page_id") % QUERIES).cast("bigint")
     title = F.expr(text.clean(SPARK, "regexp_extract(html, r'(?is)<title[^>]*>(.*?)</title>', 1)"))
     desc = F.expr(f"substr({text.strip_tags(SPARK, 'regexp_extract(html, r' + chr(34) + '(?is)<p[^>]*>(.*?)</p>' + chr(34) + ', 1)')}, 1, 160)")
-    base = pages.select("page_id", (F.col("page_id") % QUERIES).alias("query_id"), (F.col("page_id") % SOURCES).alias("src_order"), "url", title.alias("title"), desc.alias("desc"))
+    base = pages.select("page_id", number.alias("query_id"), (F.col("page_id") % SOURCES).alias("src_order"), "url", title.alias("title"), desc.alias("desc"))
     again = base.where("page_id % 3 = 0").withColumn("url", F.expr("concat(regexp_replace(url, '^https?://', 'https://www.'), CASE WHEN url LIKE '%?%' THEN '&' WHEN url LIKE '%#%' THEN '' ELSE '?' END, CASE WHEN url LIKE '%#%' THEN '' ELSE 'utm_source=x' END)")).withColumn("src_order", F.lit(9).cast("bigint"))
     both = base.unionByName(again).withColumn("src", F.concat(F.lit("e"), "src_order"))
     both = both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "src").orderBy("page_id")))
     both = both.withColumn("date", F.lit(None).cast("string")).withColumn("is_ad", F.lit(False))
     if queries is None:
         return both.withColumn("query", F.lit(""))
-    return both.join(F.broadcast(queries), "query_id", "left").withColumn("query", F.coalesce("query", F.lit("")))
+    texts = queries.select(F.col("query_id").alias("__of"), "query")
+    return both.withColumn("__of", F.col("query_id") % QUERIES).join(F.broadcast(texts), "__of", "left").drop("__of").withColumn("query", F.coalesce("query", F.lit("")))
 
 
 def user_queries(conversations: DataFrame) -> DataFrame:

@@ -90,15 +90,15 @@ class _Cooling:
     def __call__(self, key, frames, state):
         fails, until = state.get if state.exists else (0, 0.0)
         trips = []
-        for pdf in frames:
-            for r in pdf.sort_values(["at", "id"]).itertuples(index=False):
-                if r.ok:
-                    fails, until = 0, 0.0
-                    continue
-                fails += 1
-                if fails >= self.threshold:
-                    fails, until = 0, r.at + self.hold_s
-                    trips.append((key[0], r.at, until))
+        # a key's rows of a trigger come in several frames, which aren't in order among each other
+        for r in pd.concat(list(frames)).sort_values(["at", "id"]).itertuples(index=False):
+            if r.ok:
+                fails, until = 0, 0.0
+                continue
+            fails += 1
+            if fails >= self.threshold:
+                fails, until = 0, r.at + self.hold_s
+                trips.append((key[0], r.at, until))
         state.update((fails, until))
         yield pd.DataFrame(trips, columns=["key", "at", "cooled_until"])
 
