@@ -95,6 +95,56 @@ def learned(observations: DataFrame) -> DataFrame:
     )
 
 
+STANDING = ["search_score", "search_samples", "content_score", "content_samples", "availability_score", "availability_samples", "utility_samples"]
+
+
+def daily(observations: DataFrame) -> DataFrame:
+    """(key, day, STANDING...): how a key stood at the end of each UTC day on which it was observed.
+
+    ``observations`` as in ``learned``, ``at`` in microseconds.  A day's observations are folded in
+    pieces into one map, a key's days are run through in order: these are as many as the calendar has.
+    """
+    moves = F.when(F.col("kind") == "fetch", F.when(F.col("value") > 0, 0.95).otherwise(0.1)).otherwise(F.col("value"))
+    day = F.to_date(F.timestamp_micros("at"))
+    once = observations.dropDuplicates(["key", "kind", "id"]).select("key", "kind", "at", "id", moves.cast("double").alias("value"), day.alias("day"))
+    dealt = scans.pieces(once, ["key", "kind"], ["at", "id"])
+    of_piece = dealt.groupBy("key", "kind", "day", "piece").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "select", F.struct("at", "id", "value")))), lambda e: e["value"]).alias("values"))
+    earlier = Window.partitionBy("key", "kind").orderBy("day", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = of_piece.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    still = scans.line(F.lit(1.0), F.lit(0.0))
+    steps = F.transform("values", lambda v, i: F.when(v.isNull(), still).when(F.col("kind") == "search", search_step(v, F.col("before") + i + 1)).otherwise(halving_step(v)))
+    folded = placed.select("key", "kind", "day", "piece", F.aggregate(steps, still, scans.line_then).alias("map"))
+    maps = scans.composed(folded, ["key", "kind", "day"], scans.line_then)
+    counts = of_piece.groupBy("key", "kind", "day").agg(F.sum("n").alias("n"))
+    whole = F.coalesce("key", F.lit("\x00"))
+    both = maps.withColumn("key", whole).join(counts.withColumn("key", whole), ["key", "kind", "day"])
+    days = both.groupBy("key", "kind").agg(F.array_sort(F.collect_list(F.struct("day", "n", "map"))).alias("days"))
+    seen = F.struct(F.lit(0.5).alias("s"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<day:date,s:double,n:bigint>>").alias("out"))
+
+    def ran(acc, d):
+        s, n = scans.line_at(d["map"], acc["s"]), acc["n"] + d["n"]
+        return F.struct(s.alias("s"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(d["day"].alias("day"), s.alias("s"), n.alias("n")))).alias("out"))
+
+    stood = days.select("key", "kind", F.explode(F.aggregate("days", seen, ran, lambda acc: acc["out"])).alias("d"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(f"d.{c}")))
+    wide = stood.groupBy("key", F.col("d.day").alias("day")).agg(*(of(kind, c).alias(f"{name}_{told}") for kind, name in (("search", "search"), ("content", "content"), ("fetch", "availability"), ("select", "utility")) for c, told in (("s", "score"), ("n", "samples")) if (name, c) != ("utility", "s")))
+    upto = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    kept = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.lit(0.5 if c.endswith("score") else 0))
+    return wide.select(F.nullif("key", F.lit("\x00")).alias("key"), "day", *(kept(c).cast("double" if c.endswith("score") else "int").alias(c) for c in STANDING))
+
+
+def standing_as_of(asked: DataFrame, observations: DataFrame, key: str = "key", at: str = "at") -> DataFrame:
+    """``asked`` with STANDING and last_seen: the reputation of its key before the day of its time.
+
+    What is observed on a day counts from the next one on, so a result never sees its own outcome.
+    Without an earlier observation scores are null, samples 0.
+    """
+    known = daily(observations).select(F.col("key").alias(key), (F.unix_micros(F.date_add("day", 1).cast("timestamp"))).alias(at), F.struct("day", *STANDING).alias("value"))
+    found = scans.as_of(asked, known, "value", key, at, "__stood")
+    of = lambda c: F.coalesce(F.col(f"__stood.value.{c}"), F.lit(0)) if c.endswith("samples") else F.col(f"__stood.value.{c}")
+    return found.withColumns({c: of(c) for c in STANDING} | {"last_seen": F.col("__stood.value.day")}).drop("__stood")
+
+
 def lookup(results: DataFrame, entries: DataFrame, as_of: str) -> DataFrame:
     """With rep_score, rep_samples, rep_factor, rep_badge and rep_scope by URL.
 

@@ -468,6 +468,30 @@ def _(spark, folder):
     return e.select("key", F.round("search_score", 6).alias("search_score"))
 
 
+AS_OF_SQL = OBSERVED_SQL + """,
+halves AS (SELECT o.key, o.kind, o.t::DATE AS day, row_number() OVER w AS i, CASE WHEN kind = 'fetch' THEN CASE WHEN value > 0 THEN 0.95 ELSE 0.1 END ELSE value END AS v FROM o WHERE kind IN ('content', 'fetch') WINDOW w AS (PARTITION BY key, kind ORDER BY t, id)),
+grown AS (SELECT key, kind, day, i, pow(0.5, i) * (0.5 + sum(v * pow(2.0, i - 1)) OVER (PARTITION BY key, kind ORDER BY i)) AS s FROM halves),
+days AS (SELECT key, kind, day + 1 AS day, max(i) AS n, arg_max(s, i) AS s FROM grown GROUP BY ALL),
+asked AS (SELECT event_id, CAST(user_id AS VARCHAR) AS key, ts::DATE AS day FROM events WHERE event_type = 'click')
+SELECT event_id, round(CASE WHEN any_day THEN coalesce(cs, 0.5) END + 1e-9, 6) AS content_score, coalesce(cn, 0) AS content_samples, round(CASE WHEN any_day THEN coalesce(fs, 0.5) END + 1e-9, 6) AS availability_score, coalesce(fn, 0) AS availability_samples
+FROM (SELECT a.*, c.s AS cs, c.n AS cn FROM asked a ASOF LEFT JOIN (SELECT * FROM days WHERE kind = 'content') c ON a.key = c.key AND a.day >= c.day) ac
+JOIN (SELECT a.event_id AS e2, f.s AS fs, f.n AS fn FROM asked a ASOF LEFT JOIN (SELECT * FROM days WHERE kind = 'fetch') f ON a.key = f.key AND a.day >= f.day) ON e2 = event_id
+JOIN (SELECT event_id AS e3, EXISTS (SELECT 1 FROM o WHERE o.key = asked.key AND o.t::DATE < asked.day) AS any_day FROM asked) ON e3 = event_id"""
+
+
+@query("rep_as_of", AS_OF_SQL)
+def _(spark, folder):
+    """The standing of every selected site before the day of its selection.
+
+    Halving makes decimals that end in 5 one place beyond those shown; 1e-9 keeps them off the edge.
+    """
+    e = tables.table(spark, folder, "events")
+    seen = tables.observations(e)
+    asked = seen.where("kind = 'select'").select("key", "at", F.col("id").alias("event_id"))
+    out = reputation.standing_as_of(asked, seen)
+    return out.select("event_id", F.round(F.col("content_score") + 1e-9, 6).alias("content_score"), F.col("content_samples").cast("bigint").alias("content_samples"), F.round(F.col("availability_score") + 1e-9, 6).alias("availability_score"), F.col("availability_samples").cast("bigint").alias("availability_samples"))
+
+
 FACTORS = Fixture("id bigint, score double, samples bigint, age double, avail double, avail_n bigint, uses bigint", [(1, 0.0, 10, 0.0, 0.5, 0, 0), (2, 0.5, 10, 29.0, 0.95, 5, 2), (3, 1.0, 10, 120.0, 0.1, 5, 5), (4, 0.8, 10, 60.0, 0.9, 2, 9), (5, 0.82, 5, 10.0, 0.5, 3, 3), (6, 0.31, 5, 45.0, 0.2, 4, 4), (7, 0.9, 2, 10.0, 0.5, 0, 0)])
 
 

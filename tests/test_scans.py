@@ -93,3 +93,18 @@ def test_as_of_finds_the_newest_fact(spark, sizes):
     assert {r.id: tuple(r.found) if r.found else None for r in found.collect()} == {i: newest(k, at) for k, at, i, _ in asked}
     none = spark.createDataFrame([], "key string, at bigint, value int")
     assert scans.as_of(none, none, "value").collect() == []
+
+
+def test_standing_as_of_a_day(spark, sizes):
+    """What a result sees is what a walk over the days before it gives."""
+    rng = random.Random(7)
+    day = 86_400_000_000
+    rows = [(key, id_, rng.randrange(5 * day), kind, value) for key, id_, _, kind, value in observations(400)]
+    asked = [(rng.choice(["hot", "a", "b", "never"]), rng.randrange(7 * day), i) for i in range(120)]
+    got = reputation.standing_as_of(spark.createDataFrame(asked, "key string, at bigint, nth int"), spark.createDataFrame(rows, SCHEMA))
+    for r in got.collect():
+        before = [o for o in rows if o[0] == r["key"] and o[2] // day < r["at"] // day]
+        want = walked(before).get(r["key"], (None, 0, None, 0, None, 0, 0))
+        assert tuple(round(r[m], 9) if r[m] is not None and "score" in m else r[m] for m in MEASURES) == want
+    last = {r["key"]: r for r in reputation.daily(spark.createDataFrame(rows, SCHEMA)).groupBy("key").agg(F.max_by(F.struct(*MEASURES), "day").alias("m")).collect()}
+    assert {k: tuple(round(r.m[m], 9) if "score" in m else r.m[m] for m in MEASURES) for k, r in last.items()} == walked(rows)
