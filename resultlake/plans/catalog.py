@@ -13,7 +13,7 @@ from ..operators import cluster, embed, evidence, filters, grade, links, merge,
 from ..sources import serp, tables
 from ..staging import staged
 from ..streaming import state
-from . import search
+from . import rendered, search
 
 AS_OF = "2026-08-10"
 EVENTS_AS_OF = "2024-02-01"
@@ -97,6 +97,11 @@ ENGINES = Fixture("engine string, ord bigint, zh_only boolean, en_only boolean,
 ANSWERS = Fixture("query_id bigint, engine string, ord bigint, cjk boolean, zh_only boolean, ok boolean, blocked boolean, polluted boolean, n bigint", [(1, "bing", 0, False, False, False, True, False, 0), (1, "baidu", 1, False, True, True, False, False, 4), (1, "so360", 2, False, True, True, False, False, 0), (2, "bing", 0, False, False, True, False, True, 3), (2, "baidu", 1, False, True, True, False, False, 5), (3, "bing", 0, True, False, False, True, False, 0), (3, "baidu", 1, True, True, True, False, False, 9)])
 TIERS = Fixture("id bigint, specific bigint, generic bigint, stream bigint, entries bigint, most bigint", [(1, 10, 0, 0, 10, 10), (2, 3, 9, 0, None, 10), (3, 5, 4, 0, 20, 20), (4, 1, 0, 0, 10, 10), (5, 0, 0, 7, None, 10), (6, 0, 0, 0, None, 10), (7, 2, 2, 0, 4, 10)])
 
+# queries and their SQL run on the literal cases and on rows rendered from the tables
+_all = rendered.all_of({n: globals()[n] for n in ("TITLES", "DATED", "LINKS", "RESULTS", "ASKED", "MARKUP", "FETCHED", "PROMO", "COSINES", "PAIRS", "CLUSTERS", "HITS", "TIERS")})
+TITLES, DATED, LINKS, RESULTS, ASKED, MARKUP, FETCHED = (_all[n] for n in ("TITLES", "DATED", "LINKS", "RESULTS", "ASKED", "MARKUP", "FETCHED"))
+PROMO, COSINES, PAIRS, CLUSTERS, HITS, TIERS = (_all[n] for n in ("PROMO", "COSINES", "PAIRS", "CLUSTERS", "HITS", "TIERS"))
+
 joined = lambda f, *a: lambda d: d.join(f(d, *a), "|")
 scalars("text_strip", PAGES, ["page_id"], stripped=lambda d: text.strip_tags(d, "html"))
 scalars("text_clean", MARKUP, ["id"], cleaned=lambda d: text.clean(d, "html"), decoded=lambda d: text.decode_entities(d, "html"))
