@@ -552,16 +552,20 @@ DATED_PAGES = Fixture("page_id bigint, url string, html string, title string, bo
 ])
 
 
-@query("date_candidates")
-def _(spark, folder):
-    return pubdate.candidates(DATED_PAGES.df(spark, folder).unionByName(_page_rows(spark, folder)))
+_DAY, _SOURCE = rendered.stated(DUCK)
 
 
 def _page_rows(spark, folder):
-    p = tables.table(spark, folder, "pages").withColumn("page_id", F.col("page_id") + 1000)
+    """Stored pages that state a day (``rendered.dated_pages``), with what dating needs of them."""
+    p = tables.table(spark, folder, "pages").selectExpr(*(f"{e} AS {n}" for n, e in rendered.dated_pages(SPARK).items()))
     return p.select("page_id", "url", "html", F.expr(pages.title(SPARK, "html")).alias("title"), F.expr(f"CAST(length({pages.body(SPARK, 'html')}) AS BIGINT)").alias("body_len"))
 
 
+@query("date_candidates", f"SELECT page_id, {_DAY} AS date, {_SOURCE} AS source, {_SOURCE} = 'body-ctx' AS strong FROM pages WHERE {_SOURCE} <> 'none' UNION ALL SELECT page_id, {_DAY}, 'meta-generic', false FROM pages WHERE page_id % 8 = 6")
+def _(spark, folder):
+    return pubdate.candidates(_page_rows(spark, folder)).select("page_id", "date", "source", "strong")
+
+
 PICKED = Fixture("page_id bigint, date string, source string", [(1, "2026-08-01", "meta-article"), (2, "2026-08-07", "url"), (3, "", "none"), (4, "2026-08-06", "body-ctx"), (5, "", "none"), (6, "2026-08-07", "list-time"), (7, "2026-08-03", "jsonld")])
 
 
@@ -571,15 +575,16 @@ def _(spark, folder):
     return pubdate.pick(pubdate.candidates(p), pubdate.features(p)).select("page_id", "date", "source")
 
 
-@query("pick_date_pages")
+@query("pick_date_pages", f"SELECT page_id, {_DAY} AS date, {_SOURCE} AS source FROM pages")
 def _(spark, folder):
     p = _page_rows(spark, folder)
-    return pubdate.pick(pubdate.candidates(p), pubdate.features(p))
+    return pubdate.pick(pubdate.candidates(p), pubdate.features(p)).select("page_id", "date", "source")
 
 
-@query("date_consensus", Fixture("page_id bigint, date string, votes bigint", [(7, "2026-08-03", 2)]).sql)
+@query("date_consensus", Fixture("page_id bigint, date string, votes bigint", [(-7, "2026-08-03", 2)]).sql + f" UNION ALL SELECT page_id, {_DAY}, 2 FROM pages WHERE page_id % 8 = 6")
 def _(spark, folder):
-    return pubdate.consensus(pubdate.candidates(DATED_PAGES.df(spark, folder)))
+    literal = DATED_PAGES.df(spark, folder).withColumn("page_id", -F.col("page_id"))
+    return pubdate.consensus(pubdate.candidates(literal.unionByName(_page_rows(spark, folder))))
 
 
 @query("parse_tier", f"SELECT id, CASE WHEN specific > 0 AND specific / greatest(1, least(most, coalesce(entries, most))) >= 0.5 THEN 'specific' WHEN specific >= 5 AND specific >= generic THEN 'specific' WHEN generic > specific THEN 'generic' WHEN specific > 0 THEN 'specific' WHEN stream > 0 THEN 'urlstream' ELSE 'none' END AS parsed_by FROM ({TIERS.sql})")
@@ -697,16 +702,19 @@ def _(spark, folder):
     return search.search(_lists(spark, folder, True), AS_OF)
 
 
-STORED = f"SELECT url, arg_min({text.first_paragraph(DUCK, text.strip_tags(DUCK, 'html'))}, page_id) AS first FROM pages GROUP BY url"
+STORED = f"SELECT url, arg_min({text.first_paragraph(DUCK, text.strip_tags(DUCK, 'html'))}, page_id) AS first, {rendered.stated(DUCK, 'min(page_id)')[0]} AS published FROM pages GROUP BY url"
 
 
-@query("timeline", LISTS_SQL + f"SELECT query_id, page_id, substr({dates.url_date(DUCK, 'url')}, 1, 7) AS month, title, coalesce(nullif(first, ''), substr(text, 1, 150)) AS summary FROM merged LEFT JOIN ({STORED}) USING (url)")
+@query("timeline", LISTS_SQL + f"SELECT query_id, page_id, substr(coalesce(nullif(published, ''), {dates.url_date(DUCK, 'url')}), 1, 7) AS month, title, coalesce(nullif(first, ''), substr(text, 1, 150)) AS summary, row_number() OVER (PARTITION BY query_id ORDER BY nullif(coalesce(nullif(published, ''), {dates.url_date(DUCK, 'url')}), '') NULLS LAST, idx) AS place FROM merged LEFT JOIN ({STORED}) USING (url)")
 def _(spark, folder):
+    """Results by the day that their stored page states, as dating finds it."""
     rows = merge.merged(_lists(spark, folder))
-    stored = tables.table(spark, folder, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
-    extracts = stored.select("url", F.expr(text.strip_tags(SPARK, "html")).alias("markdown"), F.lit("").alias("published"))
+    own = _page_rows(spark, folder)
+    picked = pubdate.pick(pubdate.candidates(own), pubdate.features(own)).select("page_id", F.col("date").alias("published"))
+    stored = tables.table(spark, folder, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    extracts = stored.join(picked, "page_id").select("url", F.expr(text.strip_tags(SPARK, "html")).alias("markdown"), "published")
     out = search.timeline(rows, extracts, AS_OF)
-    return out.join(rows.select("query_id", "url", "page_id"), ["query_id", "url"]).select("query_id", "page_id", F.coalesce("month", F.lit("")).alias("month"), "title", "summary")
+    return out.join(rows.select("query_id", "url", "page_id"), ["query_id", "url"]).select("query_id", "page_id", F.coalesce("month", F.lit("")).alias("month"), "title", "summary", "place")
 
 
 # --- judgements, retention, news, display ----------------------------------------------------

@@ -88,3 +88,31 @@ def all_of(named: dict) -> dict:
         "TIERS": ("events", "true", {"id": "event_id + 1000", "specific": "event_id % 11", "generic": "CAST(floor(value) AS BIGINT) % 9", "stream": "user_id % 4", "entries": "CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 21 END", "most": "10"}),
     }
     return {name: Rendered(named[name], table, where, **columns) for name, (table, where, columns) in spec.items()}
+
+
+def day(d: Dialect, by: str = "page_id") -> str:
+    """A day of the first months of 2026, as text."""
+    return f"date_format(date_add(DATE'2026-01-01', CAST({by} % 200 AS INT)), 'yyyy-MM-dd')" if d.spark else f"strftime(DATE '2026-01-01' + CAST({by} % 200 AS INTEGER), '%Y-%m-%d')"
+
+
+#: What states the day of a rendered page, in turn by its number; the last states none.
+STATED_BY = ("meta-article", "jsonld", "list-time", "url", "body-ctx", "js-var", "url", "none")
+
+
+def dated_pages(d: Dialect) -> dict[str, str]:
+    """Columns (page_id, url, html) of stored pages that state their day, each in one way or two that agree."""
+    when = day(d)
+    plain = "'<article><p>' || regexp_extract(html, '<p>([^<]*)</p>', 1) || '</p></article>'"
+    path = f"'https://news.site.example/' || substr({when}, 1, 4) || '/' || substr({when}, 6, 2) || substr({when}, 9, 2) || '/c' || page_id || '.html'"
+    other = "'https://site.example/c' || (page_id % 97) || 'x'"
+    html = forms(
+        "page_id", f"'<meta property=\"article:published_time\" content=\"' || {when} || 'T08:00:00Z\">' || {plain}", f"'<script type=\"application/ld+json\">{{\"datePublished\":\"' || {when} || '\"}}</script>' || html", f"'<time datetime=\"' || {when} || '\">x</time>' || html", "html",
+        f"'<p>发布时间：' || {when} || '</p>' || html", f"'<script>var publishTime=\"' || {when} || '\"</script>' || html", f"'<meta name=\"date\" content=\"' || {when} || '\">' || {plain}", "html",
+    )
+    return {"page_id": "page_id", "url": forms("page_id", other, other, other, path, other, other, path, other), "html": html}
+
+
+def stated(d: Dialect, by: str = "page_id") -> tuple[str, str]:
+    """(date, source) that picking must find on ``dated_pages``."""
+    days = [f"'{''}'" if s == "none" else day(d, by) for s in STATED_BY]
+    return forms(by, *days), forms(by, *(f"'{s}'" for s in STATED_BY))
