@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import loose
 from .dom import Node, clean, parse as tree
 
 RESULT = "title string, url string, desc string, date string, account string"
@@ -128,6 +129,13 @@ def parse(pages: DataFrame, limit: int = 150) -> DataFrame:
     return _exploded(pages, lambda h, e: results(h, e, limit), RESULT)
 
 
+def _continued(base: str, href: str) -> str:
+    try:
+        return urljoin(base, href) if base else href
+    except ValueError:
+        return href
+
+
 def page_anchors(html: str | None, base: str = "") -> list[tuple]:
     rows = []
     for a in tree(html).all("a[href]"):
@@ -136,12 +144,19 @@ def page_anchors(html: str | None, base: str = "") -> list[tuple]:
         title = clean(a.text())
         around = a.up(2)
         time = around.one("time[datetime]")
-        rows.append((a.attr("href"), title, clean(a.up(1).text().replace(a.text(), ""))[:300], ">".join(a.up(k).tag.upper() for k in range(3)), nav, serp_day(time.attr("datetime") if time else around.text()[:60])))
+        rows.append((_continued(base, a.attr("href")), title, clean(a.up(1).text().replace(a.text(), ""))[:300], ">".join(a.up(k).tag.upper() for k in range(3)), nav, serp_day(time.attr("datetime") if time else around.text()[:60])))
     return rows
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, engine, pos, href, title, desc, sig, nav, near_date) of all links of stored pages."""
+    """(page_id, engine, pos, href, title, desc, sig, nav, near_date) of all links of stored pages.
+
+    With a column ``url`` relative links continue it.
+    """
+    if "url" in pages.columns:
+        pages = pages.drop("engine").withColumn("engine", F.coalesce("url", F.lit("")))
+        found = _exploded(pages, lambda h, e: page_anchors(h, e), "href string, title string, desc string, sig string, nav boolean, near_date string")
+        return found.withColumn("engine", F.lit(""))
     return _exploded(pages, lambda h, e: page_anchors(h), "href string, title string, desc string, sig string, nav boolean, near_date string")
 
 
@@ -222,17 +237,10 @@ def parse_json(stored: DataFrame, limit: int = 150) -> DataFrame:
 
 
 def json_blocks(html: str | None) -> list:
-    """JSON values of script elements and of state assignments, by matching braces."""
+    """Values of script elements: JSON ones, and what others assign or pass as literals (``loose``)."""
     found = []
     for script in tree(html).all("script"):
-        body = script.text(silent=False).strip()
-        m = re.match(r"(?:window\.)?(?:__INITIAL_STATE__|__NEXT_DATA__|__NUXT__|_SSR_DATA)\s*=\s*", body)
-        body = body[m.end() :] if m else body
-        if body[:1] in "{[":
-            try:
-                found.append(json.JSONDecoder().raw_decode(body)[0])
-            except ValueError:
-                continue
+        found += loose.literals(script.text(silent=False).strip())
     return found
 
 
