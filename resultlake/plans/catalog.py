@@ -786,4 +786,4 @@ def _(spark, folder):
     return article.articles(tables.table(spark, folder, "pages"))
 
 
-from . import cases, roundtrip  # noqa: E402, F401
+from . import cases, measured, roundtrip  # noqa: E402, F401
