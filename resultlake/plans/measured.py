@@ -8,6 +8,7 @@ from ..functions import text, urls
 from ..functions.dialect import DUCK, SPARK
 from ..operators import embed, evidence, grade, merge, pages, reputation
 from ..sources import tables
+from ..streaming import replay
 from .catalog import LISTS_SQL, OBSERVED_SQL, ORACLE, QUERIES, Table, _lists, query
 from .rendered import A, B, TITLE, dated_pages, forms
 
@@ -129,3 +130,29 @@ def _(spark, folder):
 
     rows = filters.annotate(merge.merged(_lists(spark, folder)))
     return grade.low_members(rows.withColumn("cluster_id", F.col("idx") % 7))
+
+
+# --- replay ----------------------------------------------------------------------------------
+
+_WAIT = 6 * 3600
+OUTCOMES_SQL = f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, epoch_us(ts) AS t, least(1, value / 100) AS weight, CASE event_type WHEN 'purchase' THEN 0.9::DOUBLE WHEN 'error' THEN 0.1::DOUBLE END AS label FROM events WHERE event_type IN ('view', 'purchase', 'error')),
+seen AS (SELECT * FROM e WHERE label IS NULL), told AS (SELECT * FROM e WHERE label IS NOT NULL),
+o AS (SELECT v.key, v.id, v.t, v.weight, l.id AS label_id, l.t AS label_at, l.label FROM seen v ASOF JOIN told l ON v.key = l.key AND v.t <= l.t WHERE l.t - v.t <= {_WAIT}000000)"""
+
+
+def evidence_events(spark, folder):
+    """(key, ts, id, weight, label): views are evidence, purchases and errors are outcomes."""
+    e = tables.table(spark, folder, "events").where("event_type IN ('view', 'purchase', 'error')")
+    label = F.when(F.col("event_type") == "purchase", 0.9).when(F.col("event_type") == "error", 0.1)
+    return e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.least(F.lit(1.0), F.col("value") / 100).alias("weight"), label.alias("label"))
+
+
+@query("replay_outcomes", OUTCOMES_SQL + " SELECT key, id, t AS \"at\", round(weight, 6) AS weight, label_id, label_at, label FROM o")
+def _(spark, folder):
+    return replay.outcomes(evidence_events(spark, folder), _WAIT).withColumn("weight", F.round("weight", 6))
+
+
+@query("replay_snapshots", OUTCOMES_SQL + ", d AS (SELECT key, make_timestamp(label_at)::DATE AS day, label, weight FROM o) SELECT key, CAST(day AS VARCHAR) AS day, round(good + 1e-9, 5) AS good, round(bad + 1e-9, 5) AS bad FROM (SELECT a.key, a.day, sum(CASE WHEN b.label > 0.6 THEN b.weight * pow(0.5, (a.day - b.day) / 90) ELSE 0 END) AS good, sum(CASE WHEN b.label < 0.4 THEN b.weight * pow(0.5, (a.day - b.day) / 90) ELSE 0 END) AS bad FROM (SELECT DISTINCT key, day FROM d) a JOIN d b ON a.key = b.key AND b.day <= a.day GROUP BY a.key, a.day)")
+def _(spark, folder):
+    found = replay.snapshots(replay.outcomes(evidence_events(spark, folder), _WAIT))
+    return found.select("key", F.col("day").cast("string").alias("day"), F.round(F.col("good") + 1e-9, 5).alias("good"), F.round(F.col("bad") + 1e-9, 5).alias("bad"))
