@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK, Dialect
-from ..sources import serp, tables
+from ..sources import serp, stored, tables
+from ..staging import folder_of
 from .catalog import query
 from .rendered import day, forms
 
@@ -131,3 +132,36 @@ def _(spark, folder):
     block = "'<li><a href=\"' || CASE WHEN doc_id % 2 = 0 THEN url ELSE 'b/' || doc_id END || '\">' || title || '</a></li>'"
     pages = _pages(_rows(spark, folder), {"list": block}).withColumn("url", F.concat(F.lit("https://host"), "page_id", F.lit(".example/dir/index.html")))
     return serp.anchors(pages).select("page_id", "pos", "title", "href")
+
+
+# --- stored pages ----------------------------------------------------------------------------
+
+_DAY = "date_add(DATE'2026-01-01', CAST(page_id % 40 AS INT))"
+
+
+def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The result pages of ``documents``, with address and day."""
+    made = _pages(_rows(spark, folder), RESULTS)
+    return made.selectExpr("page_id", "concat('https://', engine, '.example/', page_id) AS url", "html", "engine", f"{_DAY} AS day")
+
+
+@query("stored_results", f"{ROWS_SQL} SELECT page AS page_id, engine, title FROM (SELECT *, {forms('page', *(f"'{e}'" for e in _E))} AS engine FROM r) WHERE engine IN ('bing', 'searx', 'marginalia') AND page % 40 BETWEEN 5 AND 25")
+def _(spark, folder):
+    """Pages are stored twice, the second time as a replay, and read by engine and time window."""
+    at = folder_of(spark, "stored")
+    pages = stored_pages(spark, folder)
+    stored.replace(pages, at, "engine", "day")
+    stored.replace(pages.where("page_id % 2 = 0"), at, "engine", "day")
+    stored.replace(pages, at, "engine", "day")
+    found = stored.pages(spark, at, ["bing", "searx", "marginalia"], "2026-01-06", "2026-01-26")
+    return serp.parse(found).select("page_id", "engine", "title")
+
+
+@query("sink_batches", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
+def _(spark, folder):
+    """Documents are added in three batches, one of them twice, and counted by source."""
+    at = folder_of(spark, "batches")
+    docs = tables.table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    for k in (0, 1, 2, 1):
+        stored.append_once(docs.where(F.col("doc_id") % 3 == k), at, f"b{k}")
+    return spark.read.parquet(at).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it: what has several readers runs once.
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``.
 
     Only where the session names no folder (tests on one machine) a local default is set.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir("/tmp/checkpoints")
         folder = str(context._jsc.sc().getCheckpointDir().get())
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it: what has several readers runs once."""
+    path = folder_of(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
