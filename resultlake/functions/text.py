@@ -217,3 +217,22 @@ def own_segment(d: Dialect, title: str, others: str, label: str, most: int = 14)
     free = d.keep("ps", "p", f"NOT {d.any(others, 'o', 'contains(o, p)')} AND ({label} = '' OR NOT contains(p, {label}))")
     longest = lambda xs: d.at(d.keep(xs, "p", f"length(p) = {d.most(d.each(xs, 'w', 'length(w)'))}"), "1")
     return f"CASE WHEN {d.size(others)} = 0 THEN '' ELSE {d.let(parts, 'ps', f'substr(coalesce({longest(free)}, {longest("ps")}, {title}), 1, {most})')} END"
+
+
+def flag_tokens(d: Dialect, flags: str) -> str:
+    """``f:`` tokens of low-quality flags; advertising says nothing about a site."""
+    own = d.keep(flags, "f", "NOT starts_with(f, 'ad:')" if not d.spark else "NOT startswith(f, 'ad:')")
+    return d.distinct(d.each(own, "f", f"concat('f:', {d.sub('f', '^low:')})"))
+
+
+def title_flag_tokens(d: Dialect, title: str, flags: str) -> str:
+    """Features of a result whose address tells nothing of its site: of title and flags alone."""
+    said = d.chain(grams(d, title, 2), words_mixed(d, title))
+    return d.distinct(d.chain(d.each(said, "w", "concat('t:', w)"), flag_tokens(d, flags)))
+
+
+def learned_features(d: Dialect, title: str, url: str, flags: str) -> str:
+    """All features of a result that site reputation learns from: of title, address and flags."""
+    from . import urls
+
+    return d.distinct(d.chain(title_flag_tokens(d, title, flags), urls.tokens(d, url)))

@@ -228,11 +228,11 @@ def fit_prior(events: DataFrame, as_of_ms: int | None = None) -> DataFrame:
 
 
 def metrics(predictions: DataFrame) -> DataFrame:
-    """Brier score, mean absolute error, low recall and good false positives at 0.4, by fold."""
+    """Brier score, mean absolute error, neutral Brier score (of 0.5 for all), low recall and good false positives at 0.4 or less, by fold."""
     p, y = F.col("pred"), F.col("label")
     rate = lambda of, when: F.avg(F.when(when, F.when(of, 1.0).otherwise(0.0)))
     return predictions.groupBy("fold").agg(
-        F.count("*").alias("n"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(F.abs(p - y)).alias("mae"), rate(p < 0.4, y <= 0.35).alias("low_recall"), rate(p < 0.4, y >= 0.65).alias("good_fpr")
+        F.count("*").alias("n"), F.avg((p - y) * (p - y)).alias("brier"), F.avg((0.5 - y) * (0.5 - y)).alias("neutral_brier"), F.avg(F.abs(p - y)).alias("mae"), rate(p <= 0.4, y <= 0.35).alias("low_recall"), rate(p <= 0.4, y >= 0.65).alias("good_fpr")
     )
 
 

@@ -537,11 +537,11 @@ def _(spark, folder):
     return reputation.fit_prior(own)
 
 
-@query("backtest_metrics", "WITH p AS (SELECT doc_id, (CAST('0x' || substr(sha256(source), 1, 2) AS INTEGER) % 5)::BIGINT AS fold, CASE WHEN quality = 1 THEN 0.82 ELSE 0.2 END::DOUBLE AS label, ((doc_id * 37) % 100) / 100.0::DOUBLE AS pred FROM labels JOIN documents USING (doc_id)) SELECT fold, count(*) AS n, round(avg((pred - label) * (pred - label)), 6) AS brier, round(avg(abs(pred - label)), 6) AS mae, round(avg(CASE WHEN pred < 0.4 THEN 1.0 ELSE 0.0 END) FILTER (WHERE label <= 0.35), 6) AS low_recall, round(avg(CASE WHEN pred < 0.4 THEN 1.0 ELSE 0.0 END) FILTER (WHERE label >= 0.65), 6) AS good_fpr FROM p GROUP BY fold")
+@query("backtest_metrics", "WITH p AS (SELECT doc_id, (CAST('0x' || substr(sha256(source), 1, 2) AS INTEGER) % 5)::BIGINT AS fold, CASE WHEN quality = 1 THEN 0.82 ELSE 0.2 END::DOUBLE AS label, ((doc_id * 37) % 100) / 100.0::DOUBLE AS pred FROM labels JOIN documents USING (doc_id)) SELECT fold, count(*) AS n, round(avg((pred - label) * (pred - label)), 6) AS brier, round(avg((0.5 - label) * (0.5 - label)), 6) AS neutral_brier, round(avg(abs(pred - label)), 6) AS mae, round(avg(CASE WHEN pred <= 0.4 THEN 1.0 ELSE 0.0 END) FILTER (WHERE label <= 0.35), 6) AS low_recall, round(avg(CASE WHEN pred <= 0.4 THEN 1.0 ELSE 0.0 END) FILTER (WHERE label >= 0.65), 6) AS good_fpr FROM p GROUP BY fold")
 def _(spark, folder):
     p = tables.table(spark, folder, "labels").join(tables.table(spark, folder, "documents"), "doc_id").select(reputation.fold(F.col("source")).alias("fold"), F.expr("CASE WHEN quality = 1 THEN 0.82D ELSE 0.2D END").alias("label"), F.expr("((doc_id * 37) % 100) / 100.0D").alias("pred"))
     m = reputation.metrics(p)
-    return m.select("fold", "n", *(F.round(c, 6).alias(c) for c in ("brier", "mae", "low_recall", "good_fpr")))
+    return m.select("fold", "n", *(F.round(c, 6).alias(c) for c in ("brier", "neutral_brier", "mae", "low_recall", "good_fpr")))
 
 
 # --- pages -----------------------------------------------------------------------------------

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.dialect import DUCK, SPARK
-from ..operators import embed, evidence, grade, merge, pages, reputation
+from ..operators import degrade, embed, evidence, filters, grade, merge, pages, reputation
 from ..sources import tables
+from ..staging import staged
 from ..streaming import replay
 from .catalog import LISTS_SQL, OBSERVED_SQL, ORACLE, QUERIES, Table, _lists, query
 from .rendered import A, B, TITLE, dated_pages, forms
@@ -126,8 +127,6 @@ def _(spark, folder):
 
 @query("flagged_members", LISTS_SQL + "SELECT query_id, idx % 7 AS cluster_id, count(*) AS size, CAST(sum(CASE WHEN len(list_filter(flags, lambda f: starts_with(f, 'low:'))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS low FROM noted GROUP BY 1, 2")
 def _(spark, folder):
-    from ..operators import filters
-
     rows = filters.annotate(merge.merged(_lists(spark, folder)))
     return grade.low_members(rows.withColumn("cluster_id", F.col("idx") % 7))
 
@@ -156,3 +155,26 @@ def _(spark, folder):
 def _(spark, folder):
     found = replay.snapshots(replay.outcomes(evidence_events(spark, folder), _WAIT))
     return found.select("key", F.col("day").cast("string").alias("day"), F.round(F.col("good") + 1e-9, 5).alias("good"), F.round(F.col("bad") + 1e-9, 5).alias("bad"))
+
+
+# --- features and counts of a plan -----------------------------------------------------------
+
+
+@query("learned_features", LISTS_SQL + f"SELECT query_id, idx, array_to_string({text.learned_features(DUCK, 'title', 'url', 'flags')}, '|') AS whole, array_to_string({text.title_flag_tokens(DUCK, 'title', 'flags')}, '|') AS title_only FROM noted")
+def _(spark, folder):
+    rows = filters.annotate(merge.merged(_lists(spark, folder)))
+    return rows.select("query_id", "idx", *(F.array_join(F.expr(e), "|").alias(n) for n, e in (("whole", text.learned_features(SPARK, "title", "url", "flags")), ("title_only", text.title_flag_tokens(SPARK, "title", "flags")))))
+
+
+@query("degrade_log", LISTS_SQL + f""", split AS (SELECT *, {filters.quality(DUCK, "flags")} AS quality FROM noted), k AS (SELECT * FROM split WHERE len(list_filter(flags, lambda f: f LIKE 'ad:%')) = 0),
+c AS (SELECT 0 AS nth, 'lists' AS stage, (SELECT count(*) FROM lists) AS n, (SELECT count(*) FROM lists WHERE src = 'e9') AS flagged UNION ALL SELECT 1, 'merged', (SELECT count(*) FROM merged), 0 UNION ALL SELECT 2, 'kept', (SELECT count(*) FROM k), (SELECT count(*) FROM k WHERE len(flags) > 0))
+SELECT CAST(nth AS INTEGER) AS nth, stage, n, flagged, coalesce(greatest(0, lag(n) OVER (ORDER BY nth) - n), 0) AS lost, n = 0 OR coalesce(lag(n) OVER (ORDER BY nth) - n > 0.1 * lag(n) OVER (ORDER BY nth), false) AS degraded FROM c""")
+def _(spark, folder):
+    """Lists, merged results and what filters keep, counted by the run that writes the last."""
+    log = degrade.Log()
+    lists = log.watch(_lists(spark, folder), "lists", F.col("src") == "e9")
+    # one reader: a plan that passes a stage twice would count it twice
+    merged_ = log.watch(merge.merged(lists), "merged")
+    kept = filters.split(filters.annotate(merged_)).where("part <> 'ad'")
+    staged(log.watch(kept.select("query_id", "idx", "flags"), "kept", F.size("flags") > 0), "kept")
+    return log.table(spark, 0.1)
