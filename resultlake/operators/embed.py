@@ -72,3 +72,20 @@ def projected_sql(table: str, id_col: str, text_col: str) -> str:
         f"SELECT {id_col}, [{sums}] AS v FROM (SELECT e.*, ln(1 + (SELECT count(DISTINCT {id_col}) FROM {table})::DOUBLE / df) AS w FROM ({each}) e "
         f"JOIN (SELECT a % {FREQUENCY_BUCKETS} AS bucket, count(*) AS df FROM ({each}) GROUP BY 1) f ON f.bucket = e.a % {FREQUENCY_BUCKETS}) GROUP BY {id_col}"
     )
+
+
+def covered(rows: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
+    """``rows`` with ``rel``: the share of its query's token weight that a row's text holds; null without query tokens.
+
+    A token weighs its inverse document frequency among the rows, counted in FREQUENCY_BUCKETS.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FREQUENCY_BUCKETS))
+    told = rows.withColumn("__t", F.expr(tokens(SPARK, text_col)))
+    n = rows.count()
+    often = told.select(F.explode("__t").alias("t")).groupBy(bucket("t").alias("b")).agg(F.count("*").alias("df"))
+    asked = rows.select(query_col).distinct().withColumn("q", F.explode_outer(F.expr(tokens(SPARK, query_col)))).withColumn("b", bucket("q"))
+    weighed = asked.join(F.broadcast(often), "b", "left").withColumn("w", F.log(1 + n / F.greatest(F.lit(1), F.coalesce("df", F.lit(1)))))
+    listed = weighed.groupBy(query_col).agg(F.collect_list(F.when(F.col("q").isNotNull(), F.struct("q", "w"))).alias("__q"))
+    total = lambda xs: f"aggregate({xs}, 0D, (s, x) -> s + x.w)"
+    rel = F.expr(f"CASE WHEN size(__q) > 0 THEN {total('filter(__q, x -> array_contains(__t, x.q))')} / {total('__q')} END")
+    return told.join(listed.withColumnRenamed(query_col, "__asked"), F.col(query_col).eqNullSafe(F.col("__asked")), "left").withColumn("rel", rel).drop("__t", "__q", "__asked")

@@ -12,25 +12,31 @@ from ..staging import staged
 
 
 def search(lists: DataFrame, as_of: str, since: str | None = None, limit: int = 99, stop: list[str] | None = None, entries: DataFrame | None = None, mode: str = "balanced") -> DataFrame:
-    """(query_id, place, idx, src, title, url, flags, quality, cluster_id, score, grade, tier).
+    """(query_id, place, idx, src, title, url, flags, quality, rep_badge, duplicate_of, cluster_id, score, grade, tier).
 
     ``lists``: result lists of sources (``sources.tables.result_lists``); ``entries``: what is known
-    of sites (``reputation.learned``), if anything.  Everything is keyed by query_id, so one query
-    or a corpus of them runs the same plan.  Rows and clusters have several readers and are
-    written once each.
+    of sites (``reputation.learned``), if anything: it scales a result's quality.  Later results that
+    reprint an earlier one are folded into it before clustering and share its cluster.  Everything is
+    keyed by query_id, so one query or a corpus of them runs the same plan.  Rows, reprints and
+    clusters have several readers and are written once each.
     """
     rows = merge.merged(lists, limit)
     rows = filters.since(rows, since, as_of) if since else rows
     rows = filters.split(filters.annotate(rows)).where("part <> 'ad'")
-    rows = reputation.applied(reputation.lookup(rows, entries, as_of)) if entries is not None else rows
-    asked = rows.withColumn("__q", F.expr(embed.tokens(SPARK, "query"))).withColumn("__t", F.expr(embed.tokens(SPARK, text.embedded_text(SPARK, "title", "`desc`"))))
-    rows = staged(asked.withColumn("rel", F.expr(embed.likeness(SPARK, "__q", "__t"))).drop("__q", "__t"), "search-rows")
-    members = staged(cluster.by_phrase(rows, stop=stop), "search-members")
+    rows = reputation.applied(reputation.lookup(rows, entries, as_of)) if entries is not None else rows.withColumn("rep_badge", F.lit(""))
+    whole = rows.withColumn("__text", F.expr(text.embedded_text(SPARK, "title", "`desc`"))).withColumn("__id", F.struct("query_id", "idx"))
+    rows = staged(embed.covered(whole, "query", "__text"), "search-rows")
+    vectors = embed.projected(rows, "__text", "__id").withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))).where("norm > 0")
+    vectors = vectors.select("__id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
+    folded = staged(cluster.reprints(rows.join(vectors, "__id").select("query_id", "idx", "title", "desc", "vec")), "search-reprints")
+    rows = rows.drop("__text", "__id")
+    members = staged(cluster.by_phrase(rows.join(folded, ["query_id", "idx"], "left_anti"), stop=stop), "search-members")
     scores = staged(cluster.scored(members, rows, cluster.text_scores(members, rows)), "search-scores")
     placed = cluster.assigned(members, scores)
     graded = grade.graded(scores.select("query_id", "cluster_id", "score", "sem_score", "text_score"), mode)
-    out = filters.recency(rows, as_of).join(placed, ["query_id", "idx"], "left").join(graded.select("query_id", "cluster_id", "score", "grade", "tier"), ["query_id", "cluster_id"], "left")
-    return out.select("query_id", "place", "idx", "src", "title", "url", F.array_join("flags", "|").alias("flags"), "quality", "cluster_id", "score", "grade", "tier")
+    ordered = filters.recency(rows, as_of).join(folded, ["query_id", "idx"], "left").withColumn("__home", F.coalesce("duplicate_of", "idx"))
+    out = ordered.join(placed.withColumnRenamed("idx", "__home"), ["query_id", "__home"], "left").join(graded.select("query_id", "cluster_id", "score", "grade", "tier"), ["query_id", "cluster_id"], "left")
+    return out.select("query_id", "place", "idx", "src", "title", "url", F.array_join("flags", "|").alias("flags"), "quality", "rep_badge", "duplicate_of", "cluster_id", "score", "grade", "tier")
 
 
 def candidates(results: DataFrame, limit: int) -> DataFrame:

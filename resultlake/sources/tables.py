@@ -36,10 +36,12 @@ def result_lists(pages: DataFrame, queries: DataFrame | None = None) -> DataFram
     return both.withColumn("__of", F.col("query_id") % QUERIES).join(F.broadcast(texts), "__of", "left").drop("__of").withColumn("query", F.coalesce("query", F.lit("")))
 
 
-def user_queries(conversations: DataFrame) -> DataFrame:
-    """(query_id, query): for each query number the first user turn of a conversation, 60 characters."""
-    own = conversations.where("role = 'user'").withColumn("query_id", F.col("conv_id") % QUERIES)
-    return own.groupBy("query_id").agg(F.min_by(F.substring("text", 1, 60), F.struct("conv_id", "turn")).alias("query"))
+def title_queries(pages: DataFrame) -> DataFrame:
+    """(query_id, query): for each query number words of the title of one of its pages, so that its list has answers."""
+    title = F.expr(text.clean(SPARK, "regexp_extract(html, r'(?is)<title[^>]*>(.*?)</title>', 1)"))
+    words = F.slice(F.filter(F.split(title, "[^\\p{L}]+"), lambda w: F.length(w) > 3), 1, 4)
+    own = pages.select((F.col("page_id") % QUERIES).alias("query_id"), "page_id", F.array_join(words, " ").alias("query")).where("query <> ''")
+    return own.groupBy("query_id").agg(F.min_by("query", "page_id").alias("query"))
 
 
 def contents(documents: DataFrame) -> DataFrame:

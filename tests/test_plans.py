@@ -2,6 +2,7 @@
 
 import re
 
+from resultlake.operators import scans
 from resultlake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,8 +22,13 @@ def test_scans_read_only_the_columns_used(spark):
     assert read(plan(spark, "daily_dedupe")) == {("event_type", "ts", "user_id")}
 
 
-def test_filters_reach_the_scan(spark):
-    assert "EqualTo(event_type,view)" in plan(spark, "rep_search_fold")
+def test_filters_reach_the_scan(spark, monkeypatch):
+    # histories are written in pieces: the job that reads the events is the one that deals them
+    dealt, pieces = [], scans.pieces
+    monkeypatch.setattr(scans, "pieces", lambda rows, *how: dealt.append(rows) or pieces(rows, *how))
+    plan(spark, "rep_search_fold")
+    assert "EqualTo(event_type,view)" in dealt[0]._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,view)" in plan(spark, "rep_discounts")
 
 
 def test_scalar_queries_stay_in_the_jvm(spark):
