@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..functions.dialect import SPARK
+from ..functions.dialect import DUCK, SPARK
 from ..operators import cluster, embed, evidence, grade, merge, pages, pubdate, reputation
 from ..sources import embedded
 from ..streaming import state
-from . import search
+from . import rendered, search
 from .catalog import AS_OF, Fixture, query
 
 
@@ -18,9 +18,20 @@ def expected(name: str, rows: Fixture):
     return query(name, rows.sql)
 
 
-def told(base: Fixture, want: Fixture, name: str, keys: list[str], **built):
-    """A query of scalar functions over literal rows."""
-    expected(name, want)(lambda spark, folder: base.df(spark, folder).select(*keys, *(F.expr(f).alias(k) for k, f in built.items())))
+def told(base: Fixture, want: Fixture, name: str, keys: list[str], also: tuple[str, dict] | None = None, **built):
+    """A query of scalar functions over literal rows, and over rows rendered from a table (``also``: it and the columns).
+
+    The literal rows must come out as ``want``, the table's as the same functions give them on DuckDB.
+    """
+    at = lambda f, d: f(d) if callable(f) else f
+    if also is None:
+        expected(name, want)(lambda spark, folder: base.df(spark, folder).select(*keys, *(F.expr(at(f, SPARK)).alias(k) for k, f in built.items())))
+        return
+    rows = rendered.Rendered(base, also[0], **also[1])
+    own = ", ".join([*keys, *(f"{at(f, DUCK)} AS {k}" for k, f in built.items())])
+    literal = ", ".join([*keys, *built])
+    twin = f"SELECT {literal} FROM ({want.sql}) UNION ALL SELECT {own} FROM (SELECT {', '.join(rows._columns(DUCK))} FROM {also[0]})"
+    query(name, twin)(lambda spark, folder: rows.df(spark, folder).select(*keys, *(F.expr(at(f, SPARK)).alias(k) for k, f in built.items())))
 
 
 # --- texts and URLs --------------------------------------------------------------------------
@@ -33,7 +44,7 @@ told(
 told(
     Fixture("id bigint, s string", [(1, "<b>Fish</b> &amp; chips&nbsp;now"), (2, "it&apos;s &quot;it&quot;  \n x"), (3, "")]),
     Fixture("id bigint, s string", [(1, "Fish & chips now"), (2, "it's \"it\" x"), (3, "")]),
-    "light_clean", ["id"], s=text.light_clean(SPARK, "s"),
+    "light_clean", ["id"], ("pages", {"id": "page_id + 1000", "s": "html"}), s=lambda d: text.light_clean(d, "s"),
 )
 told(
     Fixture("id bigint, title string, q string", [(1, "a" * 300, " tide tables "), (2, None, "x" * 300)]),
@@ -43,7 +54,7 @@ told(
 told(
     Fixture("id bigint, title string, label string", [(1, "OpenAI ships a model", "openai"), (2, "The pencil case", "pen"), (3, "a pen, please", "Pen"), (4, "大模型发布会", "模型"), (5, "x", "")]),
     Fixture("id bigint, holds boolean", [(1, True), (2, False), (3, True), (4, True), (5, False)]),
-    "label_holds", ["id"], holds=text.holds_label(SPARK, "title", "label"),
+    "label_holds", ["id"], ("documents", {"id": "doc_id + 1000", "title": rendered.TITLE, "label": rendered.forms("doc_id", rendered.B, rendered.A, "'the'")}), holds=lambda d: text.holds_label(d, "title", "label"),
 )
 told(
     Fixture("id bigint, value string", [(1, "openai"), (2, "lake"), (3, "中文"), (4, "none")]),
@@ -58,7 +69,7 @@ told(
 told(
     Fixture("id bigint, url string", [(1, "https://m.t.com/group/71/?channel=a&id=2&utm_source=b"), (2, "https://m.t.com/group/71/?source=x"), (3, "https://m.t.com/group/71/?a=1")]),
     Fixture("id bigint, url string", [(1, "https://m.t.com/group/71/&id=2"), (2, "https://m.t.com/group/71/"), (3, "https://m.t.com/group/71/?a=1")]),
-    "url_scrub", ["id"], url=urls.scrubbed(SPARK, "url"),
+    "url_scrub", ["id"], ("pages", {"id": "page_id + 1000", "url": "'https://m.t.com/group/' || page_id || '/?channel=a&id=2&utm_source=b'"}), url=lambda d: urls.scrubbed(d, "url"),
 )
 
 # --- pages -----------------------------------------------------------------------------------
@@ -66,12 +77,12 @@ told(
 told(
     Fixture("id bigint, html string", [(1, "var o = {cType: 'managed'}"), (2, 'var o = {cType: "managed"}'), (3, "<title>Just a moment...</title>"), (4, "all fine")]),
     Fixture("id bigint, kind string, family boolean", [(1, "cloudflare-turnstile", True), (2, None, False), (3, "cloudflare-interstitial", True), (4, None, False)]),
-    "antibot_family", ["id"], kind=pages.antibot(SPARK, "html"), family=pages.cloudflare(SPARK, pages.antibot(SPARK, "html")),
+    "antibot_family", ["id"], ("pages", {"id": "page_id + 1000", "html": rendered.forms("page_id", "html", "'<title>Just a moment...</title>' || html")}), kind=lambda d: pages.antibot(d, "html"), family=lambda d: pages.cloudflare(d, pages.antibot(d, "html")),
 )
 told(
     Fixture("id bigint, status int, message string", [(1, 403, None), (2, 404, "timeout"), (3, 503, None), (4, None, "Socket hang up"), (5, None, "no body"), (6, None, "certificate has expired"), (7, 429, "TLS")]),
     Fixture("id bigint, mirror boolean, tls boolean", [(1, True, True), (2, False, False), (3, True, False), (4, True, False), (5, False, False), (6, False, True), (7, True, False)]),
-    "failure_kinds", ["id"], mirror=pages.mirror_fault(SPARK, "status", "message"), tls=pages.tls_fallback(SPARK, "status", "message"),
+    "failure_kinds", ["id"], ("events", {"id": "event_id + 1000", "status": "CASE WHEN user_id % 4 = 0 THEN NULL ELSE 200 + CAST(floor(value) AS INT) % 400 END", "message": "event_type"}), mirror=lambda d: pages.mirror_fault(d, "status", "message"), tls=lambda d: pages.tls_fallback(d, "status", "message"),
 )
 told(
     Fixture("id bigint, html string, url string", [(1, '<meta property="article:published_time" content="2026-03-04T08:00:00Z">2020-01-01', "https://a.com/2025/0102/x"), (2, "on 2020-01-01", "https://a.com/2025/0102/x"), (3, "on 2020年1月5日", "https://a.com/x"), (4, "never", "https://a.com/x")]),

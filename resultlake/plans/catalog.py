@@ -98,9 +98,9 @@ ANSWERS = Fixture("query_id bigint, engine string, ord bigint, cjk boolean, zh_o
 TIERS = Fixture("id bigint, specific bigint, generic bigint, stream bigint, entries bigint, most bigint", [(1, 10, 0, 0, 10, 10), (2, 3, 9, 0, None, 10), (3, 5, 4, 0, 20, 20), (4, 1, 0, 0, 10, 10), (5, 0, 0, 7, None, 10), (6, 0, 0, 0, None, 10), (7, 2, 2, 0, 4, 10)])
 
 # queries and their SQL run on the literal cases and on rows rendered from the tables
-_all = rendered.all_of({n: globals()[n] for n in ("TITLES", "DATED", "LINKS", "RESULTS", "ASKED", "MARKUP", "FETCHED", "PROMO", "COSINES", "PAIRS", "CLUSTERS", "HITS", "TIERS")})
+_all = rendered.all_of({n: globals()[n] for n in ("TITLES", "DATED", "LINKS", "RESULTS", "ASKED", "MARKUP", "FETCHED", "PROMO", "COSINES", "PAIRS", "CLUSTERS", "HITS", "TIERS", "ANSWERS")})
 TITLES, DATED, LINKS, RESULTS, ASKED, MARKUP, FETCHED = (_all[n] for n in ("TITLES", "DATED", "LINKS", "RESULTS", "ASKED", "MARKUP", "FETCHED"))
-PROMO, COSINES, PAIRS, CLUSTERS, HITS, TIERS = (_all[n] for n in ("PROMO", "COSINES", "PAIRS", "CLUSTERS", "HITS", "TIERS"))
+PROMO, COSINES, PAIRS, CLUSTERS, HITS, TIERS, ANSWERS = (_all[n] for n in ("PROMO", "COSINES", "PAIRS", "CLUSTERS", "HITS", "TIERS", "ANSWERS"))
 
 joined = lambda f, *a: lambda d: d.join(f(d, *a), "|")
 scalars("text_strip", PAGES, ["page_id"], stripped=lambda d: text.strip_tags(d, "html"))
@@ -498,6 +498,7 @@ def _(spark, folder):
 
 
 FACTORS = Fixture("id bigint, score double, samples bigint, age double, avail double, avail_n bigint, uses bigint", [(1, 0.0, 10, 0.0, 0.5, 0, 0), (2, 0.5, 10, 29.0, 0.95, 5, 2), (3, 1.0, 10, 120.0, 0.1, 5, 5), (4, 0.8, 10, 60.0, 0.9, 2, 9), (5, 0.82, 5, 10.0, 0.5, 3, 3), (6, 0.31, 5, 45.0, 0.2, 4, 4), (7, 0.9, 2, 10.0, 0.5, 0, 0)])
+FACTORS = rendered.all_of({"FACTORS": FACTORS})["FACTORS"]
 
 
 @query("rep_factors", f"WITH d AS (SELECT *, CASE WHEN age <= 30 THEN score ELSE 0.5 + (score - 0.5) * (1 - least(1, greatest(0, (age - 30) / 60))) END AS s FROM ({FACTORS.sql})) SELECT id, round(s, 6) AS decayed, round(CASE WHEN samples < 3 THEN 1 ELSE least(1.15, greatest(0.35, 1 + (score - 0.5) * 1.6)) END, 6) AS factor, round(CASE WHEN avail_n < 3 THEN 1 ELSE least(1.05, greatest(0.75, 1 + (avail - 0.5) * 0.5)) END, 6) AS availability, round(CASE WHEN uses < 3 THEN 1 ELSE 1 + 0.03 * least(1, uses / 5) END, 6) AS utility, CASE WHEN samples < 3 THEN '' ELSE CASE WHEN score >= 0.65 THEN '✓' WHEN score <= 0.35 THEN '⚠' ELSE '·' END || '[rep:' || printf('%.2f', score) || ']' END AS badge FROM d")

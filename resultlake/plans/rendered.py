@@ -85,9 +85,11 @@ def all_of(named: dict) -> dict:
         "PAIRS": ("documents", "text IS NOT NULL", {"id": "doc_id + 1000", "a": "substr(text, 1, 80)", "b": forms("doc_id", f"substr(text, 1, 80) || ' - ' || {A}", "substr(text, 10, 80)", f"{A} || ' ' || {B}", "substr(text, 30, 70)")}),
         "CLUSTERS": ("documents", "true", {"query_id": "floor(doc_id / 5) + 100", "cluster_id": "doc_id % 5", "label": A, "size": "doc_id % 7 + 1", "sem_score": "CASE WHEN n_chars % 11 = 0 THEN NULL ELSE n_chars * 37 % 100 / 100.0 END", "text_score": "n_chars * 53 % 100 / 100.0"}),
         "HITS": ("documents", "true", {"query_id": "floor(doc_id / 8) + 100", "query": forms("CAST(floor(doc_id / 8) AS BIGINT)", "'港口最新进展'", "'历史大事件'", "'latest ' || CAST(floor(doc_id / 8) AS BIGINT)"), "idx": "doc_id % 8", "date": f"CASE WHEN doc_id % 10 = 9 THEN NULL ELSE {DATE} END", "rel": "(n_chars * 37 % 200 - 100) / 100.0"}),
+        "ANSWERS": ("events", "true", {"query_id": "floor(event_id / 4) + 100", "engine": "'e' || (event_id % 4)", "ord": "event_id % 4", "cjk": "floor(event_id / 4) % 2 = 0", "zh_only": "event_id % 4 IN (1, 2)", "ok": "event_type <> 'error'", "blocked": "event_type = 'error'", "polluted": "user_id % 7 = 0", "n": "user_id % 5"}),
+        "FACTORS": ("events", "true", {"id": "event_id + 1000", "score": "floor(least(100, value)) / 100", "samples": "user_id % 12", "age": "event_id % 150", "avail": "floor(least(80, value)) / 100", "avail_n": "event_id % 6", "uses": "event_id % 9"}),
         "TIERS": ("events", "true", {"id": "event_id + 1000", "specific": "event_id % 11", "generic": "CAST(floor(value) AS BIGINT) % 9", "stream": "user_id % 4", "entries": "CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 21 END", "most": "10"}),
     }
-    return {name: Rendered(named[name], table, where, **columns) for name, (table, where, columns) in spec.items()}
+    return {name: Rendered(named[name], table, where, **columns) for name, (table, where, columns) in spec.items() if name in named}
 
 
 def day(d: Dialect, by: str = "page_id") -> str:
