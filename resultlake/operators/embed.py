@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.dialect import DUCK, SPARK, Dialect
+from ..staging import staged
 
 DIMENSIONS = 256
 # Fixed values that results depend on: likeness at which results are of one subject, by backend.
@@ -55,6 +56,7 @@ def projected(rows: DataFrame, text_col: str = "text", id_col: str = "id") -> Da
     """
     n = rows.select(id_col).distinct().count()
     each = rows.select(id_col, F.explode(F.expr(tokens(SPARK, text_col))).alias("token")).select(id_col, *(F.expr(_bits(SPARK, "token", k)).alias(c) for k, c in enumerate("ab")))
+    each = staged(each, "tokens")  # read twice: for frequencies, then for sums
     bucket = F.col("a") % FREQUENCY_BUCKETS
     often = each.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("df"))
     weighed = each.withColumn("bucket", bucket).join(F.broadcast(often), "bucket").withColumn("w", F.log(1 + n / F.col("df")))
