@@ -76,17 +76,17 @@ def scalars(name: str, base, keys_: list[str], /, **built):
 PAGES = Table("pages", "page_id", "url", "html")
 DOCS = Table("documents", "doc_id", "text", "substr(text, 1, 60) AS title")
 TURNS = Table("conversations", "conv_id", "turn", "text", where="role = 'user'")
-TITLES = Fixture("id bigint, s string", [(1, "计算机专业学习路线 - 知乎"), (2, "Python 爬虫教程_CSDN博客"), (3, "今日黄历 2026年8月"), (4, "Welcome, Cot: the Guide | GitHub"), (5, "苹果公司_百度百科"), (6, ""), (7, "最新发布：苹果 手机 the best phone"), (8, "OpenAI—发布 新 模型 - 官方网站"), (9, "微信公众号 小程序 python3 教程 2026"), (10, "A|B·C•D")])
+TITLES = Fixture("id bigint, s string", [(1, "计算机专业学习路线 - 知乎"), (2, "Python 爬虫教程_CSDN博客"), (3, "今日黄历 2026年8月"), (4, "Welcome, Cot: the Guide | GitHub"), (5, "潮汐表_百度百科"), (6, ""), (7, "最新发布：苹果 手机 the best phone"), (8, "OpenAI—发布 新 模型 - 官方网站"), (9, "微信公众号 小程序 python3 教程 2026"), (10, "A|B·C•D")])
 DATED = Fixture("id bigint, s string", [(1, "3小时前"), (2, "昨天 12:30"), (3, "前天"), (4, "5 天前"), (5, "2周前"), (6, "3个月前"), (7, "1年前"), (8, "2026年8月5日"), (9, "2026-7-1"), (10, "8月1日 新闻"), (11, "阅读量 1000"), (12, ""), (13, "2026/08/07"), (14, "2019-05-01"), (15, "2026年13月1日"), (16, "上周"), (17, "2027-01-01"), (18, "20261105")])
-LINKS = Fixture("id bigint, url string", [(1, "https://www.cnblogs.com/harbour/p/1"), (2, "https://zhuanlan.zhihu.com/p/1"), (3, "https://news.harbour.com.cn/a"), (4, "not a url"), (5, "https://e.so.com/we?q=1"), (6, "https://news.example.com/2026/08/story"), (7, "https://github.com/login"), (8, "https://www.zhihu.com/question/123"), (9, "https://m.a.com/x/?utm_source=1&b=2&ref=3#top"), (10, "http://www.people.com.cn/n1/2026/0801/c1024-1.html"), (11, "https://x.com/2026/8/7/story.html"), (12, "https://cn.bing.com/ck/a?a=b&u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS8"), (13, "http://localhost/x"), (14, "http://10.0.0.1/"), (15, "ftp://a.com/"), (16, "http://u:p@a.com/"), (17, "http://8.8.8.8/dns"), (18, "http://192.168.1.1/"), (19, "http://2130706433/"), (20, "http://[::1]/"), (21, "http://[2606:4700::1]/"), (22, "https://a.com/wz/1"), (23, "http://172.20.1.1:8080/a"), (24, "https://blog.dev.example.co/a-b/c.d/12")])
+LINKS = Fixture("id bigint, url string", [(1, "https://www.cnblogs.com/harbour/p/1"), (2, "https://zhuanlan.zhihu.com/p/1"), (3, "https://news.harbour.com.cn/a"), (4, "not a url"), (5, "https://e.so.com/we?q=1"), (6, "https://news.example.com/2026/08/story"), (7, "https://github.com/login"), (8, "https://www.zhihu.com/question/123"), (9, "https://m.a.com/x/?utm_source=1&b=2&ref=3#top"), (10, "http://www.people.com.cn/n1/2026/0801/c1024-1.html"), (11, "https://x.com/2026/8/7/story.html"), (12, "https://cn.bing.com/ck/a?p=q&u=a1aHR0cHM6Ly9oYXJib3VyLmV4YW1wbGUvdGlkZS83"), (13, "http://localhost/x"), (14, "http://10.0.0.1/"), (15, "ftp://a.com/"), (16, "http://u:p@a.com/"), (17, "http://8.8.8.8/dns"), (18, "http://192.168.1.1/"), (19, "http://3232235777/"), (20, "http://[::1]/"), (21, "http://[2606:4700::1]/"), (22, "https://a.com/wz/1"), (23, "http://172.20.1.1:8080/a"), (24, "https://blog.dev.example.co/a-b/c.d/12")])
 RESULTS = Fixture("id bigint, title string, url string, text string, is_ad boolean", [
-    (1, "【广告】夏日家电促销", "https://a.com/x/1.html", "描述" * 20, False), (2, "平常的一条标题", "https://www.doubleclick.net/ads/1", "摘要内容很长很长很长很长很长很长", False), (3, "转到别处的标题", "https://x.com/redirect?url=https://evil.com", "摘要内容很长很长很长很长很长很长", False),
+    (1, "【广告】夏日家电促销", "https://a.com/x/1.html", "描述" * 20, False), (2, "平常的一条标题", "https://clk.doubleclick.net/tide/77", "摘要内容很长很长很长很长很长很长", False), (3, "转到别处的标题", "https://x.com/redirect?url=https://evil.com", "摘要内容很长很长很长很长很长很长", False),
     (4, "一则平实的标题", "https://b.com/a/1.html", "本页无广告,只有文章,请慢慢读完", False), (5, "一则平实的标题", "https://b.com/a/2.html", "广告位招商,从优,请与编辑部联系", False), (6, "今日动态 - 港口网", "https://www.harbour.example/newsf/", "", False),
     (7, "免费字体下载中心", "https://v.com/a/b/c", "立即下载字体包,马上注册领取礼物!", False), (8, "HARBOUR NEWS TONIGHT", "https://c.com/a/b", "short", False), (9, "港口!!惊人", "https://t.cn/abc", "一段足够长的摘要文字用来避免短摘要标志", False), (10, "短", "https://d.com/p/x?a=1&b=2&c=3&d=4&e=5&f=6", "一段足够长的摘要文字用来避免短摘要标志", False),
     (11, "Sponsored result", "https://e.com/1", "An ordinary description of the page in words.", True), (12, "Long address", "https://f.com/" + "a" * 250, "An ordinary description of the page in words.", False),
 ])
 ASKED = Fixture("id bigint, q string", [(i, q) for i, q in enumerate(["港口扩建大事件", "突发暴雨", "环保条例最新进展", "本周展览", "1935年大事件", "建校百年大事记", "历史大事件", "纪念建市40周年", "那年往事", "近期演出", "latest harbour news", "how to bake bread", "苹果 发布会", "近 3 天 天气", ""])])
-MARKUP = Fixture("id bigint, html string", [(1, "<title>Just a moment...</title>"), (2, "<p>Too Many Requests</p>"), (3, "<title>404: This page could not be found.</title>"), (4, "<title>How to handle 404 errors in your app and other useful lessons for everyone</title><p>fine</p>"), (5, '{"error":{"code":40362,"message":"您当前请求存在异常"}}'), (6, "<div class=g-recaptcha></div>"), (7, "<h1>Access Denied</h1>"), (8, "<p>enable JavaScript to go on</p>"), (9, "<p>plain &amp; simple &lt;b&gt; &#39;x&#39; A%26B &copy; 中 文</p>"), (10, "<title>404 页面不存在</title>"), (11, "<body>404 请求的页面不存在</body>")])
+MARKUP = Fixture("id bigint, html string", [(1, "<title>Just a moment...</title>"), (2, "<p>Too Many Requests</p>"), (3, "<title>404 - no such page</title>"), (4, "<title>How to handle 404 errors in your app and other useful lessons for everyone</title><p>fine</p>"), (5, '{"error":{"code":40362,"message":"您当前请求存在异常"}}'), (6, "<div class=g-recaptcha></div>"), (7, "<h1>Access Denied</h1>"), (8, "<p>enable JavaScript to go on</p>"), (9, "<p>plain &amp; simple &lt;b&gt; &#39;x&#39; A%26B &copy; 中 文</p>"), (10, "<title>404 页面不存在</title>"), (11, "<body>404 请求的页面不存在</body>")])
 FETCHED = Fixture("id bigint, markdown string, is_list boolean, n_list bigint, html_bytes bigint, extra string", [(1, "word " * 60 + "W", False, 0, 39964, ""), (2, "word " * 60 + "end.", False, 0, 39964, ""), (3, "正在加载…" + "x" * 220, False, 0, 0, ""), (4, "item " * 20, True, 3, 0, ""), (5, "403 forbidden", False, 0, 0, ""), (6, "", False, 0, 0, "title"), (7, "short", False, 0, 0, "请输入验证码")])
 PROMO = Fixture("id bigint, title string, body string", [(1, "好产品", "立即咨询我们的顾问,免费试用名额有限。\n" * 12), (2, "无关标题", "".join(f"这是第{i:02}句整齐划一的文字内容。" for i in range(40))), (3, "python 教程", "python 教程 " + "".join(f"第{i}课讲解不同长度的主题" + "内容" * (i % 7) + "。" for i in range(60))), (4, "短", "短文"), (5, "alpha beta", "gamma delta " * 100)])
 COSINES = Fixture("id bigint, a array<double>, b array<double>, n bigint", [(1, [1.0, 0.0], [0.8, 0.6], 400), (2, [1.0, 0.0], [0.0, 1.0], 400), (3, [1.0, 2.0], [0.0, 0.0], 400), (4, [3.0, 4.0], [4.0, 3.0], 100), (5, [1.0, 0.0], [0.3, 0.9], 900)])
