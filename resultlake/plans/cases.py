@@ -54,7 +54,7 @@ told(
 told(
     Fixture("id bigint, title string, label string", [(1, "OpenAI ships a model", "openai"), (2, "The pencil case", "pen"), (3, "a pen, please", "Pen"), (4, "大模型发布会", "模型"), (5, "x", "")]),
     Fixture("id bigint, holds boolean", [(1, True), (2, False), (3, True), (4, True), (5, False)]),
-    "label_holds", ["id"], ("documents", {"id": "doc_id + 1000", "title": rendered.TITLE, "label": rendered.forms("doc_id", rendered.B, rendered.A, "'the'")}), holds=lambda d: text.holds_label(d, "title", "label"),
+    "label_holds", ["id"], ("documents", {"id": "doc_id + 1000", "title": rendered.title, "label": rendered.forms("doc_id", rendered.B, rendered.A, "'the'")}), holds=lambda d: text.holds_label(d, "title", "label"),
 )
 told(
     Fixture("id bigint, value string", [(1, "openai"), (2, "lake"), (3, "中文"), (4, "none")]),

@@ -1,11 +1,13 @@
 """Literal cases of scalar functions."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from resultlake.functions import col, dates, text, urls
-from resultlake.functions.dialect import SPARK
+from resultlake.functions.dialect import DUCK, SPARK
 from resultlake.operators import filters, pages
+from resultlake.plans import rendered
 
 AS_OF = "2026-08-10"
 
@@ -95,3 +97,15 @@ def test_not_found(spark):
 
 def test_column_helper(spark):
     assert spark.createDataFrame([("https://www.a.com/",)], "u string").select(col(urls.host, "u")).first()[0] == "www.a.com"
+
+
+@pytest.mark.parametrize("value", ["straße", "ŉ ǰ ﬁn ﬅ և", "ΐ ᾳ ῼ ᾈ ὖ", "İı ÿ ǆ ß", "plain é", ""])
+def test_upper_case_is_that_of_sql(spark, value):
+    want = duckdb.connect().execute("SELECT upper(?)", [value]).fetchone()[0]
+    assert one(spark, lambda d, s: d.upper(s), value) == want
+
+
+def test_rendered_titles_are_those_of_sql(spark):
+    own = "SELECT {} AS title FROM (SELECT 10 AS doc_id, 'großes Haus' AS text)"
+    want = duckdb.connect().execute(own.format(rendered.title(DUCK))).fetchone()[0]
+    assert spark.sql(own.format(rendered.title(SPARK))).first().title == want == "[视频] GROẞES （Haus）"
