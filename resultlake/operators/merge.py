@@ -78,7 +78,10 @@ def language_pollution(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id", "query").agg((share >= 0.5).alias("half")).select("query_id", (F.expr("NOT " + cjk.format("query")) & F.col("half")).alias("polluted"))
 
 
-def resolved(results: DataFrame, redirects: DataFrame) -> DataFrame:
-    """``results`` with targets of known redirects (url, target) for their URLs; others keep theirs."""
-    known = redirects.where("coalesce(target, '') <> ''").groupBy("url").agg(F.max("target").alias("target"))
-    return results.join(known, "url", "left").withColumn("url", F.coalesce("target", "url")).drop("target")
+def resolved(results: DataFrame, redirects: DataFrame, *by: str) -> DataFrame:
+    """``results`` with targets of known redirects (url, target) for their URLs; others keep theirs.
+
+    Columns ``by`` that both have tell apart answers to one URL, such as those to several results.
+    """
+    known = redirects.where("coalesce(target, '') <> ''").groupBy("url", *by).agg(F.max("target").alias("target"))
+    return results.join(known, ["url", *by], "left").withColumn("url", F.coalesce("target", "url")).drop("target")

@@ -24,6 +24,21 @@ def test_merge_keeps_first_by_url(spark):
     assert got == [("A", "bing", 1, 2), ("C", "baidu", 1, 2), ("A", "baidu", 2, 2)]
 
 
+def test_redirects_of_results_that_share_a_url(spark):
+    rows = spark.createDataFrame([(1, "u"), (2, "u"), (3, "u"), (4, "v")], "page_id int, url string")
+    known = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, "u", ""), (4, "v", None)], "page_id int, url string, target string")
+    assert {(r.page_id, r.url) for r in merge.resolved(rows, known, "page_id").collect()} == {(1, "a"), (2, "b"), (3, "u"), (4, "v")}
+
+
+def test_redirects_of_lists_go_by_page(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "https://a.example/same", f"<title>t{i}</title><p>x</p>") for i in range(12)] + [(3001, "https://a.example/same", "<title>t</title>")], "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = __spark_entry__.queries()["redirects_of_lists"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLE["redirects_of_lists"]).fetchall())
+
+
 def test_reputation_numbers(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     flags = F.array(F.lit("low:spam-desc"), F.lit("low:index-page"))
