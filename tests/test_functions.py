@@ -55,6 +55,11 @@ def test_url_date(spark):
     assert one(spark, dates.url_date, "http://a.com/2026/1399/x") == ""
 
 
+@pytest.mark.parametrize(("html", "day"), [("<p>card 4302232727206639 x</p>", ""), ("<p>20661231123 x</p>", ""), ("4302232727206639 am 2026年8月7日10时", "2026-08-07"), ("id 20260807103000.", "2026-08-07"), ("20260807", "2026-08-07"), ("on 2026-08-07T08:00", "2026-08-07")])
+def test_dates_within_numbers_are_none(spark, html, day):
+    assert one(spark, pages.published_simple, html, "'https://a.com/'") == day
+
+
 def test_since_days():
     assert [dates.since_days(s, AS_OF) for s in ("24h", "1w", "1m", "1y", "2026-08-01", "junk", "0d")] == [1, 7, 30, 365, 9, None, None]
 
