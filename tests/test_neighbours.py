@@ -65,3 +65,23 @@ def test_projections_estimate_likeness(spark):
         cosine = got[0] @ got[i] / np.linalg.norm(got[0]) / np.linalg.norm(got[i])
         assert abs(cosine - weight(sets[0] & sets[i]) / math.sqrt(weight(sets[0]) * weight(sets[i]))) < 0.35
     assert embed.projected(rows.limit(0)).collect() == []
+
+
+def test_pairs_are_no_rows_of_a_join(spark, clustered):
+    plan = neighbours.Index(frame(spark, clustered)).within(F.col("id") % 10 == 0, 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") + plan.count("REPARTITION") <= 2
+
+
+def test_queries_go_in_parts(spark, monkeypatch, clustered):
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    for name in ("TILE", "WIDE", "PAIRS", "PROBES"):
+        monkeypatch.setattr(neighbours, name, 11)
+    got = [(r.qid, r.id) for r in neighbours.Index(frame(spark, clustered)).within(F.col("id") % 10 == 0, 0.75, 0.94).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(clustered, 10, 0.75, 0.94)
+
+
+def test_rows_under_one_id_are_one_text(spark):
+    rows = spark.createDataFrame([(1, "alpha beta"), (1, "gamma"), (2, "delta alpha"), (None, "beta"), (3, None)], "id int, text string")
+    got = {r.id: np.array(r.v) for r in embed.projected(rows).collect()}
+    apart = {r.id: np.array(r.v) for r in embed.projected(spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta alpha"), (None, "beta"), (3, None)], "id int, text string")).collect()}
+    assert set(got) == {1, 2, None} and all(np.allclose(got[k], apart[k]) for k in got)
