@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from resultlake.functions.dialect import SPARK
 from resultlake.operators import cluster, evidence, grade, merge, pubdate, reputation
 from resultlake.plans import catalog
 from resultlake.sources import dom, serp
@@ -234,3 +235,14 @@ def test_automaton_finds_longest_common_runs():
         for _ in range(400):
             a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(2))
             assert common_span(a, b) == by_table(a, b), (a, b)
+
+
+def test_measures_of_collapsed_bodies_equal_those_of_bodies(spark):
+    """Structural evidence works sentence lengths out once, from the body without white space."""
+    bodies = ["", None, " x　y \n\n", "立即咨询 免费\n试用。限时优惠!!扫码购买", "﻿Ａ句子 很长很长很长。 second sentence here! third; sentence? fourth\nfifth sentence\n" * 9, "免费免费咨询立即" * 30 + "。" * 5, "点击 购买 添加微信 优惠名额 咨询热线 " * 12]
+    rows = spark.createDataFrame([(i, "second 句子 title", b) for i, b in enumerate(bodies)], "id int, title string, body string")
+    got = evidence.structural(rows).orderBy("id").select("n", "promo", "repeated", "coverage", "sentences", "cv").collect()
+    plain = rows.orderBy("id").select(*(F.expr(e).alias(k) for k, e in evidence.measures(SPARK, "title", "body").items())).collect()
+    assert got == plain and max(r.promo for r in plain if r.promo) > 9
+    assert "lengths" not in evidence.structural(rows).columns
+    assert evidence.measures(SPARK, "title", "body", "flat")["sentences"] == SPARK.size("lengths")
