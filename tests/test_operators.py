@@ -101,6 +101,14 @@ def test_bayes_needs_telling_tokens(spark):
     assert got[1] > 0.7 and got[2] < 0.4 and 3 not in got
 
 
+def test_bayes_deals_tokens_by_contents(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "DEALT", 3)
+    model = spark.createDataFrame([(f"w{k}", 9.0, 1.0) for k in range(6)], "token string, good double, bad double")
+    contents = spark.createDataFrame([(i, [f"w{k}" for k in range(6)]) for i in range(100)], "id int, tokens array<string>")
+    told = evidence.bayes_predict(contents, model)
+    assert told.count() == 100 and "34), REPARTITION_BY_NUM" in told._jdf.queryExecution().executedPlan().toString()
+
+
 def test_date_model_update():
     w, b = pubdate.updated({"x": 0.0}, 0.0, [({"x": 1.0}, 1.0)], 0.1)
     assert w["x"] == pytest.approx(0.05) and b == pytest.approx(0.05)
