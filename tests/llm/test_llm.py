@@ -395,6 +395,17 @@ def test_line_dedup_copies_grow_with_the_bucket(spark, monkeypatch):
     assert 0 < copied[1] < 6 * copied[0], copied
 
 
+def test_line_meetings_leave_out_what_shares_too_few_first_shingles(spark):
+    """Two of 100 shingles shared, first ones: met, but unlike by count; 90 of 100 shared stay a pair."""
+    own = lambda k: list(range(1_000 * k, 1_000 * k + 98))
+    sets = {1: [1, 2] + own(1), 2: [1, 2] + own(2), 3: own(3) + [7, 8], 4: own(3)[:88] + [7, 8] + own(4)[:10]}
+    every = [(10 * k + n, own(k)) for k in (1, 2, 3, 4) for n in range(3)]  # so that own shingles come after shared ones
+    inside = spark.createDataFrame(list(sets.items()) + every, "lid bigint, grams array<int>")
+    rooms = spark.createDataFrame([(0, k, k, len(s)) for k, s in sets.items()] + [(0, 99, 99, 100)], "room bigint, lid bigint, label bigint, w int")
+    met = {tuple(sorted((r.a, r.b))) for r in lines._meetings(rooms, inside, 0.8).collect()}
+    assert met == {(3, 4)}
+
+
 ITEMS = [(1, " ".join(PROSE.split()[3:20])), (2, "seven wizards! MIX, very potent brews (in) old"), (3, None), (4, ""), (5, "one"), (6, "words that occur in no document of all these here"), (1, " ".join(PROSE.split()[3:20])), (7, "an item of two texts whose other one is long and in no document " * 3), (7, " ".join(PROSE.split()[1:18]))]
 
 
