@@ -10,25 +10,33 @@ from ..functions.dialect import SPARK
 from ..operators import cluster, embed, filters, grade, merge, reputation
 from ..staging import staged
 
+#: Results of a query that count.
+LIMIT = 99
 
-def search(lists: DataFrame, as_of: str, since: str | None = None, limit: int = 99, stop: list[str] | None = None, entries: DataFrame | None = None, mode: str = "balanced") -> DataFrame:
+
+def search(lists: DataFrame, as_of: str, since: str | None = None, limit: int = LIMIT, stop: list[str] | None = None, entries: DataFrame | None = None, mode: str = "balanced") -> DataFrame:
+    """``found`` of the first ``limit`` merged results of ``lists`` (``sources.tables.result_lists``)."""
+    return found(filters.annotate(merge.merged(lists, limit)), as_of, since, stop, entries, mode)
+
+
+def found(annotated: DataFrame, as_of: str, since: str | None = None, stop: list[str] | None = None, entries: DataFrame | None = None, mode: str = "balanced") -> DataFrame:
     """(query_id, place, idx, src, title, url, flags, quality, rep_badge, duplicate_of, cluster_id, score, grade, tier).
 
-    ``lists``: result lists of sources (``sources.tables.result_lists``); ``entries``: what is known
+    ``annotated``: merged results with flags and quality; ``entries``: what is known
     of sites (``reputation.learned``), if anything: it scales a result's quality.  Later results that
     reprint an earlier one are folded into it before clustering and share its cluster.  Everything is
-    keyed by query_id, so one query or a corpus of them runs the same plan.  Rows, reprints and
-    clusters have several readers and are written once each.
+    keyed by query_id, so one query or a corpus of them runs the same plan.  Rows, vectors, reprints
+    and clusters have several readers and are written once each.
     """
-    rows = merge.merged(lists, limit)
-    rows = filters.since(rows, since, as_of) if since else rows
-    rows = filters.split(filters.annotate(rows)).where("part <> 'ad'")
+    rows = filters.since(annotated, since, as_of) if since else annotated
+    rows = filters.split(rows).where("part <> 'ad'")
     rows = reputation.applied(reputation.lookup(rows, entries, as_of)) if entries is not None else rows.withColumn("rep_badge", F.lit(""))
     whole = rows.withColumn("__text", F.expr(text.embedded_text(SPARK, "title", "`desc`"))).withColumn("__id", F.struct("query_id", "idx"))
-    rows = staged(embed.covered(whole, "query", "__text"), "search-rows")
+    rows = staged(embed.covered(staged(whole, "search-rated"), "query", "__text"), "search-rows")
     vectors = embed.projected(rows, "__text", "__id").withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))).where("norm > 0")
     vectors = vectors.select("__id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
-    folded = staged(cluster.reprints(rows.join(vectors, "__id").select("query_id", "idx", "title", "desc", "vec")), "search-reprints")
+    pointed = staged(rows.join(vectors, "__id").select("query_id", "idx", "title", "desc", "vec"), "search-vectors")
+    folded = staged(cluster.reprints(pointed), "search-reprints")
     rows = rows.drop("__text", "__id")
     members = staged(cluster.by_phrase(rows.join(folded, ["query_id", "idx"], "left_anti"), stop=stop), "search-members")
     scores = staged(cluster.scored(members, rows, cluster.text_scores(members, rows)), "search-scores")

@@ -2,7 +2,9 @@
 
 import re
 
-from resultlake.operators import scans
+from pyspark.sql import functions as F
+
+from resultlake.operators import cluster, scans
 from resultlake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,3 +48,26 @@ def test_singleton_buckets_read_every_vector(spark):
     vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id").toPandas()
     assert sorted(got["idx"]) == sorted(vectors["vec_id"]) and len(vectors) > 200
     assert got.groupby("query_id")["idx"].nunique().max() <= 150
+
+
+def test_search_parses_a_page_once(spark, monkeypatch):
+    read, table = spark.sparkContext.accumulator(0), catalog.tables.table
+
+    def seen(_):
+        read.add(1)
+        return True
+
+    mark = F.udf(seen, "boolean").asNondeterministic()
+    monkeypatch.setattr(catalog.tables, "table", lambda *of: table(*of).where(mark("page_id")))
+    catalog.QUERIES["search"](spark, FOLDER).collect()
+    assert read.value == table(spark, FOLDER, "pages").count()
+
+
+def test_reprints_pair_results_of_a_passage_once(spark):
+    passage = " ".join(f"word{i}" for i in range(20))
+    rows = [(1, i, f"title {i}", f"{passage} {i}", [1.0, 0.0] if i % 2 else [0.8, 0.6]) for i in range(6)]
+    rows = spark.createDataFrame(rows, "query_id bigint, idx bigint, title string, desc string, vec array<double>")
+    found = cluster.reprints(rows)
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 0), (1, 3, 0), (1, 5, 0)}
+    # pairs come from lists of results, not from a join of runs with themselves
+    assert not re.search(r"\[query_id#\d+L, run#\d+L\], \[query_id#\d+L, run#\d+L\], Inner", found._jdf.queryExecution().executedPlan().toString())
