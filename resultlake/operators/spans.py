@@ -1,21 +1,30 @@
 """Spans that titles of a group share, and spans that one has alone, by sorted suffixes.
 
-The suffixes of all titles are sorted by group and text, as pieces (``scans.pieces``) of a suffix
-array that no task holds.  The longest run at a place of a title that another title has, too, is the
-longer of the prefixes it shares with its two nearest suffixes of other titles; what a piece doesn't
-know of its neighbours, two entries a piece carry over.  So no pair of titles is compared.
+The suffixes of all titles are sorted by group and text, as pieces of PIECES times ``scans.PIECE``
+rows, about, of a suffix array that no task holds.  The longest run at a place of a title that another
+title has, too, is the longer of the prefixes it shares with its two nearest suffixes of other titles.
+Spark sorts a piece, whose neighbours are then compared once each, as arrays; what a piece doesn't
+know of others, four entries a piece and group carry over.  So no pair of titles is compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
+from ..staging import staged
 from . import scans
 
 #: Characters of a title that count (a power of two less one at most bounds the shared prefix).
 MOST = 200
+#: Suffixes that are compared at once, and ``scans.PIECE`` of them in a piece of the array.
+ROWS, PIECES = 4096, 4
 # What parts a title's segments, and what their edges lose.
 SEPARATORS = r"_\-|｜·•,，、;；:：()（）\[\]【】<>《》\"'“”…\s"
 EDGE = r"^\.+|\.+$"
@@ -28,28 +37,78 @@ def shared_prefix(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 ELSE aggregate(array({steps}), 0, (n, s) -> CASE WHEN {fits} THEN n + s ELSE n END) END")
 
 
-def _nearest(rows: DataFrame, descending: bool, name: str) -> DataFrame:
-    """``rows`` (group, piece, suffix, id, at) with ``name``: the suffix of another id nearest before, in order."""
-    way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    entry = F.struct("id", "suffix")
-    inner = Window.partitionBy("group", "piece").orderBy(way("suffix"), way("id"), way("at"))
-    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    # where a run of one id begins, the entry before is of another; it holds through the run
-    before = F.lag(entry).over(inner)
-    marked = rows.withColumn("__before", F.when(F.col("id") != F.lag("id").over(inner), before))
-    marked = marked.withColumn("__other", F.last("__before", ignorenulls=True).over(upto))
-    # of a piece its last entry, and the last one of another id: two rows, which carry on
-    place = F.struct("suffix", "id", "at")
-    pick = F.min_by if descending else F.max_by
-    ends = marked.groupBy("group", "piece").agg(pick(F.struct(entry.alias("e"), F.col("__other").alias("o")), place).alias("last"))
-    two = ends.select("group", "piece", F.explode(F.array(F.struct(F.lit(1).alias("nth"), F.col("last.o").alias("e")), F.struct(F.lit(2).alias("nth"), F.col("last.e").alias("e")))).alias("x")).select("group", "piece", "x.nth", "x.e").where("e IS NOT NULL")
+#: Rows of ``_piece``: a suffix, or (LAST to EARLY) an entry of a group in a piece: its last one and
+#: the last one of another title, its first one and the first one of another title.
+SUFFIX, LAST, LATE, FIRST, EARLY = range(5)
+ROW = "kind int, group string, id bigint, at int, low int, high int, suffix string"
+
+
+def _common(suffix: pa.Array) -> np.ndarray:
+    """Length of the prefix that each string shares with the one before; 0 for the first."""
+    size = pc.utf8_length(suffix).to_numpy()
+    out = np.zeros(len(size), np.int64)
+    for k in range(0, len(size) - 1, ROWS):
+        part = suffix[k : k + ROWS + 1].to_pylist()
+        width = max(1, max(map(len, part)))
+        chars = np.array(part, f"U{width}").view(np.uint32).reshape(len(part), width)
+        same = np.c_[chars[1:] == chars[:-1], np.zeros(len(part) - 1, bool)].argmin(1)
+        # ends are padded: a shared prefix is no longer than either
+        out[k + 1 : k + len(part)] = np.minimum(same, np.minimum(size[k : k + len(part) - 1], size[k + 1 : k + len(part)]))
+    return out
+
+
+def _piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWs of a piece's suffixes (group, id, at, suffix), which come in order.
+
+    ``low``, ``high``: the prefix shared with the nearest suffix of another title before and after;
+    null, with the suffix, where the piece has none of its group.  Between the two lie suffixes of
+    the same title, so it is the least of the prefixes that neighbours share from one to the other.
+    """
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    group, suffix = rows.column("group").combine_chunks(), rows.column("suffix").combine_chunks()
+    ids, n = rows.column("id").to_numpy(), len(rows)
+    told = group.dictionary_encode().indices.to_numpy()
+    begins = np.r_[True, told[1:] != told[:-1]]
+    run = np.r_[True, ids[1:] != ids[:-1]] | begins
+    common = _common(suffix)
+    low, high = common.copy(), np.r_[common[1:], 0]
+    for i in np.flatnonzero(~run):
+        low[i] = min(low[i], low[i - 1])
+    for i in np.flatnonzero(~run)[::-1] - 1:
+        high[i] = min(high[i], high[i + 1])
+    # runs of one title, and those that begin and end a group's part of the piece
+    head = np.flatnonzero(run)
+    tail = np.r_[head[1:], n] - 1
+    of = np.cumsum(run) - 1
+    opens = begins[head]
+    closes = np.r_[opens[1:], True]
+    none_low, none_high = opens[of], closes[of]
+    column = lambda x, none: pa.array(x.astype(np.int32), mask=none)
+    ends = [(SUFFIX, np.arange(n))]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    several = first != last
+    ends += [(LAST, tail[last]), (LATE, tail[last[several] - 1]), (FIRST, head[first]), (EARLY, head[first[several] + 1])]
+    lows, highs = column(low, none_low), column(high, none_high)
+    kept = pc.if_else(pa.array(none_low | none_high), suffix, pa.scalar(None, suffix.type))
+    for kind, take in ends:
+        which = pa.array(take)
+        texts = kept if kind == SUFFIX else suffix
+        columns = [pa.array(np.full(len(take), kind, np.int32)), group.take(which), *(rows.column(c).combine_chunks().take(which) for c in ("id", "at")), lows.take(which), highs.take(which), texts.take(which)]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "group", "id", "at", "low", "high", "suffix"])
+
+
+def _carried(rows: DataFrame, nearest: int, other: int, descending: bool) -> DataFrame:
+    """(group, piece, __e, __o): the nearest entry of the pieces before (after), and the nearest of another title."""
+    way = F.desc if descending else F.asc
+    two = rows.where(F.col("kind").isin(nearest, other)).select("group", "piece", (F.col("kind") == nearest).cast("int").alias("nth"), F.struct("id", "suffix").alias("e"))
     over = Window.partitionBy("group").orderBy(way("piece"), "nth")
     run = two.withColumn("__before", F.when(F.col("e.id") != F.lag("e.id").over(over), F.lag("e").over(over)))
-    run = run.withColumn("o", F.last("__before", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))).where("nth = 2")
-    carried = run.select("group", "piece", F.lag("e").over(Window.partitionBy("group").orderBy(way("piece"))).alias("__e"), F.lag("o").over(Window.partitionBy("group").orderBy(way("piece"))).alias("__o"))
-    out = marked.join(carried, ["group", "piece"], "left")
-    far = F.when(F.col("__e.id") != F.col("id"), F.col("__e.suffix")).otherwise(F.col("__o.suffix"))
-    return out.withColumn(name, F.coalesce("__other.suffix", far)).drop("__before", "__other", "__e", "__o")
+    run = run.withColumn("o", F.last("__before", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))).where("nth = 1")
+    by_piece = Window.partitionBy("group").orderBy(way("piece"))
+    return run.select("group", "piece", F.lag("e").over(by_piece).alias("__e"), F.lag("o").over(by_piece).alias("__o"))
 
 
 def shared(titles: DataFrame) -> DataFrame:
@@ -60,12 +119,21 @@ def shared(titles: DataFrame) -> DataFrame:
     """
     cut = titles.select("group", F.substring("title", 1, MOST).alias("title")).where("title <> ''")
     items = cut.groupBy("group", "title").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("group", "title"))
-    items = items.withColumn("group", F.coalesce(F.col("group").cast("string"), F.lit("\x00")))
+    items = staged(items.withColumn("group", F.coalesce(F.col("group").cast("string"), F.lit("\x00"))), "span-titles")
     suffixes = items.select("group", "id", F.posexplode(F.expr("transform(sequence(1, length(title)), i -> substr(title, i))")).alias("at", "suffix"))
-    dealt = scans.pieces(suffixes, ["group"], ["suffix", "id", "at"])
-    near = _nearest(_nearest(dealt, False, "__low"), True, "__high")
-    longest = near.withColumn("run", F.greatest(shared_prefix("suffix", "__low"), shared_prefix("suffix", "__high")))
-    runs = longest.groupBy("group", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "run"))), lambda r: r["run"]).alias("runs"), F.max(F.col("__low").isNotNull() | F.col("__high").isNotNull()).alias("met"))
+    n = max(1, -(-(items.agg(F.sum(F.length("title"))).first()[0] or 0) // (PIECES * scans.PIECE)))
+    order = ["group", "suffix", "id", "at"]
+    dealt = (suffixes.repartitionByRange(n, *order) if n > 1 else suffixes.coalesce(1)).sortWithinPartitions(*order)
+    rows = staged(dealt.mapInArrow(_piece, ROW).withColumn("piece", F.spark_partition_id()), "span-pieces")
+    whole = rows.where(F.col("kind") == SUFFIX)
+    open_ = whole.where("low IS NULL OR high IS NULL")
+    for name, far in (("low", _carried(rows, LAST, LATE, False)), ("high", _carried(rows, FIRST, EARLY, True))):
+        open_ = open_.join(far, ["group", "piece"], "left").withColumn("__far", F.when(F.col("__e.id") != F.col("id"), F.col("__e.suffix")).otherwise(F.col("__o.suffix")))
+        open_ = open_.withColumn(name, F.coalesce(name, F.when(F.col("__far").isNotNull(), shared_prefix("suffix", "__far")))).drop("__e", "__o", "__far")
+    every = whole.where("low IS NOT NULL AND high IS NOT NULL").unionByName(open_)
+    run = F.coalesce(F.greatest("low", "high"), F.lit(0))
+    each = F.sort_array(F.collect_list(F.col("at") * (MOST + 1) + run))
+    runs = every.groupBy("group", "id").agg(F.transform(each, lambda r: r % (MOST + 1)).alias("runs"), F.max(F.col("low").isNotNull() | F.col("high").isNotNull()).alias("met"))
     whole = F.expr("CASE WHEN n > 1 THEN transform(sequence(1, length(title)), i -> length(title) - i + 1) ELSE runs END")
     found = items.join(runs, ["group", "id"]).withColumn("runs", whole)
     return found.select(F.nullif("group", F.lit("\x00")).alias("group"), "title", "n", "runs", (F.col("met") | (F.col("n") > 1)).alias("met"))

@@ -45,3 +45,14 @@ def test_spans_equal_all_pairs(spark, monkeypatch, piece):
     labelled = {(r.group, r.title): (r.n, r.shared, r.own) for r in spans.spans(frame, "'port'").collect()}
     assert labelled == brute(rows, "port")
     assert spans.spans(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("piece", [3, 10**6])
+def test_suffixes_are_sorted_once(spark, monkeypatch, piece):
+    monkeypatch.setattr(scans, "PIECE", piece)
+    rows = [("g", t) for t in ("a\0b", "a\0", "a", "\0", "x😀y", "😀y 😀", "aaaa", "aa", "￿😀")] + [("h", "aaaaaa"), ("h", "😀")]
+    found = spans.spans(spark.createDataFrame(rows, "group string, title string"))
+    got = {(r.group, r.title): r.shared for r in found.collect()}
+    assert got == {k: v[1] for k, v in brute(rows).items()}
+    # pieces come sorted; no window over all suffixes sorts them again
+    assert not re.search(r"Window.*suffix#\d+ (ASC|DESC)", found._jdf.queryExecution().executedPlan().toString())
