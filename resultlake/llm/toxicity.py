@@ -232,6 +232,19 @@ def _picked(w: shared.Words, y: np.ndarray, a, b, rate, ids, p):
     return pa.RecordBatch.from_arrays(columns, _PICKED)
 
 
+def _once(rows: pa.Table) -> pa.Table:
+    """``rows`` in order; a window that is picked again counts once, with the larger label.
+
+    Equal rows are neighbours once sorted, so that the driver holds few copies of them.
+    """
+    keys = ["rid", "word", "ev", "tri", "size"]
+    rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in keys] + [("label", "descending")]))
+    differs = np.zeros(max(len(rows) - 1, 0), bool)
+    for c in keys:
+        differs |= pc.not_equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy()
+    return rows if differs.all() else rows.filter(pa.array(np.r_[True, differs]))
+
+
 class _Examples:
     """Training windows: word inputs are made as in scoring, from all trigrams of whole words."""
 
@@ -357,9 +370,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
         every = new if got is None else pa.concat_tables([got, new])
         if not every.num_rows:
             return Model(np.zeros(EVIDENCE_BUCKETS, np.float32), None, rate)
-        # a window that is picked again counts once
-        got = every.group_by(["rid", "word", "ev", "size", "tri"]).aggregate([("label", "max")]).rename_columns(["rid", "word", "ev", "size", "tri", "label"]).select(_PICKED)
-        got = got.take(pc.sort_indices(got, [(c, "ascending") for c in ("rid", "word", "ev", "tri")]))
+        got = new = None
+        got, every = _once(every), None
+        pa.default_memory_pool().release_unused()
         p = _learned(_start(np.random.Generator(np.random.PCG64(9))) if p is None else p, _Examples(got))
     return Model(_log_odds(a, b, rate), p, rate)
 

@@ -682,3 +682,11 @@ def test_pipeline_stages(spark):
     assert set(left) == set(root.values()) and max(left.values()) == 1
 
 
+
+
+def test_toxicity_windows_picked_again_count_once():
+    rows = [(2, 0, b"w", b"e", b"s", b"t"), (1, 1, b"x", b"e", b"s", b"t"), (2, 1, b"w", b"e", b"s", b"t"), (2, 0, b"w", b"e", b"s", b"a"), (1, 1, b"x", b"e", b"s", b"t")]
+    table = pa.Table.from_pylist([dict(zip(toxicity._PICKED, (r[0], r[1], r[2], r[3], r[4], r[5]), strict=True)) for r in rows])
+    twice = pa.concat_tables([table, table])
+    assert [tuple(r.values()) for r in toxicity._once(twice).to_pylist()] == [rows[1], rows[3], rows[2]]
+    assert toxicity._once(table.slice(0, 1)).num_rows == 1
