@@ -406,6 +406,23 @@ def test_line_meetings_leave_out_what_shares_too_few_first_shingles(spark):
     assert met == {(3, 4)}
 
 
+def test_line_bits_rule_out_only_what_is_unlike(spark):
+    """No alike pair goes, few of those that share half of their shingles stay."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: [int(x) for x in rng.integers(0, 1 << 31, n)]
+    sets, kept, gone = {}, set(), set()
+    for k in range(120):
+        n = int(rng.integers(6, 400))
+        base, share = draw(n), (0.9, 0.95, 0.5)[k % 3]
+        sets[2 * k], sets[2 * k + 1] = base, base[: math.ceil(share * n)] + draw(n - math.ceil(share * n))
+        same = len(set(sets[2 * k]) & set(sets[2 * k + 1]))
+        (kept if same >= 0.8 * (2 * n - same) else gone).add(2 * k)
+    rows = spark.createDataFrame(list(sets.items()), "lid bigint, grams array<int>").withColumn("bits", F.expr(lines._folded("grams")))
+    pairs = spark.createDataFrame([(k, k + 1) for k in sets if k % 2 == 0], "a bigint, b bigint")
+    left = {r.a for r in lines._possible(pairs, rows, 0.8).collect()}
+    assert len(kept) > 70 and kept <= left and len(gone & left) < 0.2 * len(gone)
+
+
 ITEMS = [(1, " ".join(PROSE.split()[3:20])), (2, "seven wizards! MIX, very potent brews (in) old"), (3, None), (4, ""), (5, "one"), (6, "words that occur in no document of all these here"), (1, " ".join(PROSE.split()[3:20])), (7, "an item of two texts whose other one is long and in no document " * 3), (7, " ".join(PROSE.split()[1:18]))]
 
 
