@@ -406,6 +406,51 @@ def test_line_meetings_leave_out_what_shares_too_few_first_shingles(spark):
     assert met == {(3, 4)}
 
 
+def test_line_dedup_moves_whole_lines_in_passes(spark, monkeypatch):
+    """No staged table holds all whole lines at once, with or without broadcasts."""
+    rng = np.random.default_rng(4)
+    texts = list(enumerate(boilerplate(rng, 20, 6, 60) + boilerplate(rng, 3, 9, 60)))
+    root, real = brute_lines(texts), shared.stage
+    for most in (lines.BROADCAST_ROWS, 20):
+        monkeypatch.setattr(lines, "BROADCAST_ROWS", most)
+        staged = {"line-firsts": [], "line-held": []}
+
+        def stage(df, name="stage", staged=staged, **how):
+            out = real(df, name, **how)
+            if name in staged:
+                staged[name].append(out.count())
+            return out
+
+        monkeypatch.setattr(shared, "stage", stage)
+        got = lines.dedup(spark.createDataFrame(texts, "doc_id bigint, text string"))
+        assert Counter(root[r.text] for r in got.collect() if r.text) == Counter(set(root.values()))
+        assert sum(staged["line-firsts"]) == len(root) and max(staged["line-firsts"]) < len(root) / 2
+        assert bool(staged["line-held"]) == (most == 20) and all(n < len(root) / 2 for n in staged["line-held"])
+
+
+def test_line_meetings_go_in_turns(spark, monkeypatch):
+    """Rows of first shingles that meet are bounded a turn, in one room as in many; pairs are the same."""
+    rng = np.random.default_rng(7)
+    common = [int(x) for x in rng.integers(0, 1 << 31, 90)]
+    sets = {k: common[k % 6 :] + [int(x) for x in rng.integers(0, 1 << 31, 6)] for k in range(60)}
+    inside = spark.createDataFrame(list(sets.items()), "lid bigint, grams array<int>")
+    rooms = spark.createDataFrame([(0 if k % 2 else 1 + k % 7, k, k, len(s)) for k, s in sets.items()], "room bigint, lid bigint, label bigint, w int")
+    turns, real = [], shared.stage
+
+    def stage(df, name="stage", **how):
+        turns[-1] += name == "line-turn"
+        return real(df, name, **how)
+
+    monkeypatch.setattr(shared, "stage", stage)
+    found = []
+    for turn in (lines.TURN, 20_000):
+        monkeypatch.setattr(lines, "TURN", turn)
+        turns.append(0)
+        found.append({tuple(r) for r in lines._meetings(rooms, inside, 0.8).collect()})
+    assert found[0] == found[1] and len(found[0]) > 100
+    assert turns[0] == 1 and turns[1] > 3
+
+
 def test_line_bits_rule_out_only_what_is_unlike(spark):
     """No alike pair goes, few of those that share half of their shingles stay."""
     rng = np.random.default_rng(9)
