@@ -85,3 +85,35 @@ def test_rows_under_one_id_are_one_text(spark):
     got = {r.id: np.array(r.v) for r in embed.projected(rows).collect()}
     apart = {r.id: np.array(r.v) for r in embed.projected(spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta alpha"), (None, "beta"), (3, None)], "id int, text string")).collect()}
     assert set(got) == {1, 2, None} and all(np.allclose(got[k], apart[k]) for k in got)
+
+
+def test_evidence_moves_only_texts_of_pairs(spark, monkeypatch):
+    """Texts of pairs alone, bare and cut to what is compared; pairs without a text have no evidence."""
+    told, real = [], neighbours.staged
+    monkeypatch.setattr(neighbours, "staged", lambda df, name: told.append((name, out := real(df, name))) or out)
+    passage = " ".join(f"word{k}" for k in range(900))
+    rows = [(1, "a title of one text", passage + " tail"), (2, "a title of one text!", "x " * 9 + passage), (3, None, None), *((k, "other", "text " * 9) for k in range(4, 40))]
+    pairs = spark.createDataFrame([(1, 2, 0.8), (1, 3, 0.8), (1, 99, 0.8)], "qid bigint, id bigint, sim double")
+    got = neighbours.reprinted(pairs, spark.createDataFrame(rows, "id bigint, title string, desc string")).collect()
+    assert {(r.qid, r.id): (r.near_title, r.near_desc) for r in got} == {(1, 2): (True, True), (1, 3): (False, False), (1, 99): (False, False)}
+    held = {r.id: r.desc for name, df in told if name == "reprint-texts" for r in df.collect()}
+    assert set(held) == {1, 2, 3} and len(held[1]) == 4096 and " " not in held[2]
+
+
+def test_shared_runs_equal_plain_search(spark):
+    """Around blocks of half a run's length no run is lost, wherever it lies; null stays null."""
+    from resultlake.functions import text
+    from resultlake.functions.dialect import SPARK
+
+    rng = np.random.default_rng(6)
+    draw = lambda n: "".join(rng.choice(list("abé"), n))
+    rows = [(draw(int(rng.integers(0, 40))), draw(int(rng.integers(0, 40))), int(rng.integers(1, 9))) for _ in range(400)]
+    for k in range(60):  # a run of exactly n, at every offset
+        n = 12 + k % 3
+        run = draw(n)
+        rows.append(("x" * k + run + "y" * 20, "z" * (60 - k) + run + "w" * 9, n))
+        rows.append(("x" * k + run[:-1] + "y" * 20, "z" * (60 - k) + run[:-1] + "w" * 9, n))
+    got = spark.createDataFrame(rows, "a string, b string, k int").selectExpr("a", "b", "k", f"{text.shares_run(SPARK, 'a', 'b', 'k')} AS got").collect()
+    assert all(r.got == any(r.a[i : i + r.k] in r.b for i in range(len(r.a) - r.k + 1)) for r in got) and {r.got for r in got} == {True, False}
+    nulls = spark.createDataFrame([(None, "abc"), ("abc", None)], "a string, b string").selectExpr(f"{text.shares_run(SPARK, 'a', 'b', '2')} AS got")
+    assert [r.got for r in nulls.collect()] == [None, None]
