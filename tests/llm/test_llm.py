@@ -443,7 +443,7 @@ def test_line_meetings_go_in_turns(spark, monkeypatch):
 
     monkeypatch.setattr(shared, "stage", stage)
     found = []
-    for turn in (lines.TURN, 20_000):
+    for turn in (lines.TURN, 5_000):
         monkeypatch.setattr(lines, "TURN", turn)
         turns.append(0)
         found.append({tuple(r) for r in lines._meetings(rooms, inside, 0.8).collect()})
